@@ -39,9 +39,16 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .materialise import training_order
+
+    return training_order(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_source_mixing": op5_source_mixing,
+    "op7_training_order": op7_training_order,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
 }
