@@ -6,8 +6,8 @@ confirmed on the full shingle sets.
 
 Copies never multiply: documents with equal sets are one node from the start. Within a bucket of equal bands, members
 are compared with one hub first, so a group of any size gives as many pairs as it has members; links join members to
-components, and only members that are still in different components are compared any further. That loses no link that
-could change a component.
+components, and only members that are still in different components are compared any further, by an exact prefix filter.
+That loses no link that could change a component.
 """
 
 import hashlib
@@ -127,6 +127,29 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
+def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of ``nodes`` (node, n, label) with different labels that can be linked, a superset of the links.
+
+    Each set is ordered by rising frequency of its shingles. Linked sets share one in the prefixes that are left when the
+    least intersection is taken away, and at the first shared one enough must follow in both. So edits that few sets share
+    come first and rule pairs out, and a large group of texts with many edits each doesn't meet all pairs.
+    """
+    nodes = scratch.save("rest-nodes", nodes)
+    words = sets.join(nodes, "node").select("node", "n", "label", F.explode("shingles").alias("s"))
+    often = scratch.save("rest-often", words.groupBy("s").agg(F.count("*").alias("f"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("s", "f"))
+    order = words.join(often, "s").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))  # sets' own shingles come first
+    order = order.withColumn("own", F.col("n") - F.size("shared")).withColumn("shared", F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int")))
+    at = scratch.save("rest-prefix", order.select("node", "n", "label", "own", F.posexplode("shared").alias("i", "e")).select("node", "n", "label", (F.col("own") + F.col("i") + 1).alias("p"), F.col("e.s").alias("s")))
+    mixed = scratch.save("rest-mixed", at.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s"))
+    at = at.join(mixed, "s")
+    one = at.select("s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "p")))
+    two = at.select("s", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "p")))
+    most = "(1 + least(n1 - p1, n2 - p2))"
+    fits = f"node1 < node2 and label1 <> label2 and least(n1, n2) * 100 >= greatest(n1, n2) * {int(percent)} and {most} * 100 >= (n1 + n2 - {most}) * {int(percent)}"
+    return one.join(two, "s").filter(fits).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row of ``docs``.
 
@@ -175,9 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             if turn == "far":
                 pairs = here.filter("label < far_label").select(F.least("m", "far").alias("a"), F.greatest("m", "far").alias("b"))
             else:
-                one = here.select("band", F.col("m").alias("a"), F.col("n").alias("p"), F.col("label").alias("k"))
-                two = here.select("band", F.col("m").alias("b"), F.col("n").alias("q"), F.col("label").alias("l"))
-                pairs = one.join(two, "band").filter(f"a < b and k <> l and least(p, q) * 100 >= greatest(p, q) * {int(percent)}").select("a", "b")
+                pairs = prefix_pairs(sets, here.select(F.col("m").alias("node"), "n", "label").distinct(), percent, scratch)
             pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
         found = verified(pairs, turn)
         asked = found.select("a", "b") if turn == "rest" else pairs.select("a", "b")
