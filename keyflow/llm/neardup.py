@@ -211,3 +211,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(of_node, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all columns, of each component of near duplicates only the document with the smallest id.
+
+    Rows that repeat a kept id stay, as do rows without an id and texts without words. Only the ids of what goes are joined.
+    """
+    gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
