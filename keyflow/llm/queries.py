@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -46,6 +52,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media_columns": op3_media_columns,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_source_mixing": op5_source_mixing,
     "op7_training_order": op7_training_order,
