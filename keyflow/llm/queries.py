@@ -51,6 +51,12 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_near_duplicates": op4_near_duplicates,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_training_order": op7_training_order,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
