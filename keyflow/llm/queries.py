@@ -51,6 +51,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .materialise import training_order
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_source_mixing": op5_source_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_training_order": op7_training_order,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,

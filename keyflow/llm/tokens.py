@@ -106,6 +106,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
+def span_hashes_in(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of spans with ascending starts that may overlap, over data of any size."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, base + BLOCK)))
+        last = int(ends[at:to].max())
+        out[at:to] = span_hashes(data[base:last], starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
 def hashed_words(column, separators: np.ndarray = WHITE, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For blocks of documents: first and last document, the word hashes, and the documents' offsets into them."""
     data, offsets = text_bytes(column)
