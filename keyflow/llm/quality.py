@@ -80,22 +80,48 @@ def squash(x):
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Coefficients with the intercept last; the features are dense and few. Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    """Coefficients with the intercept last; the features are dense and few. Newton's method, a block of rows at a time."""
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(30):
-        p = squash(x @ w)
-        grad = x.T @ (weight * (p - y)) + penalty * w
-        hess = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        grad, hess = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2000):
+            part = slice(at, at + 2000)
+            rows = np.column_stack([x[part], np.ones(len(x[part]))]).astype(float)
+            p = squash(rows @ w)
+            grad += rows.T @ (weight[part] * (p - y[part]))
+            hess += rows.T @ (rows * (weight[part] * np.maximum(p * (1 - p), 1e-6))[:, None])
         move = np.linalg.solve(hess, grad)
         w -= move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
     return w
 
 
+@dataclass
+class Vocabulary:
+    """The words of a sample that four texts or more have: their hashes, and for each text its words' numbers."""
+
+    words: np.ndarray
+    rows: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> "Vocabulary":
+        every = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        words = every[first[np.diff(np.append(first, len(every))) >= 4]]
+        del every
+        rows, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i, s in enumerate(sets if len(words) else []):
+            place = np.minimum(np.searchsorted(words, s), len(words) - 1)
+            mine = place[words[place] == s]
+            rows.append(np.full(len(mine), i, np.int32))
+            codes.append(mine.astype(np.int32))
+        return cls(words, np.concatenate(rows), np.concatenate(codes))
+
+
 @dataclass
 class TextModel:
     """Presence of chosen words, and form numbers."""
@@ -107,22 +133,25 @@ class TextModel:
     def score(self, sets: list[np.ndarray], form: np.ndarray) -> np.ndarray:
         out = form @ self.form[:-1] + self.form[-1]
         if len(self.words):
-            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            place = np.minimum(np.searchsorted(self.words, every), len(self.words) - 1)
-            add = np.where(self.words[place] == every, self.weights[place], 0)
-            total = np.concatenate([[0], np.cumsum(add)])
-            edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            out = out + total[edges[1:]] - total[edges[:-1]]
+            for at in range(0, len(sets), 500):
+                part = sets[at : at + 500]
+                every = np.concatenate([*part, np.zeros(0, np.uint64)])
+                place = np.minimum(np.searchsorted(self.words, every), len(self.words) - 1)
+                total = np.concatenate([[0], np.cumsum(np.where(self.words[place] == every, self.weights[place], 0))])
+                edges = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int64)
+                out[at : at + 500] += total[edges[1:]] - total[edges[:-1]]
         return out
 
 
-def fit_text(sets: list[np.ndarray], form: np.ndarray, y: np.ndarray, weight: np.ndarray, most_words: int = 600) -> TextModel:
-    """Words are chosen by the signed root of the log-likelihood ratio of their presence in the two classes."""
-    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    words, inverse = np.unique(every, return_inverse=True)
-    good = np.bincount(inverse, weight[rows] * y[rows], len(words))
-    bad = np.bincount(inverse, weight[rows] * (1 - y[rows]), len(words))
+def fit_text(vocabulary: Vocabulary, form: np.ndarray, use: np.ndarray, y: np.ndarray, weight: np.ndarray, most_words: int = 600) -> TextModel:
+    """Fits the texts ``use``. Words are chosen by the log-likelihood ratio of their presence in the two classes."""
+    place = np.full(len(form), -1)
+    place[use] = np.arange(len(use))
+    mine = place[vocabulary.rows] >= 0
+    rows, codes = place[vocabulary.rows[mine]], vocabulary.codes[mine]
+    n = len(vocabulary.words)
+    good = np.bincount(codes, (weight * y)[rows], n)
+    bad = np.bincount(codes, (weight * (1 - y))[rows], n)
     total_good, total_bad = (weight * y).sum(), (weight * (1 - y)).sum()
     share = total_good / max(1e-9, total_good + total_bad)
     seen = good + bad
@@ -131,15 +160,15 @@ def fit_text(sets: list[np.ndarray], form: np.ndarray, y: np.ndarray, weight: np
     gain[seen < 4] = 0
     chosen = np.argsort(-gain, kind="stable")[:most_words]
     chosen = np.sort(chosen[gain[chosen] > 6])
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    column = place[inverse]
+    slot = np.full(n, -1)
+    slot[chosen] = np.arange(len(chosen))
+    column = slot[codes]
     here = column >= 0
-    x = np.zeros((len(sets), SHAPE + len(chosen)), np.float32)
-    x[:, :SHAPE] = form
+    x = np.zeros((len(use), SHAPE + len(chosen)), np.float32)
+    x[:, :SHAPE] = form[use]
     x[rows[here], SHAPE + column[here]] = 1
     w = fit_logistic(x, y, weight, 0.3)
-    return TextModel(words[chosen], w[SHAPE:-1], np.concatenate([w[:SHAPE], w[-1:]]))
+    return TextModel(vocabulary.words[chosen], w[SHAPE:-1], np.concatenate([w[:SHAPE], w[-1:]]))
 
 
 @dataclass
@@ -178,7 +207,7 @@ def keyed(name: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, unlabelled: int = 4_000, rounds: int = 3) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, unlabelled: int = 3_000, rounds: int = 3) -> Classifier | None:
     """Fits both views. ``labelled`` and ``unlabelled`` bound (in expectation) the rows of the two samples, which are drawn by
     a hash of doc_id. None where the labels have only one class. A label is good with quality 1 and not toxic; rows with a null
     doc_id or quality are left out; of several labels of a document the worst counts."""
@@ -213,9 +242,10 @@ def co_train(sets: list[np.ndarray], form: np.ndarray, meta: np.ndarray, y: np.n
         use = np.flatnonzero(~np.isnan(target))
         return use, target[use], np.where(base[use], 1.0, 0.3)
 
+    vocabulary = Vocabulary.of(sets)
     for turn in range(rounds + 1):
         use, target, weight = fit(to_text)
-        text = fit_text([sets[i] for i in use], form[use], target, weight)
+        text = fit_text(vocabulary, form, use, target, weight)
         use, target, weight = fit(to_meta)
         coefs = fit_logistic(meta[use], target, weight, 3.0)
         t, m = text.score(sets, form), meta @ coefs[:-1] + coefs[-1]
