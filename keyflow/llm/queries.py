@@ -20,6 +20,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_chunks(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import digests
 
@@ -71,6 +77,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_media_columns": op3_media_columns,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_source_mixing": op5_source_mixing,
