@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .scratch import small_batches
 
 BATCH_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after all ids
@@ -23,6 +24,7 @@ ANSWERED = "batch int, keys binary, extra binary, vals binary"
 
 def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """batch, doc_id, text, and the number of batches for the texts' total size."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-size // batch_bytes), -(-rows // 50_000))

@@ -50,3 +50,10 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, where the session has Spark's default of 10,000: ten thousand texts can fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10_000:
+        spark.conf.set(name, str(rows))

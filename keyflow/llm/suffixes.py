@@ -27,6 +27,8 @@ from .anchors import segments
 from .bwt import prefix_groups
 
 LENGTH = 50
+BLOCK = 1 << 19  # bytes of text in one transform
+BATCH_BYTES = 4 << 20
 BACK = "batch int, bucket int, kind int, a binary, b binary, c binary"
 BITS, FOUND = 0, 1
 
@@ -170,6 +172,17 @@ def least_ids(text: np.ndarray, count: np.ndarray, low: np.ndarray, length: int)
     return out
 
 
+def anchor_blocks(group: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Ranges of whole anchors with about BLOCK bytes of text each; equal windows share an anchor, so no block needs another."""
+    heads = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else group
+    upto = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < len(heads):
+        to = max(at + 1, int(np.searchsorted(upto[heads], upto[heads[at]] + BLOCK)))
+        yield slice(int(heads[at]), int(heads[to]) if to < len(heads) else len(group))
+        at = to
+
+
 def compare(table: pa.Table, length: int) -> pa.Table:
     """To each batch of a bucket, for its entries: the smallest id where all windows have the same smaller one (else NO_ID), and for
     other entries with smaller ones the entry, first window, end and id of each run of windows."""
@@ -196,8 +209,9 @@ def compare(table: pa.Table, length: int) -> pa.Table:
     group = np.cumsum(head) - 1
     many = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
     runs: dict[int, list[tuple[int, int, int]]] = {}
-    if len(many):
-        own = unique[many]
+    for some in anchor_blocks(group[many], size[unique[many]]):
+        mine = many[some]
+        own = unique[mine]
         ids = least_ids(gather(data, start[own], size[own]), count[own], low[own], length)
         edges = np.concatenate([[0], np.cumsum(count[own])])
         turn = np.ones(len(ids), bool)
@@ -206,11 +220,11 @@ def compare(table: pa.Table, length: int) -> pa.Table:
         first = np.flatnonzero(turn)
         last = np.append(first[1:], len(ids))
         which = np.searchsorted(edges, first, "right") - 1
-        whole = np.bincount(which, minlength=len(many)) == 1
-        best[many[whole]] = ids[edges[:-1][whole]]
+        whole = np.bincount(which, minlength=len(mine)) == 1
+        best[mine[whole]] = ids[edges[:-1][whole]]
         for w, x, y in zip(which.tolist(), first.tolist(), last.tolist(), strict=True):
             if not whole[w]:
-                runs.setdefault(int(many[w]), []).append((x - int(edges[w]), y - int(edges[w]), int(ids[x])))
+                runs.setdefault(int(mine[w]), []).append((x - int(edges[w]), y - int(edges[w]), int(ids[x])))
     split = np.zeros(len(unique), bool)
     split[[*runs]] = True
     full = np.where(~split[of] & (best[of] < low), best[of], census.NO_ID)
@@ -281,7 +295,7 @@ def remove(docs: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.T
 REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, batch_bytes: int = census.BATCH_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed byte ranges) and kept_sha256 (of the other bytes), a row for each row of
     ``docs``.
 
