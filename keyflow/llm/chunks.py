@@ -124,7 +124,7 @@ def remove(docs: pa.Table, answers: pa.Table, min_run: int) -> pa.Table:
         at += len(mine)
         spans: list[dict[str, int]] = []
         start = 0
-        for end, flag, more in zip(mine, again, [*again[1:], False], strict=True):
+        for end, flag, more in zip(mine, again, [*again[1:], False], strict=False):
             if flag and not more and end - start >= min_run:
                 spans.append({"start": start, "end": end})
             if not (flag and more):
