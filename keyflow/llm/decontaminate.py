@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
+from .scratch import small_batches
 
 WINDOW = 10
 #: Bytes of item text in one automaton (about 200 bytes of memory a word). More items make several automata, which read the documents in turn.
@@ -140,6 +141,7 @@ class Items:
 
 def item_blocks(benchmark: DataFrame, window: int) -> list[Items]:
     """Automata over blocks of at most ITEM_BYTES of item text (or one item); a block at a time is read to the driver."""
+    small_batches(benchmark.sparkSession)
     known = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     n = max(1, -(-total // ITEM_BYTES))

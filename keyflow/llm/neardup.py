@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 BINS = 1 << 20
 BANDS, ROWS = 32, 5  # at a similarity of 0.85, 7 links in 10**9 are in no common bucket; at 0.8, 3 in 10**6
@@ -159,6 +159,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     white space) have no set and link with nothing. Repeated rows of one id and text agree. A null doc_id links with nothing:
     its component is null and the row is kept. Columns other than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = docs.mapInArrow(lambda it: describe(it, width), "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>")
