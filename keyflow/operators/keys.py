@@ -196,14 +196,14 @@ def scan(ks: DataFrame, cursor: tuple[int, bytes] | None, now_ns: int, *, match:
 
 
 def scan_pages(ks: DataFrame, now_ns: int, count: int = 10, *, match: bytes | str | None = None, type_name: str | None = None) -> DataFrame:
-    """All pages of a SCAN at once: key and page. The keys are dealt by ranges of their hash, and pages counted up from the number
+    """All pages of a SCAN at once: key and page. The keys are dealt by a million ranges of their hash, and pages counted up from the number
     of keys in the ranges before, so no task and no driver sees all keys."""
     found = live(ks, now_ns).select("key", "vtype", place().alias("place"))
     if match is not None:
         found = found.filter(matches(F.col("key"), match))
     if type_name is not None:
         found = found.filter(F.col("vtype") == type_name.lower())
-    found = found.select("key", "place", F.shiftright("place", 54).alias("range"))
+    found = found.select("key", "place", F.shiftright("place", 44).alias("range"))
     sizes = found.groupBy("range").count()
     before = sizes.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("place", "key"))

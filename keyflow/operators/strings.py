@@ -25,6 +25,27 @@ def so_far() -> WindowSpec:
     return by_key().rowsBetween(Window.unboundedPreceding, 0)
 
 
+BLOCKS = 4096
+
+
+def running(frame: DataFrame, value: str, name: str) -> DataFrame:
+    """``frame`` with the sum of an integer column over a key's rows up to each one, as the column ``name``.
+
+    A key may have a third of all rows, so its rows are summed by ranges of ``ord`` first: no task sorts more than a range, and the sums
+    of the ranges before, at most BLOCKS for a key, are added. Null where it overflows."""
+    low, high = frame.agg(F.min("ord"), F.max("ord")).first()
+    if low is None:
+        return frame.withColumn(name, F.lit(None).cast("long"))
+    width = (high - low) // BLOCKS + 1
+    ranged = frame.withColumn("range", F.expr(f"(ord - {low}L) div {width}L"))
+    sums = ranged.groupBy("key", "range").agg(F.try_sum(value).alias("sum"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("key", "range", F.coalesce(F.try_sum("sum").over(earlier), F.lit(0)).alias("earlier"))
+    inner = Window.partitionBy("key", "range").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    here = ranged.withColumn("inner", F.try_sum(value).over(inner)).join(sums, ["key", "range"])
+    return here.withColumn(name, F.try_add("earlier", "inner")).drop("earlier", "inner", "range")
+
+
 def is_string() -> Column:
     return ~F.col("found") | (F.col("vtype") == "string")
 
@@ -124,12 +145,13 @@ def mset(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
 
 
 def msetnx(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
-    """MSETNX: 1 and all rows are set if no key exists, else 0 and none is. One plan: the count of existing keys, one row, meets both."""
+    """MSETNX: 1 and all rows are set if no key exists, else 0 and none is. One plan: one row, if any key exists, rules out all."""
     held = lookup(ks, request.select("ord", "key", F.col("val").alias("new")), now_ns)
     free = held.agg((F.coalesce(F.sum(F.col("found").cast("int")), F.lit(0)) == 0).alias("free"))
+    taken = held.filter("found").select(F.lit(0).alias("one")).limit(1)
     out = free.select(F.lit(0).cast("long").alias("ord"), F.lit(None).cast("binary").alias("key"), F.lit("int").alias("kind"), F.col("free").cast("long").alias("ival"), F.lit(None).cast("binary").alias("bulk"))
     value, is_int = canonical(F.col("new"))
-    final = held.groupBy("key").agg(F.max_by("new", "ord").alias("new")).crossJoin(free).filter("free")
+    final = held.groupBy("key").agg(F.max_by("new", "ord").alias("new")).withColumn("one", F.lit(0)).join(taken, "one", "left_anti")
     return Result(out, written(ks, changed(final, value, is_int), now_ns))
 
 
@@ -176,8 +198,8 @@ def setrange(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
 def append(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
     """APPEND of ``val``: the new length. The result is text even where it spells a number."""
     held = lookup(ks, request.select("ord", "key", F.col("val").alias("part")), now_ns)
-    length = F.coalesce(F.octet_length("val"), F.lit(0)) + F.sum(F.octet_length("part")).over(so_far())
-    out = _read(held.withColumn("length", length), F.lit("int"), F.col("length"))
+    grown = running(held.withColumn("more", F.octet_length("part").cast("long")), "more", "added")
+    out = _read(grown, F.lit("int"), F.coalesce(F.octet_length("val"), F.lit(0)) + F.col("added"))
     empty = F.lit(b"").cast("binary")
     of_key = held.filter(is_string()).groupBy("key").agg(F.first("val").alias("val"), F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("parts"))
     after = F.aggregate("parts", F.coalesce("val", empty), lambda v, p: F.concat(v, p.part))
@@ -187,8 +209,8 @@ def append(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
 def incrby(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
     """INCRBY of ``delta``: the new number, from 0 where the key is missing. A row that would overflow changes nothing.
 
-    Without an overflow in sight, the numbers are running sums, and so do keys with any number of rows stay out of one
-    task's memory; keys where the sums' bounds leave 64 bits are folded row by row."""
+    Without an overflow in sight, the numbers are running sums by ranges of rows; keys where the sums' bounds leave 64
+    bits are folded row by row."""
     held = lookup(ks, request, now_ns).withColumn("start", F.when(F.col("found"), F.when(F.col("vtype") == "string", to_int(F.col("val")))).otherwise(F.lit(0)))
     error = F.when(~is_string(), WRONG_TYPE).when(F.col("start").isNull(), NOT_INTEGER)
     held = held.withColumn("error", error)
@@ -207,8 +229,8 @@ def incrby(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
         return F.struct(value.alias("value"), F.concat(state.log, F.array(F.struct(s.ord.alias("ord"), value.alias("value"), after.isNull().alias("failed")))).alias("log"))
 
     folded = steps.select("key", F.aggregate("steps", F.struct("start", zero.alias("log")).cast("struct<value: bigint, log: array<struct<ord: bigint, value: bigint, failed: boolean>>>"), step).alias("f"))
-    running = F.col("start") + F.sum("delta").over(so_far())
-    calm = held.join(bounds.filter("not safe").select("key"), "key", "left_anti").withColumn("now", F.when(F.col("error").isNull(), running))
+    calm = running(held.join(bounds.filter("not safe").select("key"), "key", "left_anti"), "delta", "added")
+    calm = calm.withColumn("now", F.when(F.col("error").isNull(), F.col("start") + F.col("added")))
     out = replies(calm, F.when(F.col("error").isNull(), "int").otherwise("error"), F.col("now"), F.col("error").cast("binary"))
     log = folded.select("key", F.explode("f.log").alias("l")).select(F.col("l.ord").alias("ord"), "key", "l.value", "l.failed")
     out = out.unionByName(replies(log, F.when(F.col("failed"), "error").otherwise("int"), F.when(~F.col("failed"), F.col("value")), F.when(F.col("failed"), F.lit(OVERFLOW.encode()))))

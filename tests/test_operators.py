@@ -87,6 +87,7 @@ def test_counters_and_edits(spark, ks):
     no = "ERR value is not an integer or out of range"
     assert rows(out) == [52, -3, -8, no, "ERR increment or decrement would overflow", 2**63 - 6, "ERR increment or decrement would overflow"]
     assert held(state)["num"] == b"-8" and held(state)["max"] == str(2**63 - 6).encode() and held(state)["foo"] == b"old"
+    assert rows(S.incrby(ks, by(("foo", 2**63 - 1), ("foo", 2**63 - 1)), NOW).replies) == [no, no]
     assert rows(S.incr(ks, request(spark, ["num", "c", "c"]), NOW).replies) == [43, 1, 2] and rows(S.decr(ks, request(spark, ["c"]), NOW).replies) == [-1]
     assert rows(S.decrby(ks, by(("num", 2), ("num", -(2**63))), NOW).replies) == [40, no]
     out, state = S.incrbyfloat(ks, request(spark, [("num", 0.5), ("f", 3.0), ("foo", 1.0), ("num", 1e300)], "delta double"), NOW)
