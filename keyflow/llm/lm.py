@@ -234,22 +234,23 @@ def train_partition(batches: Iterator[pa.RecordBatch], counts: Counts) -> Iterat
 
 
 def average(table: pa.Table) -> pa.Table:
-    """The mean of models, weighted by the tokens that each has seen."""
+    """The mean of a group's models, weighted by the tokens that each has seen."""
     seen = table.column("seen").to_numpy()
     total: np.ndarray | None = None
     for n, raw in zip(seen.tolist(), table.column("model"), strict=True):
         part = np.frombuffer(raw.as_py(), np.float32).astype(np.float64) * (n / seen.sum())
         total = part if total is None else total + part
-    return pa.table({"part": pa.array([0], pa.int32()), "seen": pa.array([int(seen.sum())], pa.int64()), "model": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"part": table.column("group").cast(pa.int32())[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "model": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, counts: Counts) -> Model:
-    """Every training token once; the models of 32 partitions at a time are averaged, and then the averages."""
+    """Every training token once; the partitions' models are averaged in a tree, 32 at a time on two levels and then the rest."""
     kind = "part int, seen long, model binary"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     models = slim.mapInArrow(lambda it: train_partition(it, counts), kind)
-    some = models.groupBy(F.floor(F.col("part") / 32).alias("group")).applyInArrow(average, kind)
-    row = some.groupBy("part").applyInArrow(average, kind).first()
+    for fan in (32, 32, 1 << 30):
+        models = models.withColumn("group", F.floor(F.col("part") / fan)).groupBy("group").applyInArrow(average, kind)
+    row = models.first()
     return start(counts) if row is None else start(counts).load(np.frombuffer(row.model, np.float32))
 
 
