@@ -208,7 +208,7 @@ def keyed(name: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, unlabelled: int = 3_000, rounds: int = 3) -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 6_000, unlabelled: int = 2_000, rounds: int = 3) -> Classifier | None:
     """Fits both views. ``labelled`` and ``unlabelled`` bound (in expectation) the rows of the two samples, which are drawn by
     a hash of doc_id. None where the labels have only one class. A label is good with quality 1 and not toxic; rows with a null
     doc_id or quality are left out; of several labels of a document the worst counts."""
