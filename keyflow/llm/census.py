@@ -28,7 +28,9 @@ def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame,
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-size // batch_bytes), -(-rows // 50_000))
-    return slim.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch"), "doc_id", "text"), n
+    # Rows without an id are dealt by their text.
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    return slim.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("batch"), "doc_id", "text"), n
 
 
 def ids(table: pa.Table) -> np.ndarray:

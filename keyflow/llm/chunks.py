@@ -16,8 +16,8 @@ from . import census
 from .tokens import mix, text_bytes
 
 WINDOW = 16
-LEAST, MOST = 24, 256  # bytes of a chunk, but for a text's last one
-MASK = np.uint32(0xF << 12)  # a cut at one in 16 places, on bits that the whole window reaches
+LEAST, MOST = 16, 128  # bytes of a chunk, but for a text's last one
+MASK = np.uint32(0x7 << 13)  # a cut at one in 8 places, on bits that the whole window reaches
 MIN_RUN = 64  # bytes of consecutive repeated chunks that are removed; fewer are left alone as chance
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
