@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from . import tokens as tk
 from .scratch import small_batches
 
 WINDOW = 10
-#: Bytes of item text in one automaton (about 200 bytes of memory a word). More items make several automata, which read the documents in turn.
+#: Bytes of item text in one automaton (about 200 bytes of memory a word). More items make several blocks, which read the documents in turn.
 ITEM_BYTES = 4_000_000
 
 
@@ -139,51 +140,113 @@ class Items:
         return hits, items
 
 
-def item_blocks(benchmark: DataFrame, window: int) -> list[Items]:
-    """Automata over blocks of at most ITEM_BYTES of item text (or one item); a block at a time is read to the driver."""
+@dataclass(frozen=True)
+class Block:
+    """Items whose automaton each worker makes when it first needs it; only the texts travel."""
+
+    rows: tuple[tuple[str, str], ...]
+    window: int
+
+    def items(self) -> Items:
+        if self not in _made:
+            _made.clear()
+            _made[self] = Items([*self.rows], self.window)
+        return _made[self]
+
+
+_made: dict[Block, Items] = {}
+
+
+def item_blocks(benchmark: DataFrame, window: int) -> list[Block]:
+    """Blocks of at most about ITEM_BYTES of item text (or one item), one at least."""
     small_batches(benchmark.sparkSession)
     known = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     n = max(1, -(-total // ITEM_BYTES))
-    return [Items([(r.item, r.text) for r in known.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item", "text").collect()], window) for k in range(n)]
+    return [Block(tuple((r.item, r.text) for r in known.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item", "text").collect()), window) for k in range(n)]
+
+
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+NAMES = pa.list_(pa.string())
+HITS, ITEMS = "__hits", "__items"
+
+
+@dataclass
+class Read:
+    """What an automaton has found in a block of documents, and their words."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray
+    base: np.ndarray  # the documents' first bytes
+    hits: list[tuple[int, int]]
+    items: dict[int, set[str]]
+
+
+def read(texts: pa.Array, block: Block) -> Iterator[tuple[int, int, Read]]:
+    items = block.items()
+    data, offsets = tk.text_bytes(texts)
+    for a, b in tk.blocks(offsets):
+        part = tk.LOWER[data[offsets[a] : offsets[b]]]
+        base = offsets[a : b + 1] - offsets[a]
+        starts, ends, at = tk.word_spans(part, base, tk.SYMBOLS)
+        yield a, b, Read(starts, ends, at, base, *items.scan(tk.span_hashes(part, starts, ends), at))
+
+
+def mark_batches(batches: Iterator[pa.RecordBatch], block: Block, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batches with what a block has found added to their last two columns: word ranges and items."""
+    for batch in batches:
+        hits, names = (batch.column(c).to_pylist() for c in (HITS, ITEMS))
+        for a, _, r in read(batch.column(text_at), block):
+            for x, y in r.hits:
+                doc = int(np.searchsorted(r.at, x, "right")) - 1
+                hits[a + doc].append({"start": x - int(r.at[doc]), "end": y - int(r.at[doc])})
+            for doc, ids in r.items.items():
+                names[a + doc] = sorted({*names[a + doc], *ids})
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits, RANGES), pa.array(names, NAMES)], schema=batch.schema)
+
+
+def marked(docs: DataFrame, blocks: list[Block]) -> DataFrame:
+    """``docs`` after all blocks but the last have read them, one after the other; with one block, ``docs`` as they are."""
+    if len(blocks) > 1:
+        text_at = docs.columns.index("text")
+        docs = docs.withColumns({HITS: F.array().cast("array<struct<start: long, end: long>>"), ITEMS: F.array().cast("array<string>")})
+        for block in blocks[:-1]:
+            docs = docs.mapInArrow(lambda it, block=block: mark_batches(it, block, text_at), docs.schema)
+    return docs
 
 
-def scan_batches(batches: Iterator[pa.RecordBatch], blocks: list[Items]) -> Iterator[pa.RecordBatch]:
+def scan_batches(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+    """The last block's reading of doc_id, text and what the others have found, if there are others."""
     for batch in batches:
-        data, offsets = tk.text_bytes(batch.column(1))
-        for a, b in tk.blocks(offsets):
-            part = tk.LOWER[data[offsets[a] : offsets[b]]]
-            starts, ends, at = tk.word_spans(part, offsets[a : b + 1] - offsets[a], tk.SYMBOLS)
-            words = tk.span_hashes(part, starts, ends)
-            edge = np.zeros(len(words) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for block in blocks:
-                hits, found = block.scan(words, at)
-                if hits:
-                    where = np.array(hits)
-                    np.add.at(edge, where[:, 0], 1)
-                    np.add.at(edge, where[:, 1], -1)
-                for doc, ids in found.items():
-                    items.setdefault(doc, set()).update(ids)
+        before = [batch.column(c).to_pylist() for c in (HITS, ITEMS)] if HITS in batch.schema.names else None
+        for a, b, r in read(batch.column(1), block):
+            edge = np.zeros(len(r.starts) + 1, np.int64)
+            found = [*r.hits]
+            if before:
+                found += [(int(r.at[i]) + h["start"], int(r.at[i]) + h["end"]) for i in range(b - a) for h in before[0][a + i]]
+            if found:
+                where = np.array(found)
+                np.add.at(edge, where[:, 0], 1)
+                np.add.at(edge, where[:, 1], -1)
             hit = np.cumsum(edge[:-1]) > 0
             upto = np.concatenate([[0], np.cumsum(hit)])
             spans: list[list[dict]] = []
             for i in range(b - a):
-                lo, hi = at[i], at[i + 1]
+                lo, hi = r.at[i], r.at[i + 1]
                 mine = []
                 if upto[hi] > upto[lo]:
                     flags = np.concatenate([[False], hit[lo:hi], [False]])
                     turn = np.flatnonzero(flags[1:] != flags[:-1]) + lo
-                    base = offsets[a + i] - offsets[a]
-                    mine = [{"start": int(starts[x] - base), "end": int(ends[y - 1] - base), "words": int(y - x)} for x, y in zip(turn[::2], turn[1::2], strict=True)]
+                    mine = [{"start": int(r.starts[x] - r.base[i]), "end": int(r.ends[y - 1] - r.base[i]), "words": int(y - x)} for x, y in zip(turn[::2], turn[1::2], strict=True)]
                 spans.append(mine)
-            ids = [sorted(items.get(i, ())) for i in range(b - a)]
+            ids = [sorted({*r.items.get(i, ()), *(before[1][a + i] if before else ())}) for i in range(b - a)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
-                    pa.array(np.diff(at), pa.int64()),
-                    pa.array(upto[at[1:]] - upto[at[:-1]], pa.int64()),
-                    pa.array(ids, pa.list_(pa.string())),
+                    pa.array(np.diff(r.at), pa.int64()),
+                    pa.array(upto[r.at[1:]] - upto[r.at[:-1]], pa.int64()),
+                    pa.array(ids, NAMES),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))),
                 ],
@@ -202,15 +265,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     count. An empty benchmark hits nothing. Repeated rows give repeated results. Other columns are not read.
     """
     blocks = item_blocks(benchmark, window)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: scan_batches(it, blocks), SCAN)
+    slim = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks)
+    return slim.mapInArrow(lambda it: scan_batches(it, blocks[-1]), SCAN)
 
 
-def clean_batches(batches: Iterator[pa.RecordBatch], blocks: list[Items], text_at: int, id_at: int, min_words: int, max_share: float) -> Iterator[pa.RecordBatch]:
+def clean_batches(batches: Iterator[pa.RecordBatch], block: Block, text_at: int, id_at: int, min_words: int, max_share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(text_at)
         new: list[str | None] = []
         keep: list[bool] = []
-        for found in scan_batches(iter([pa.RecordBatch.from_arrays([batch.column(id_at), texts], ["doc_id", "text"])]), blocks):
+        before = [c for c in (HITS, ITEMS) if c in batch.schema.names]
+        slim = pa.RecordBatch.from_arrays([batch.column(id_at), texts, *map(batch.column, before)], ["doc_id", "text", *before])
+        for found in scan_batches(iter([slim]), block):
             for n, hit, spans in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), found.column(5).to_pylist(), strict=True):
                 text = texts[len(new)].as_py()
                 keep.append(not hit or hit <= max_share * n)
@@ -222,8 +288,8 @@ def clean_batches(batches: Iterator[pa.RecordBatch], blocks: list[Items], text_a
                         at = s["end"]
                     text = b"".join([*left, raw[at:]]).decode()
                 new.append(text)
-        columns = [pa.array(new, texts.type) if i == text_at else c for i, c in enumerate(batch.columns)]
-        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+        columns = [pa.array(new, texts.type) if i == text_at else c for i, c in enumerate(batch.columns[: batch.num_columns - len(before)])]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = 1, max_share: float = 0.5) -> DataFrame:
@@ -231,4 +297,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     words more than ``max_share`` are hit. Other rows, null and empty texts included, stay as they are."""
     blocks = item_blocks(benchmark, window)
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
-    return docs.mapInArrow(lambda it: clean_batches(it, blocks, text_at, id_at, min_words, max_share), docs.schema)
+    return marked(docs, blocks).mapInArrow(lambda it: clean_batches(it, blocks[-1], text_at, id_at, min_words, max_share), docs.schema)

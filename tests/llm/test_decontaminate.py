@@ -53,13 +53,16 @@ def test_hits_equal_brute_force(spark, monkeypatch, block):
         assert sum(s.words for s in r.spans) == r.n_hit
 
 
-def test_cleaning(spark):
+def test_cleaning(spark, monkeypatch):
     rng = random.Random(2)
     item = prose(rng, 20, 10**6)
     clean, long = prose(rng, 50, 10**6), prose(rng, 100, 10**6)
     rows = [(1, clean), (2, f"{long} {item} {long}"), (3, f"only {item}"), (4, None), (5, "")]
-    out = {r.doc_id: r.text for r in d.decontaminate(clashing(docs(spark, rows)), table(spark, [(1, item)])).collect()}
-    assert out == {1: clean, 2: f"{long}  {long}", 4: None, 5: ""}
+    for block in (4_000_000, 10):
+        monkeypatch.setattr(d, "ITEM_BYTES", block)
+        df = d.decontaminate(clashing(docs(spark, rows)), table(spark, [(1, item), (2, "other words"), (3, "more of them")]))
+        assert {r.doc_id: r.text for r in df.collect()} == {1: clean, 2: f"{long}  {long}", 4: None, 5: ""}
+        assert df.columns == clashing(docs(spark, rows)).columns
 
 
 def test_empty_tables(spark):
