@@ -97,19 +97,26 @@ def set_(ks: DataFrame, request: DataFrame, now_ns: int, *, ex: int | None = Non
     if nx and xx:
         raise CommandError(SYNTAX)
     deadline = _deadline(now_ns, ex, px, exat, pxat)
-    value, is_int = canonical(F.col("new"))
-    held = lookup(ks, request.select("ord", "key", F.col("val").alias("new")), now_ns).withColumns({"value": value, "number": is_int, "turn": F.row_number().over(by_key())})
-    acts = (~F.col("found") & (F.col("turn") == 1)) if nx else F.col("found") if xx else F.lit(True)
-    held = held.withColumn("acts", acts)
+    value, is_int = canonical(F.col("val"))
+    source = request.select("ord", "key", value.alias("value"), is_int.alias("number"))
+    done = F.lit(OK.encode())
+    if not (nx or xx or get):  # nothing depends on what is there
+        acting, out = source, replies(source, "status", None, done)
+    else:
+        held = lookup(ks, source, now_ns)
+        if nx:
+            held = held.withColumn("acts", ~F.col("found") & (F.row_number().over(by_key()) == 1))
+        else:
+            held = held.withColumn("acts", F.col("found") if xx else F.lit(True))
+        acting = held.filter("acts")
+        out = replies(held, F.when(F.col("acts"), "status").otherwise("nil"), None, F.when(F.col("acts"), done))
     if get:
         # What the last row before has written, else what the keyspace holds.
         last = F.last(F.when(F.col("acts"), F.col("value")), ignorenulls=True).over(by_key().rowsBetween(Window.unboundedPreceding, -1))
         wrong = F.col("found") & (F.col("vtype") != "string") & last.isNull()
         old = F.coalesce(last, "val")
         out = replies(held, F.when(wrong, "error").otherwise(bulk(old)), None, F.when(wrong, F.lit(WRONG_TYPE.encode())).otherwise(old))
-    else:
-        out = replies(held, F.when(F.col("acts"), "status").otherwise("nil"), None, F.when(F.col("acts"), F.lit(OK.encode())))
-    final = held.filter("acts").groupBy("key").agg(F.max_by(F.struct("value", "number"), "ord").alias("w"))
+    final = acting.groupBy("key").agg(F.max_by(F.struct("value", "number"), "ord").alias("w"))
     changes = changed(final, F.col("w.value"), F.col("w.number"), F.lit(deadline), deadline is None or keepttl)
     return Result(out, written(ks, changes, now_ns))
 

@@ -54,7 +54,7 @@ def resolved(commands: DataFrame) -> DataFrame:
 
 def parts(commands: DataFrame) -> DataFrame:
     """seq, sub, now_ns, name, key and args of each key that a command touches."""
-    single = commands.filter(F.col("name").isin(*SINGLE)).select("seq", F.lit(0).alias("sub"), "now_ns", "name", F.col("args")[0].alias("key"), F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(0))).alias("args"))
+    single = commands.filter(F.col("name").isin(*SINGLE)).select("seq", F.lit(0).alias("sub"), "now_ns", "name", F.get("args", F.lit(0)).alias("key"), F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(0))).alias("args"))
     many = commands.filter(F.col("name").isin(*MANY)).select("seq", "now_ns", "name", F.posexplode("args").alias("sub", "key")).select("seq", "sub", "now_ns", "name", "key", F.array().cast("array<binary>").alias("args"))
     pair = F.transform(F.sequence(F.lit(0), F.expr("size(args) div 2 - 1")), lambda i: F.struct(F.get("args", i * 2).alias("key"), F.get("args", i * 2 + 1).alias("value")))
     mset = commands.filter("name = 'MSET'").select("seq", "now_ns", "name", F.posexplode(pair).alias("sub", "pair")).select("seq", "sub", "now_ns", "name", F.col("pair.key").alias("key"), F.array("pair.value").alias("args"))
@@ -91,13 +91,15 @@ def fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(rows)
 
 
-def folded(ks: DataFrame, commands: DataFrame) -> Result:
-    """Replies to the commands, which are no barriers, and the keyspace after them. Keys without commands are passed by in the JVM."""
+def folded(ks: DataFrame, commands: DataFrame, keep: bool) -> Result:
+    """Replies to the commands, which are no barriers, and the keyspace after them. Keys without commands are passed by in the JVM.
+    With ``keep`` the fold is done now and kept for both."""
     touched = parts(commands)
     asked = touched.select("key").distinct()
     before = ks.join(asked, "key", "left_semi").filter("vtype = 'string'").select(F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("sub"), F.lit(None).cast("long").alias("now_ns"), F.lit(None).cast("string").alias("name"), "key", F.lit(None).cast("array<binary>").alias("args"), "val", "is_int", "deadline_ns")
     rows = touched.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("val", "binary"), ("is_int", "boolean"), ("deadline_ns", "long")))).unionByName(before)
-    out = cut(rows.repartition("key").sortWithinPartitions("key", "seq", "sub").mapInArrow(fold_batches, FOLDED))
+    out = rows.repartition("key").sortWithinPartitions("key", "seq", "sub").mapInArrow(fold_batches, FOLDED)
+    out = cut(out) if keep else out
     found = out.filter("tag = 'reply'")
     several = found.filter(F.col("name").isin(*MANY, "MSET")).groupBy("seq", "name").agg(F.sum("ival").alias("ival"), F.array_sort(F.collect_list(F.struct("sub", "bulk"))).alias("items"))
     kind = F.when(F.col("name") == "MGET", "array").when(F.col("name") == "MSET", "status").otherwise("int")
@@ -159,23 +161,25 @@ def barrier(ks: DataFrame, seq: int, now_ns: int, name: str, args: list[bytes])
 def replay(ks: DataFrame, commands: DataFrame, strict_wire: bool = True) -> Result:
     """Replies (seq, kind, ival, bulk, items; KEYS and SCAN also have a row of kind element for each key) and the keyspace after a log. ``seq`` is unique and gives the order; ``now_ns`` doesn't
     fall along it. With ``strict_wire`` commands obey the command table's arity, which leaves no room for the flags of EXPIRE and its
-    kin; else those flags are heard. Each barrier is a job of its own, so barriers should be few."""
+    kin; else those flags are heard. Each barrier is a job of its own, so barriers should be few; without any, nothing is computed
+    before the results are."""
     log = resolved(commands)
     if not strict_wire:
         flagged = F.col("name").isin("EXPIRE", "PEXPIRE", "EXPIREAT", "PEXPIREAT") & (F.size("args") >= 2)
         log = log.withColumn("error", F.when(~flagged, F.col("error")))
-    log = cut(log)
+    among = F.col("error").isNull() & F.col("name").isin(*BARRIERS)
+    barriers = log.filter(among).orderBy("seq").select("seq", "now_ns", "name", "args").collect()
+    log = cut(log) if barriers else log
     good = log.filter("error is null")
     touching = F.col("name").isin(*fold.COMMANDS)
     done = [reply_rows(log.filter("error is not null"), F.lit("error"), bulk=F.col("error")), connection(good.filter(~touching & ~F.col("name").isin(*BARRIERS)))]
     touching_log = good.filter(touching)
-    barriers = good.filter(F.col("name").isin(*BARRIERS)).orderBy("seq").select("seq", "now_ns", "name", "args").collect()
     state, last = ks, None
     for b in [*barriers, None]:
         epoch = touching_log if last is None else touching_log.filter(F.col("seq") > last)
         if b:
             epoch = epoch.filter(F.col("seq") < b.seq)
-        replied, state = folded(state, epoch)
+        replied, state = folded(state, epoch, keep=bool(barriers))
         done.append(replied)
         if b:
             out, state = barrier(state, b.seq, b.now_ns, b.name, [bytes(a) for a in b.args])
@@ -188,7 +192,7 @@ def counters(commands: DataFrame) -> DataFrame:
     """key, total, n of a log of INCR, DECR, INCRBY and DECRBY alone: these commute, so their sums are combined before the shuffle."""
     sign = F.when(F.col("name").isin("DECR", "DECRBY"), -1).otherwise(1)
     by = F.coalesce(F.get("args", F.lit(1)).cast("string").try_cast("long"), F.lit(1))
-    return commands.groupBy(F.col("args")[0].alias("key")).agg(F.sum(sign * by).alias("total"), F.count("*").alias("n"))
+    return commands.groupBy(F.get("args", F.lit(0)).alias("key")).agg(F.sum(sign * by).alias("total"), F.count("*").alias("n"))
 
 
 def final(ks: DataFrame, now_ns: int) -> DataFrame:
