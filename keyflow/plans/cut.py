@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), a local one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder of spark.checkpoint.dir, which all executors share; where it is unset (tests), in a local one."""
     context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="keyflow-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyflow-"))
+        context.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -12,9 +12,12 @@ from .model import keyspace, live, request
 from .operators import keys as K
 from .operators import server as V
 from .operators import strings as S
+from .plans.cut import shared_folder
 from .plans.replay import counters, replay
 from .sources import keyspaces as T
+from .sources import resp
 from .sources.keyspaces import NOW_NS
+from .streaming import replay as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -600,6 +603,29 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.customers(spark, sf_dir).select(text("key"), slot(F.col("key")).alias("slot"))
 
 
+# The wire protocol
+
+
+@register(f"WITH {ORDERS_SQL}, {ASKED_SQL} SELECT ord, coalesce('$' || length(lo.val) || chr(13) || chr(10) || lo.val || chr(13) || chr(10), '$-1' || chr(13) || chr(10)) AS bytes FROM r LEFT JOIN lo ON lo.key = r.key")
+def wire_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of MGET's replies."""
+    out = S.mget(T.orders(spark, sf_dir), asked(spark, sf_dir), NOW_NS)
+    none = F.lit(None).cast("array<binary>")
+    return out.select("ord", resp.encoded(F.col("kind"), F.col("ival"), F.col("bulk"), none).cast("string").alias("bytes"))
+
+
+@register("SELECT CAST(c_custkey AS VARCHAR) AS id, n, CASE n WHEN 0 THEN 'SET' ELSE 'GET' END AS name, CASE n WHEN 0 THEN c_custkey || ',' || c_name ELSE CAST(c_custkey AS VARCHAR) END AS args FROM customer, (VALUES (0), (1)) t(n)")
+def wire_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commands a row, an array of bulk strings and an inline line, from their bytes."""
+    c = T.table(spark, sf_dir, "customer")
+    end = F.lit("\r\n")
+    bulk_ = lambda v: F.concat(F.lit("$"), F.octet_length(v).cast("string"), end, v, end)
+    key = F.col("c_custkey").cast("string")
+    raw = F.concat(F.lit("*3"), end, bulk_(F.lit("set")), bulk_(key), bulk_(F.col("c_name")), F.lit("get  "), key, end)
+    got = resp.decode(c.select(key.alias("id"), raw.cast("binary").alias("bytes")))
+    return got.select("id", "n", "name", F.array_join(F.transform("args", lambda a: a.cast("string")), ",").alias("args"))
+
+
 # Command logs
 
 SEGMENTS_SQL = """g AS (SELECT *, sum(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events),
@@ -618,7 +644,10 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select(text("key"), F.round(F.col("val").cast("string").cast("double"), 4).alias("n"))
 
 
-@register(f"WITH {SEGMENTS_SQL}, x AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS val FROM z) SELECT epoch_us(ts) AS at, user_id, CAST(val AS VARCHAR) AS val FROM x WHERE event_type = 'view'")
+VIEWS_SQL = f"WITH {SEGMENTS_SQL}, x AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS val FROM z) SELECT epoch_us(ts) AS at, user_id, CAST(val AS VARCHAR) AS val FROM x WHERE event_type = 'view'"
+
+
+@register(VIEWS_SQL)
 def replay_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replies to the log's GETs."""
     log = T.event_commands(spark, sf_dir)
@@ -627,6 +656,18 @@ def replay_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.join(out, "seq").select("at", "user_id", F.col("bulk").cast("string").alias("val"))
 
 
+@register(VIEWS_SQL)
+def stream_replay_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same replies from the log as a stream of files, into files."""
+    base, log = shared_folder(spark), T.event_commands(spark, sf_dir)
+    log.write.parquet(f"{base}/log")
+    out = stream.replies(stream.read_commands(spark, f"{base}/log", 1000))
+    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    views = log.filter("name = 'GET'").select("seq", F.expr("now_ns div 1000").alias("at"), F.col("conn_id").alias("user_id"))
+    return views.join(spark.read.parquet(f"{base}/out"), "seq").select("at", "user_id", F.col("bulk").cast("string").alias("val"))
+
+
 @register("SELECT 'clicks:' || user_id AS key, CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'click' GROUP BY user_id")
 def replay_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of counters alone, summed before the shuffle."""
