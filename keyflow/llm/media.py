@@ -15,8 +15,7 @@ from . import webp
 from .tokens import text_bytes
 from .scratch import small_batches
 
-WIDTH = 64
-ROW = 3 * WIDTH  # bytes: a payload is whole rows of red, green and blue samples
+ROW = 192  # samples: a payload is whole rows of grey pixels
 FILL = 32
 
 
@@ -27,7 +26,7 @@ def payload(raw: bytes) -> bytes:
 
 def stored(raw: bytes) -> bytes:
     """The payload as WebP files one after the other, of at most webp.LIMIT rows each. Each states its own length."""
-    samples = np.frombuffer(payload(raw), np.uint8).reshape(-1, WIDTH, 3)
+    samples = np.frombuffer(payload(raw), np.uint8).reshape(-1, ROW)
     return b"".join(webp.encode(samples[at : at + webp.LIMIT]) for at in range(0, len(samples), webp.LIMIT))
 
 
@@ -39,18 +38,24 @@ def images(media: bytes) -> Iterator[np.ndarray]:
         at += size
 
 
+def samples(media: bytes) -> bytes:
+    """The stored payload: the grey values of all pixels."""
+    return b"".join(p[..., 0].tobytes() for p in images(media))
+
+
 def feature(pixels: np.ndarray) -> str:
-    """Width x height, the channels' means and deviations in hundredths (rounded down), and a 64-bit mean hash of an 8 x 8 grid."""
-    flat = pixels[..., :3].reshape(-1, 3).astype(np.int64)
-    n, total, squares = len(flat), flat.sum(0), (flat * flat).sum(0)
+    """Width x height, mean and deviation in hundredths (rounded down), a histogram of eight ranges, and a 64-bit mean hash of
+    an 8 x 8 grid (fewer bits for fewer rows)."""
+    light = pixels[..., 0].astype(np.int64)
+    n, total, squares = light.size, int(light.sum()), int((light * light).sum())
     mean = total * 100 // n
-    deviation = [int(v) for v in np.sqrt(np.maximum(0, squares * 10_000 // n - mean * mean))]
-    light = pixels[..., :3].sum(-1, dtype=np.int64)
+    deviation = int(max(0, squares * 10_000 // n - mean * mean) ** 0.5)
+    ranges = np.bincount(light.ravel() >> 5, minlength=8)
     bands = np.add.reduceat(light, np.unique(np.arange(8) * light.shape[0] // 8), axis=0)
     grid = np.add.reduceat(bands, np.arange(8) * light.shape[1] // 8, axis=1)
     bits = (grid * grid.size > grid.sum()).ravel()
-    mark = int("".join("01"[int(b)] for b in bits).zfill(64), 2)
-    return f"{pixels.shape[1]}x{pixels.shape[0]};mean={','.join(map(str, mean.tolist()))};dev={','.join(map(str, deviation))};hash={mark:016x}"
+    mark = int("".join("01"[int(b)] for b in bits), 2)
+    return f"{pixels.shape[1]}x{pixels.shape[0]};mean={mean};dev={deviation};hist={','.join(map(str, ranges.tolist()))};hash={mark:016x}"
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -82,7 +87,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in _texts(batch):
             media = stored(raw)
             parts = [*images(media)]
-            back = b"".join(np.ascontiguousarray(p[..., :3]).tobytes() for p in parts)
+            back = b"".join(p[..., 0].tobytes() for p in parts)
             row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), "|".join(map(feature, parts)))
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
@@ -98,8 +103,8 @@ def _slim(docs: DataFrame) -> DataFrame:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as images, one row for each row of ``docs``.
 
-    The text's UTF-8 bytes (null: none) and bytes 32 up to a positive multiple of 192 are the samples, three to a pixel and
-    64 pixels to a row; a text of over 3 MB makes several images. Equal texts have equal media. Other columns are not read.
+    The text's UTF-8 bytes (null: none) and bytes 32 up to a positive multiple of 192 are the samples of a grey image with 192
+    pixels to a row; a text of over 3 MB makes several images. Equal texts have equal media. Other columns are not read.
     """
     return _slim(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 

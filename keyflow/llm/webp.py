@@ -524,44 +524,70 @@ def encode_full(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits
     return container(w.value.to_bytes((w.at + 7) // 8, "little"))
 
 
-@lru_cache(maxsize=2048)
-def even_codes(symbols: bytes) -> tuple[int, int, np.ndarray]:
-    """Of an alphabet of 2**n bytes: the bits between the file's header and its pixels, their number, and the reversed code of each byte."""
+@lru_cache(maxsize=4096)
+def even_code(symbols: bytes, size: int) -> tuple[int, int, int, np.ndarray]:
+    """A code for 2**n bytes that gives each n bits: the code's own bits, their number, n, and the reversed code of each byte."""
     n = len(symbols).bit_length() - 1
     w = Writer()
-    w.bits(0, 3)  # no transform, no cache, one group
-    lengths = dict.fromkeys(symbols, max(1, n))
-    for size in (280, 256, 256):
-        code = write_code(w, lengths, size)
-    write_code(w, {255: 1}, 256)
-    write_code(w, {0: 1}, 40)
-    codes = np.zeros(256, np.uint32)
+    code = write_code(w, dict.fromkeys(symbols, max(1, n)), size)
+    codes = np.zeros(256, np.uint8)
     for s, (value, _) in code.codes.items():
         codes[s] = value
-    return w.value, w.at, codes
+    return w.value, w.at, n, codes
+
+
+def filled(used: np.ndarray) -> bytes:
+    """The bytes marked in ``used``, and the smallest others up to a power of two."""
+    n = int(used.sum() - 1).bit_length()
+    used = used.copy()
+    used[np.flatnonzero(~used)[: (1 << n) - used.sum()]] = True
+    return np.flatnonzero(used).astype(np.uint8).tobytes()
 
 
-#: Bytes that fill an alphabet first, so that most texts of a language share theirs.
-_COMMON = np.array([*b" \n.,abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(0xA0, 0xC0), 0xC3])
-FILL = np.concatenate([_COMMON, np.setdiff1d(np.arange(256), _COMMON)])
+def write_even(w: Writer, values: np.ndarray, alphabet: bytes, opaque_first: bool) -> np.ndarray:
+    """The head of an image whose pixels differ in green alone, and the pixels' bits: green codes of one length. With
+    ``opaque_first`` alpha is 255 in the first pixel and 0 in the others, else 255 in all."""
+    value, at, n, codes = even_code(alphabet, 280)
+    w.bits(value, at)
+    for size in (256, 256):
+        write_code(w, {0: 1}, size)
+    two = opaque_first and len(values) > 1
+    write_code(w, {0: 1, 255: 1} if two else {255: 1}, 256)
+    write_code(w, {0: 1}, 40)
+    bits = np.unpackbits(codes[values][:, None], axis=1, bitorder="little")[:, :n]
+    if two:
+        bits = np.column_stack([bits, np.arange(len(values)) == 0]).astype(np.uint8)
+    return bits.ravel()
 
 
 def encode(samples: np.ndarray) -> bytes:
-    """A file of opaque pixels (height, width, 3) whose bytes all have codes of one length, as short as their alphabet allows."""
-    height, width = samples.shape[:2]
-    flat = samples.reshape(-1, 3)
+    """A file of the grey image (height, width) of 8-bit samples: subtract-green and palette transforms, and index codes of one
+    length, as short as the number of different samples allows."""
+    height, width = samples.shape
     used = np.zeros(256, bool)
-    used[flat.ravel()] = True
-    n = int(used.sum() - 1).bit_length()
-    spare = FILL[~used[FILL]][: (1 << n) - used.sum()]
-    used[spare] = True
-    value, at, codes = even_codes(np.flatnonzero(used).astype(np.uint8).tobytes())
+    used[samples.ravel()] = True
+    colours = np.flatnonzero(used)
     w = Writer()
     header(w, width, height, False)
-    w.bits(value, at)
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.at + 7) // 8, "little"), np.uint8), bitorder="little")[: w.at]
-    n_bits = np.uint32(n)
-    codes_of = codes[flat]
-    words = codes_of[:, 1] | codes_of[:, 0] << n_bits | codes_of[:, 2] << (n_bits + n_bits)
-    bits = np.unpackbits(words.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, : 3 * n]
-    return container(np.packbits(np.concatenate([head, bits.ravel()]), bitorder="little").tobytes())
+    w.bits(1, 1)
+    w.bits(GREEN, 2)
+    w.bits(1, 1)
+    w.bits(PALETTE, 2)
+    w.bits(len(colours) - 1, 8)
+    w.bits(0, 1)  # no cache
+    deltas = np.diff(colours, prepend=0)
+    seen = np.zeros(256, bool)
+    seen[deltas] = True
+    table = write_even(w, deltas, filled(seen), True)
+    middle = Writer()
+    middle.bits(0, 3)  # no other transform, no cache, one group
+    index = (np.cumsum(used) - 1).astype(np.uint8)[samples]
+    packed = bundle(len(colours))
+    if packed:
+        each = 1 << packed
+        index = np.pad(index, ((0, 0), (0, -width % each))).reshape(height, -1, each)
+        index = np.bitwise_or.reduce(index << (np.arange(each, dtype=np.uint8) * (8 >> packed)), axis=2)
+    most = 256 if packed else 1 << (len(colours) - 1).bit_length()
+    pixels = write_even(middle, index.ravel(), bytes(range(most)), False)
+    parts = [np.unpackbits(np.frombuffer(x.value.to_bytes((x.at + 7) // 8, "little"), np.uint8), bitorder="little")[: x.at] for x in (w, middle)]
+    return container(np.packbits(np.concatenate([parts[0], table, parts[1], pixels]), bitorder="little").tobytes())

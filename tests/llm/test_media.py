@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from keyflow.llm import webp
-from keyflow.llm.media import digests, images, load, payload, store, stored
+from keyflow.llm.media import digests, images, load, payload, samples, store, stored
 
 from .util import clashing, corpus, docs
 
@@ -26,8 +26,9 @@ def test_round_trips(transforms, cache):
         for references in (False, True):
             data = webp.encode_full(pixels, transforms, cache, references, modes, elements)
             assert (webp.decode(data) == pixels).all()
-        even = webp.decode(webp.encode(pixels[..., :3]))
-        assert (even[..., :3] == pixels[..., :3]).all() and (even[..., 3] == 255).all()
+        grey = pixels[..., 0]
+        even = webp.decode(webp.encode(grey))
+        assert (even[..., :3] == grey[..., None]).all() and (even[..., 3] == 255).all()
 
 
 def test_a_known_file():
@@ -46,18 +47,26 @@ def test_a_known_file():
 
 
 def test_broken_files():
-    good = webp.encode(np.zeros((2, 64, 3), np.uint8) + np.arange(64, dtype=np.uint8)[None, :, None])
+    good = webp.encode(np.zeros((2, 192), np.uint8) + np.arange(192, dtype=np.uint8))
     for bad in (b"", good[:11], b"RIFX" + good[4:], good[:20] + b"\x00" + good[21:], good[:-60]):
         with pytest.raises((ValueError, IndexError, webp.struct.error)):
             webp.decode(bad)
 
 
+@pytest.mark.parametrize("colours", [1, 2, 3, 4, 5, 16, 17, 100, 128, 129, 256])
+def test_grey_images(colours):
+    rng = np.random.default_rng(colours)
+    for width in (1, 7, 192):
+        grey = rng.choice(256, colours, replace=False).astype(np.uint8)[rng.integers(0, colours, (5, width))]
+        assert (webp.decode(webp.encode(grey))[..., 2] == grey).all()
+
+
 def test_very_long_texts_are_several_images():
     raw = bytes(range(256)) * 13_000
     media = stored(raw)
     parts = [*images(media)]
     assert [p.shape[0] for p in parts] == [webp.LIMIT, -(-len(raw) // 192) - webp.LIMIT]
-    assert b"".join(p[..., :3].tobytes() for p in parts) == payload(raw)
+    assert samples(media) == payload(raw)
 
 
 def test_digests(spark):
@@ -75,5 +84,5 @@ def test_digests(spark):
     kept = {r.doc_id: r for r in media.collect() if r.doc_id is not None}
     for r in load(media).collect():
         if r.doc_id is not None:
-            assert b"".join(np.frombuffer(x.pixels, np.uint8).reshape(x.height, x.width, 4)[..., :3].tobytes() for x in r.images)[: kept[r.doc_id].n_bytes] == (dict(rows)[r.doc_id] or "").encode()
+            assert b"".join(np.frombuffer(x.pixels, np.uint8).reshape(x.height, x.width, 4)[..., 0].tobytes() for x in r.images)[: kept[r.doc_id].n_bytes] == (dict(rows)[r.doc_id] or "").encode()
     assert digests(docs(spark, rows).limit(0)).count() == 0
