@@ -1,10 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keyflow.llm.mixing import MIX_SQL, mix, mixed, targets
-from keyflow.llm.queries import QUERIES
+from keyflow.llm.mixing import mix, mixed, targets
 
-from .. import oracle
 from .util import clashing, corpus, docs
 
 
@@ -61,8 +59,3 @@ def test_mix_takes_what_its_sources_should_give(spark):
 def test_empty(spark):
     assert mixed(docs(spark, [(1, "a")]).limit(0)).count() == 0
     assert [r.taken for r in mixed(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
-
-
-@pytest.mark.skipif(not oracle.available(), reason="no tables")
-def test_query_equals_its_sql(spark):
-    oracle.compare(spark, QUERIES["op5_source_mixing"], MIX_SQL, oracle.connection())
