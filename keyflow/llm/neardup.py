@@ -134,14 +134,13 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scrat
     least intersection is taken away, and at the first shared one enough must follow in both. So edits that few sets share
     come first and rule pairs out, and a large group of texts with many edits each doesn't meet all pairs.
     """
-    nodes = scratch.save("rest-nodes", nodes)
     words = sets.join(nodes, "node").select("node", "n", "label", F.explode("shingles").alias("s"))
-    often = scratch.save("rest-often", words.groupBy("s").agg(F.count("*").alias("f"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("s", "f"))
+    often = words.groupBy("s").agg(F.count("*").alias("f"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("s", "f")
     order = words.join(often, "s").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))  # sets' own shingles come first
     order = order.withColumn("own", F.col("n") - F.size("shared")).withColumn("shared", F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int")))
     at = scratch.save("rest-prefix", order.select("node", "n", "label", "own", F.posexplode("shared").alias("i", "e")).select("node", "n", "label", (F.col("own") + F.col("i") + 1).alias("p"), F.col("e.s").alias("s")))
-    mixed = scratch.save("rest-mixed", at.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s"))
+    mixed = at.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
     at = at.join(mixed, "s")
     one = at.select("s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "p")))
     two = at.select("s", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "p")))
@@ -182,7 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         left = slim.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("signature").alias("ax"))
         right = slim.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("signature").alias("bx"))
         sized = pairs.join(left, "a").join(right, "b").filter(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
-        likely = scratch.save(f"{name}-likely", sized.filter(F.pandas_udf(likeness, "double")("ax", "bx") >= percent / 100 - SLACK).select("a", "b", "an", "bn"))
+        likely = sized.filter(F.pandas_udf(likeness, "double")("ax", "bx") >= percent / 100 - SLACK).select("a", "b", "an", "bn")
         full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return scratch.save(name, full.select("a", "b", (common * 100 >= (F.col("an") + F.col("bn") - common) * percent).alias("linked")))
@@ -202,12 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 pairs = prefix_pairs(sets, here.select(F.col("m").alias("node"), "n", "label").distinct(), percent, scratch)
             pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
         found = verified(pairs, turn)
-        asked = found.select("a", "b") if turn == "rest" else pairs.select("a", "b")
-        seen = scratch.save(f"seen-{turn}", asked) if seen is None else seen.union(scratch.save(f"seen-{turn}", asked))
+        seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
         new = found.filter("linked").select("a", "b")
         links = new if links is None else links.union(new)
         if labels is None or not new.isEmpty():
             labels = connected(links, scratch, f"labels-{turn}")
+    scratch.drop("shared", "members", "sets", "rest-prefix", *(f"{kind}{turn}" for kind in ("open-", "") for turn in ("hub", "far", "rest")))
     of_node = nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(of_node, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

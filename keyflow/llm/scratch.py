@@ -31,8 +31,15 @@ class Scratch:
         atexit.register(self.close)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
+        """Small tables become few files: the shuffle's partitions are joined up to the advisory size."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        setting = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(setting, "true")
+        self.spark.conf.set(setting, "false")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
