@@ -106,6 +106,15 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+#: Ids (8 MB) that are broadcast, so that texts stay where they are; more are joined by a shuffle.
+FEW_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, label: the smallest node that can be reached over the links (a, b). Labels fall to the neighbours' minimum and then to
     their own label's label, until none changes; each round is written."""
@@ -172,7 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = scratch.save("members", in_band.join(shared, "band").join(nodes.select(F.col("node").alias("m"), "n"), "m").select("band", "hub", "m", "n"))
 
     wanted = members.select(F.col("m").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    sets = docs.join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
     sets = scratch.save("sets", sets.mapInArrow(lambda it: sets_of(it, width), "node long, shingles array<long>"))
     slim = nodes.select("node", "n", "signature")
 
@@ -219,4 +228,5 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat a kept id stay, as do rows without an id and texts without words. Only the ids of what goes are joined.
     """
     gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    gone = Scratch(docs.sparkSession, "gone").save("ids", gone)
+    return docs.join(few(gone), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
