@@ -12,6 +12,7 @@ That loses no link that could change a component.
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -116,19 +117,22 @@ def few(ids: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the smallest node that can be reached over the links (a, b). Labels fall to the neighbours' minimum and then to
-    their own label's label, until none changes; each round is written."""
+    """node, label: the smallest node that can be reached over the links (a, b). A round (FastSV) lowers each label to its own label's
+    label and to those of the neighbours, and hooks the node that is the label to the same minimum, so that whole trees join
+    and a chain takes rounds by the log of its length. Labels only fall, so the rounds end; each is written."""
     edges = links.select("a", "b").union(links.select("b", "a")).distinct()
     edges = scratch.save(f"{name}-edges", edges)
     labels = scratch.save(f"{name}-0", edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
-    for turn in range(1, 100):
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "low").alias("label"))
+    for turn in count(1):
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        step = step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("beyond", "label")).alias("label"))
+        far = scratch.save(f"{name}-far-{turn}", labels.join(jump, "label").select("node", "label", "beyond"))
+        near = edges.join(far.select(F.col("node").alias("b"), "beyond"), "b").groupBy(F.col("a").alias("node")).agg(F.min("beyond").alias("low"))
+        step = far.join(near, "node").select("node", F.col("label").alias("before"), F.least("beyond", "low").alias("label"))
+        hook = step.groupBy(F.col("before").alias("node")).agg(F.min("label").alias("hook"))
+        step = step.join(hook, "node", "left").select("node", "before", F.least("label", F.coalesce("hook", "label")).alias("label"))
         step = scratch.save(f"{name}-{turn}", step)
         changed = step.filter("label < before").limit(1).count()
-        scratch.drop(f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-far-{turn}")
         labels = step.select("node", "label")
         if not changed:
             break

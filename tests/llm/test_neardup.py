@@ -1,6 +1,7 @@
 import pytest
 
-from keyflow.llm.neardup import deduplicate, near_duplicates
+from keyflow.llm.neardup import connected, deduplicate, near_duplicates
+from keyflow.llm.scratch import Scratch
 
 from .util import clashing, corpus, docs, words
 
@@ -62,3 +63,13 @@ def test_repeated_rows_and_empty_tables(spark):
     assert near_duplicates(docs(spark, rows).limit(0), 3, 85).count() == 0
     kept = deduplicate(clashing(docs(spark, rows)))
     assert [r.doc_id for r in kept.collect()] == [3] and "slot" in kept.columns
+
+
+def test_a_shuffled_chain_is_one_component(spark):
+    import random
+
+    ids = list(range(1000))
+    random.Random(4).shuffle(ids)
+    links = spark.createDataFrame([*zip(ids, ids[1:]), (2000, 2001)], "a long, b long")
+    got = {r.node: r.label for r in connected(links, Scratch(spark, "chain"), "chain").collect()}
+    assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000}
