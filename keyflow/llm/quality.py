@@ -1,29 +1,33 @@
 """Quality classifier by co-training: one view is a page's text, the other its metadata.
 
-Each view has a logistic model. Over rounds, each labels the unlabelled documents that it is most sure of for the other's
-training set. Both are then calibrated on held-out labels and combined; the combination scores every document.
+Each view has a logistic model. Over rounds, each scores all unlabelled documents and labels the share that it is most sure of
+for the other's training set. Both are then calibrated on held-out labels and combined; the combination scores every document.
 
-Models are fitted on the driver on bounded samples (``labelled``, ``unlabelled`` rows); scoring covers all documents.
+Only the labelled rows are a bounded sample (``labelled``), which the driver holds. Of the other documents executors count scores
+and words, and add up gradients and Hessians; those sums, whose size is fixed, reach the driver.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 
 SHAPE = 14  # numbers that describe a text's form
 SLOTS = 64  # of hashed metadata values
+SHARE = 0.025  # of all documents, that a view labels for the other in each class: so much in the first round, twice more in the second, ...
+SURE = 295  # the least bin of a pseudo-label: a probability of 0.95
+BASE, HELD = 1, 2  # parts of the labelled rows; 0 is any other document
 
 
 def text_features(column) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """Blocks of texts: the first one's number, the distinct word hashes of each (letters and digits, lower case), and the form numbers."""
+    """Blocks of texts: the first one's number, the distinct word hashes (32 bits) of each (letters and digits, lower case), and the form numbers."""
     data, offsets = tk.text_bytes(column)
     for a, b in tk.blocks(offsets):
         raw = data[offsets[a] : offsets[b]]
@@ -42,7 +46,7 @@ def text_features(column) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
         sets = []
         for i in range(b - a):
             mine = words[at[i] : at[i + 1]]
-            distinct = np.unique(mine)
+            distinct = np.unique((mine >> np.uint64(32)).astype(np.uint32))
             sets.append(distinct)
             size, n = max(1, within[i + 1] - within[i]), max(1, len(mine))
             pairs = np.unique(mine[:-1] * np.uint64(3) + mine[1:]) if len(mine) > 1 else mine
@@ -80,54 +84,42 @@ def squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Coefficients with the intercept last; the features are dense and few. Newton's method, a block of rows at a time."""
-    w = np.zeros(x.shape[1] + 1)
+def slopes(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss, without a penalty; a block of rows at a time."""
+    grad, hess = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for at in range(0, len(x), 2000):
+        part = slice(at, at + 2000)
+        rows = np.column_stack([x[part], np.ones(len(x[part]))]).astype(float)
+        p = squash(rows @ w)
+        grad += rows.T @ (weight[part] * (p - y[part]))
+        hess += rows.T @ (rows * (weight[part] * np.maximum(p * (1 - p), 1e-6))[:, None])
+    return grad, hess
+
+
+def newton(w: np.ndarray, grad: np.ndarray, hess: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """The next coefficients, and the longest move."""
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+    move = np.linalg.solve(hess + np.diag(penalty), grad + penalty * w)
+    most = np.abs(move).max()
+    return w - move * min(1.0, 5 / max(1e-9, most)), most
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """Coefficients with the intercept last; the features are dense and few."""
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(30):
-        grad, hess = penalty * w, np.diag(penalty)
-        for at in range(0, len(x), 2000):
-            part = slice(at, at + 2000)
-            rows = np.column_stack([x[part], np.ones(len(x[part]))]).astype(float)
-            p = squash(rows @ w)
-            grad += rows.T @ (weight[part] * (p - y[part]))
-            hess += rows.T @ (rows * (weight[part] * np.maximum(p * (1 - p), 1e-6))[:, None])
-        move = np.linalg.solve(hess, grad)
-        w -= move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
-        if np.abs(move).max() < 1e-4:
+        w, most = newton(w, *slopes(x, y, weight, w), ridge)
+        if most < 1e-4:
             break
     return w
 
 
-@dataclass
-class Vocabulary:
-    """The words of a sample that four texts or more have: their hashes, and for each text its words' numbers."""
-
-    words: np.ndarray
-    rows: np.ndarray
-    codes: np.ndarray
-
-    @classmethod
-    def of(cls, sets: list[np.ndarray]) -> "Vocabulary":
-        every = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-        words = every[first[np.diff(np.append(first, len(every))) >= 4]]
-        del every
-        rows, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for i, s in enumerate(sets if len(words) else []):
-            place = np.minimum(np.searchsorted(words, s), len(words) - 1)
-            mine = place[words[place] == s]
-            rows.append(np.full(len(mine), i, np.int32))
-            codes.append(mine.astype(np.int32))
-        return cls(words, np.concatenate(rows), np.concatenate(codes))
-
-
 @dataclass
 class TextModel:
     """Presence of chosen words, and form numbers."""
 
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     form: np.ndarray = field(default_factory=lambda: np.zeros(SHAPE + 1))
 
@@ -136,7 +128,7 @@ class TextModel:
         if len(self.words):
             for at in range(0, len(sets), 500):
                 part = sets[at : at + 500]
-                every = np.concatenate([*part, np.zeros(0, np.uint64)])
+                every = np.concatenate([*part, np.zeros(0, np.uint32)])
                 place = np.minimum(np.searchsorted(self.words, every), len(self.words) - 1)
                 total = np.concatenate([[0], np.cumsum(np.where(self.words[place] == every, self.weights[place], 0))])
                 edges = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int64)
@@ -144,32 +136,16 @@ class TextModel:
         return out
 
 
-def fit_text(vocabulary: Vocabulary, form: np.ndarray, use: np.ndarray, y: np.ndarray, weight: np.ndarray, most_words: int = 600) -> TextModel:
-    """Fits the texts ``use``. Words are chosen by the log-likelihood ratio of their presence in the two classes."""
-    place = np.full(len(form), -1)
-    place[use] = np.arange(len(use))
-    mine = place[vocabulary.rows] >= 0
-    rows, codes = place[vocabulary.rows[mine]], vocabulary.codes[mine]
-    n = len(vocabulary.words)
-    good = np.bincount(codes, (weight * y)[rows], n)
-    bad = np.bincount(codes, (weight * (1 - y))[rows], n)
-    total_good, total_bad = (weight * y).sum(), (weight * (1 - y)).sum()
-    share = total_good / max(1e-9, total_good + total_bad)
-    seen = good + bad
-    part = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(e, 1e-12)), 0)
-    gain = part(good, seen * share) + part(bad, seen * (1 - share))
-    gain[seen < 4] = 0
-    chosen = np.argsort(-gain, kind="stable")[:most_words]
-    chosen = np.sort(chosen[gain[chosen] > 6])
-    slot = np.full(n, -1)
-    slot[chosen] = np.arange(len(chosen))
-    column = slot[codes]
-    here = column >= 0
-    x = np.zeros((len(use), SHAPE + len(chosen)), np.float32)
-    x[:, :SHAPE] = form[use]
-    x[rows[here], SHAPE + column[here]] = 1
-    w = fit_logistic(x, y, weight, 0.3)
-    return TextModel(vocabulary.words[chosen], w[SHAPE:-1], np.concatenate([w[:SHAPE], w[-1:]]))
+def codes_of(words: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text, the numbers of those of ``words`` (ascending) that it has."""
+    return [np.flatnonzero(np.isin(words, s, assume_unique=True)).astype(np.uint16) for s in sets]
+
+
+def text_matrix(form: np.ndarray, codes: list[np.ndarray], n: int) -> np.ndarray:
+    x = np.zeros((len(form), SHAPE + n), np.float32)
+    x[:, :SHAPE] = form
+    x[np.repeat(np.arange(len(codes)), [len(c) for c in codes]), SHAPE + np.concatenate([*codes, np.zeros(0, np.int64)]).astype(np.int64)] = 1
+    return x
 
 
 @dataclass
@@ -194,76 +170,201 @@ class Classifier:
         return np.concatenate([*out, np.zeros((0, 3))])
 
 
-def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def featured(batches: Iterator[pa.RecordBatch], ids: np.ndarray, good: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Features of all rows; those of the sample of labels (ascending ids) have part BASE or HELD and a class."""
     for batch in batches:
+        doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(ids, doc), max(0, len(ids) - 1))
+        known = (ids[place] == doc) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(doc), bool)
+        split = np.where(known, np.where(held[place], HELD, BASE), 0) if len(ids) else np.zeros(len(doc), int)
+        label = pa.array(good[place] if len(ids) else np.zeros(len(doc), int), pa.int32(), mask=~known)
         for a, sets, form in text_features(batch.column("text")):
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, n), batch.column("good").slice(a, n), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([f.tobytes() for f in form], pa.binary()), *(batch.column(c).slice(a, n) for c in ("lang", "source", "n_chars"))],
-                ["doc_id", "good", "words", "form", "lang", "source", "n_chars"],
+                [batch.column("doc_id").slice(a, n), pa.array(split[a : a + n], pa.int32()), label.slice(a, n), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([f.tobytes() for f in form], pa.binary()), *(batch.column(c).slice(a, n) for c in ("lang", "source", "n_chars"))],
+                ["doc_id", "split", "good", "words", "form", "lang", "source", "n_chars"],
             )
 
 
+def unpacked(batch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word sets, form numbers and metadata features of featured rows."""
+    sets = [np.frombuffer(x, np.uint32) for x in batch.column("words").to_pylist()]
+    form = np.frombuffer(b"".join(batch.column("form").to_pylist()), float).reshape(-1, SHAPE)
+    return sets, form, meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+
+
+@dataclass
+class Round:
+    """Both views' models and calibrations, and for each view the bins up to which it says bad and from which it says good."""
+
+    text: TextModel
+    meta: np.ndarray
+    calibrate: tuple[np.ndarray, np.ndarray]
+    cuts: tuple[tuple[int, int], tuple[int, int]] = ((-1 << 30, 1 << 30), (-1 << 30, 1 << 30))
+
+    def bins(self, sets: list[np.ndarray], form: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+        """Hundredths of the calibrated log odds, by text and by metadata."""
+        raw = self.text.score(sets, form), meta @ self.meta[:-1] + self.meta[-1]
+        return [np.floor(np.clip(r * c[0] + c[1], -30, 30) * 100).astype(np.int64) for r, c in zip(raw, self.calibrate, strict=True)]
+
+    def labels(self, *features) -> list[np.ndarray]:
+        """What each view says of rows: 1, 0, or -1 where it isn't sure enough."""
+        return [np.where(b >= high, 1, np.where(b <= low, 0, -1)) for b, (low, high) in zip(self.bins(*features), self.cuts, strict=True)]
+
+
+def count_bins(batches: Iterator[pa.RecordBatch], now: Round) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for view, bins in enumerate(now.bins(*unpacked(batch))):
+            values, n = np.unique(bins, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), view), pa.int32()), pa.array(values), pa.array(n.astype(np.int64))], ["view", "bin", "n"])
+
+
+def cut(bins: np.ndarray, n: np.ndarray, least: float) -> tuple[int, int]:
+    """The lowest bin, from SURE up, that takes ``least`` rows with those above it or all there are; and how many rows that takes."""
+    order = np.argsort(-bins)
+    order = order[bins[order] >= SURE]
+    if not len(order):
+        return 1 << 30, 0
+    upto = np.cumsum(n[order])
+    at = min(int(np.searchsorted(upto, least)), len(order) - 1)
+    return int(bins[order[at]]), int(upto[at])
+
+
+def count_words(batches: Iterator[pa.RecordBatch], now: Round | None) -> Iterator[pa.RecordBatch]:
+    """Words of the text view's training rows by class, in tenths of a row: ten for a label, three for a pseudo-label."""
+    for batch in batches:
+        split, good = batch.column("split").to_numpy(), batch.column("good").fill_null(-1).to_numpy()
+        sets, form, meta = unpacked(batch)
+        said = now.labels(sets, form, meta)[1] if now else np.full(len(sets), -1)
+        label = np.where(split == BASE, good, np.where(split == HELD, -1, said))
+        use = np.flatnonzero(label >= 0)
+        every = np.concatenate([*(sets[i] for i in use), np.zeros(0, np.uint32)])
+        words, which = np.unique(every, return_inverse=True)
+        each = [len(sets[i]) for i in use]
+        tenths, y = np.repeat(np.where(split[use] == BASE, 10, 3), each), np.repeat(label[use], each)
+        tally = [np.bincount(which, tenths * (y == c), len(words)).astype(np.int64) for c in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(tally[0]), pa.array(tally[1])], ["word", "good", "bad"])
+
+
+def choose_words(rows: DataFrame, now: Round | None, good: float, bad: float, most_words: int = 600) -> np.ndarray:
+    """Words are chosen by the log-likelihood ratio of their presence in the two classes, which have ``good`` and ``bad`` rows."""
+    tally = rows.mapInArrow(lambda it: count_words(it, now), "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    tally = tally.filter("good + bad >= 40").select("word", (F.col("good") / 10).alias("g"), (F.col("bad") / 10).alias("b"))
+    share = good / max(1e-9, good + bad)
+    part = lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("g") + F.col("b")) * max(1e-12, s)))).otherwise(0.0)
+    best = tally.withColumn("gain", part("g", share) + part("b", 1 - share)).filter("gain > 6").orderBy(F.desc("gain"), "word").limit(most_words)
+    return np.array(sorted(r.word for r in best.select("word").collect()), np.uint32)
+
+
+def taught(batches: Iterator[pa.RecordBatch], now: Round, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows with a pseudo-label: that for the text view, that for the metadata view, and small features."""
+    for batch in batches:
+        sets, form, meta = unpacked(batch)
+        by_text, by_meta = now.labels(sets, form, meta)
+        use = np.flatnonzero((by_text >= 0) | (by_meta >= 0))
+        codes = codes_of(words, [sets[i] for i in use])
+        rest = [batch.column(c).take(pa.array(use)) for c in ("form", "lang", "source", "n_chars")]
+        yield pa.RecordBatch.from_arrays([pa.array(by_meta[use], pa.int32()), pa.array(by_text[use], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), *rest], ["to_text", "to_meta", "codes", "form", "lang", "source", "n_chars"])
+
+
+def sum_slopes(batches: Iterator[pa.RecordBatch], text: np.ndarray, meta: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = [np.zeros(s) for n in (len(text), len(meta)) for s in (n, n * n)]
+    for batch in batches:
+        form = np.frombuffer(b"".join(batch.column("form").to_pylist()), float).reshape(-1, SHAPE)
+        x = text_matrix(form, [np.frombuffer(c, np.uint16) for c in batch.column("codes").to_pylist()], len(text) - SHAPE - 1)
+        z = meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+        for k, (rows, name, w) in enumerate(((x, "to_text", text), (z, "to_meta", meta))):
+            y = batch.column(name).to_numpy()
+            for t, more in zip(total[2 * k :], slopes(rows[y >= 0], y[y >= 0], np.ones(np.sum(y >= 0)), w), strict=False):
+                t += more.ravel()
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate(total).tobytes()], pa.binary())], ["part", "sums"])
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), float) for x in table.column("sums"))
+    return pa.table({"part": table.column("group").cast(pa.int32())[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def all_slopes(rows: DataFrame, text: np.ndarray, meta: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and Hessian of either view over all pseudo-labels, added up in a tree."""
+    kind = "part int, sums binary"
+    sums = rows.mapInArrow(lambda it: sum_slopes(it, text, meta), kind)
+    for fan in (16, 16, 1 << 30):
+        sums = sums.withColumn("group", F.floor(F.col("part") / fan)).groupBy("group").applyInArrow(add_up, kind)
+    row = sums.first()
+    n, m = len(text), len(meta)
+    flat = np.zeros(n + n * n + m + m * m) if row is None else np.frombuffer(row.sums, float)
+    at = n + n * n
+    return [(flat[:n], flat[n:at].reshape(n, n)), (flat[at : at + m], flat[at + m :].reshape(m, m))]
+
+
 def keyed(name: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 6_000, unlabelled: int = 2_000, rounds: int = 3) -> Classifier | None:
-    """Fits both views. ``labelled`` and ``unlabelled`` bound (in expectation) the rows of the two samples, which are drawn by
-    a hash of doc_id. None where the labels have only one class. A label is good with quality 1 and not toxic; rows with a null
-    doc_id or quality are left out; of several labels of a document the worst counts."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, rounds: int = 3) -> Classifier | None:
+    """Fits both views. ``labelled`` bounds (in expectation) the labels that are used, which are drawn by a hash of doc_id; of the
+    other documents none is left out. None where the labels have only one class. A label is good with quality 1 and not toxic; rows
+    with a null doc_id or quality are left out; of several labels of a document the worst counts."""
     small_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    n_known, n_docs = known.count(), docs.count()
-    pick = keyed("labelled") < labelled / max(1, n_known)
-    rest = keyed("unlabelled") < unlabelled / max(1, n_docs)
+    sample = known.filter(keyed("labelled") < labelled / max(1, known.count())).toPandas().sort_values("doc_id")
+    ids, good = sample.doc_id.to_numpy(np.int64), sample.good.to_numpy(np.int64)
+    if len(set(good.tolist())) < 2:
+        return None
+    held = np.arange(len(ids)) % 5 == 4  # ids say nothing of the class
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    # The sample of labels is small by its bound, so the texts stay where they are.
-    marked = slim.join(F.broadcast(known.filter(pick)), "doc_id", "left").filter(F.col("good").isNotNull() | rest)
-    schema = "doc_id long, good int, words binary, form binary, lang string, source string, n_chars long"
-    rows = marked.mapInArrow(featured, schema).toPandas().sort_values("doc_id", kind="stable")
-    rows = rows[rows.doc_id.notna()].reset_index(drop=True)
-    sets = [np.frombuffer(x, np.uint64) for x in rows.words]
-    form = np.frombuffer(b"".join(rows.form), float).reshape(len(rows), SHAPE)
-    meta = meta_features([v if isinstance(v, str) else None for v in rows.lang], [v if isinstance(v, str) else None for v in rows.source], [None if pd.isna(v) else int(v) for v in rows.n_chars])
-    return co_train(sets, form, meta, rows.good.to_numpy(float, na_value=np.nan), rounds)
-
-
-def co_train(sets: list[np.ndarray], form: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int) -> Classifier | None:
-    has = ~np.isnan(y)
-    order = np.arange(len(y))
-    held = has & (order % 5 == 4)  # rows are sorted by id, which says nothing of the class
-    base = has & ~held
+    schema = "doc_id long, split int, good int, words binary, form binary, lang string, source string, n_chars long"
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.save("rows", slim.mapInArrow(lambda it: featured(it, ids, good, held), schema))
+    model = co_train(rows, scratch, rounds)
+    scratch.close()
+    return model
+
+
+def co_train(rows: DataFrame, scratch: Scratch, rounds: int) -> Classifier | None:
+    own = rows.filter("split > 0").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    sets, form, meta = unpacked(own)
+    y, held = own.column("good").to_numpy().astype(float), own.column("split").to_numpy() == HELD
+    base = np.flatnonzero(~held)
     if min(np.sum(y[base] == 1), np.sum(y[base] == 0), np.sum(y[held] == 1), np.sum(y[held] == 0)) < 1:
         return None
-    pool = ~has
-    to_text, to_meta = np.full(len(y), np.nan), np.full(len(y), np.nan)  # pseudo-labels for either view
-
-    def fit(extra: np.ndarray):
-        target = np.where(base, y, extra)
-        use = np.flatnonzero(~np.isnan(target))
-        return use, target[use], np.where(base[use], 1.0, 0.3)
-
-    vocabulary = Vocabulary.of(sets)
+    pool = rows.filter("split = 0")
+    n_pool = pool.count()
+    even, one = np.ones(len(base)), np.ones(held.sum())
+    now: Round | None = None
+    pseudo = [(0, 0), (0, 0)]  # bad and good ones by text, and by metadata
     for turn in range(rounds + 1):
-        use, target, weight = fit(to_text)
-        text = fit_text(vocabulary, form, use, target, weight)
-        use, target, weight = fit(to_meta)
-        coefs = fit_logistic(meta[use], target, weight, 3.0)
-        t, m = text.score(sets, form), meta @ coefs[:-1] + coefs[-1]
-        cal_t = fit_logistic(t[held, None], y[held], np.ones(held.sum()), 1e-3)
-        cal_m = fit_logistic(m[held, None], y[held], np.ones(held.sum()), 1e-3)
-        if turn == rounds:
-            break
-        for raw, cal, to in ((t, cal_t, to_meta), (m, cal_m, to_text)):
-            p = squash(raw * cal[0] + cal[1])
-            free = np.flatnonzero(pool & np.isnan(to))
-            for cls, sure in ((1, p), (0, 1 - p)):
-                best = free[np.argsort(-sure[free], kind="stable")[: 50 * (turn + 1)]]
-                best = best[sure[best] > 0.95]
-                to[best] = cls
-    combine = fit_logistic(np.column_stack([t[held], m[held]]), y[held], np.ones(held.sum()), 1e-2)
-    return Classifier(text, coefs, combine, cal_t, cal_m, int(base.sum()), (int((~np.isnan(to_meta)).sum()), int((~np.isnan(to_text)).sum())))
+        words = choose_words(rows, now, np.sum(y[base] == 1) + 0.3 * pseudo[1][1], np.sum(y[base] == 0) + 0.3 * pseudo[1][0])
+        x = text_matrix(form[base], codes_of(words, [sets[i] for i in base]), len(words))
+        w = [fit_logistic(x, y[base], even, 0.3), fit_logistic(meta[base], y[base], even, 3.0)]
+        if now and sum(map(sum, pseudo)):
+            taught_rows = scratch.save(f"taught-{turn}", pool.mapInArrow(lambda it, now=now, words=words: taught(it, now, words), "to_text int, to_meta int, codes binary, form binary, lang string, source string, n_chars long"))
+            # Together, pseudo-labels weigh 0.3 of the labels at most, however many there are.
+            weight = [0.3 * min(1.0, len(base) / max(1, sum(pseudo[view]))) for view in (1, 0)]
+            for _ in range(30):
+                far = all_slopes(taught_rows, *w)
+                near = [slopes(f, y[base], even, v) for f, v in zip((x, meta[base]), w, strict=True)]
+                w, moves = zip(*(newton(v, a[0] + k * b[0], a[1] + k * b[1], ridge) for v, a, b, k, ridge in zip(w, near, far, weight, (0.3, 3.0), strict=True)), strict=True)
+                if max(moves) < 1e-2:
+                    break
+            scratch.drop(f"taught-{turn}")
+        text, coefs = TextModel(words, w[0][SHAPE:-1], np.concatenate([w[0][:SHAPE], w[0][-1:]])), w[1]
+        t, m = text.score([sets[i] for i in np.flatnonzero(held)], form[held]), meta[held] @ coefs[:-1] + coefs[-1]
+        cal = fit_logistic(t[:, None], y[held], one, 1e-3), fit_logistic(m[:, None], y[held], one, 1e-3)
+        if turn < rounds:
+            now = Round(text, coefs, cal)
+            tally = pool.mapInArrow(lambda it, now=now: count_bins(it, now), "view int, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toPandas()
+            least = SHARE * (turn + 1) * (turn + 2) / 2 * n_pool
+            cuts = []
+            for view in (0, 1):
+                bins, n = (tally[tally.view == view][c].to_numpy(np.int64) for c in ("bin", "n"))
+                (high, n_good), (low, n_bad) = cut(bins, n, least), cut(-bins - 1, n, least)
+                cuts.append((-low - 1, high))
+                pseudo[view] = n_bad, n_good
+            now.cuts = tuple(cuts)
+    combine = fit_logistic(np.column_stack([t, m]), y[held], one, 1e-2)
+    return Classifier(text, coefs, combine, *cal, len(base), (sum(pseudo[0]), sum(pseudo[1])))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Classifier | None, keep_only: float | None) -> Iterator[pa.RecordBatch]:

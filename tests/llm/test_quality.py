@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from keyflow.llm.quality import fit_logistic, keep_good, score, squash
+from keyflow.llm.quality import fit_logistic, keep_good, score, squash, train
 
 from .util import clashing, docs, prose
 
@@ -60,3 +60,16 @@ def test_logistic_fit_recovers_a_slope():
     x = rng.normal(size=(20_000, 1))
     y = (rng.random(20_000) < squash(2 * x[:, 0] - 1)).astype(float)
     assert np.allclose(fit_logistic(x, y, np.ones(20_000), 1e-6), [2, -1], atol=0.1)
+
+
+def test_pseudo_labels_grow_with_the_unlabelled_table(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(4000):
+        good = rng.random() < 0.5
+        text = prose(rng, 20, 60) + ("" if good else " vileword")
+        rows.append((i, text, "en", "s0" if good else "s1", len(text)))
+        if i % 10 == 0:
+            labels.append((i, int(good), 0))
+    model = train(docs(spark, rows), spark.createDataFrame(labels, SCHEMA))
+    assert min(model.pseudo) > 1000  # 15 % of 3,600 documents, in either class
