@@ -17,6 +17,7 @@ from .scratch import small_batches
 
 ROW = 192  # samples: a payload is whole rows of grey pixels
 FILL = 32
+ROWS = 4096  # of an image; a longer text makes several
 
 
 def payload(raw: bytes) -> bytes:
@@ -25,9 +26,9 @@ def payload(raw: bytes) -> bytes:
 
 
 def stored(raw: bytes) -> bytes:
-    """The payload as WebP files one after the other, of at most webp.LIMIT rows each. Each states its own length."""
+    """The payload as WebP files one after the other, of at most ROWS rows each. Each states its own length."""
     samples = np.frombuffer(payload(raw), np.uint8).reshape(-1, ROW)
-    return b"".join(webp.encode(samples[at : at + webp.LIMIT]) for at in range(0, len(samples), webp.LIMIT))
+    return b"".join(webp.encode(samples[at : at + ROWS]) for at in range(0, len(samples), ROWS))
 
 
 def images(media: bytes) -> Iterator[np.ndarray]:
@@ -104,7 +105,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as images, one row for each row of ``docs``.
 
     The text's UTF-8 bytes (null: none) and bytes 32 up to a positive multiple of 192 are the samples of a grey image with 192
-    pixels to a row; a text of over 3 MB makes several images. Equal texts have equal media. Other columns are not read.
+    pixels to a row; a text of over 786,432 bytes makes several images. Equal texts have equal media. Other columns are not read.
     """
     return _slim(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
@@ -115,6 +116,10 @@ def load(media: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What is stored and what is read back from it: sizes, SHA-256 of payload and media, the CRC-32 of the payload's last 16 bytes, and
-    the images' features."""
+    """What is stored and what is read back from it, one row for each row of ``docs``: sizes, SHA-256 of payload and media, the CRC-32 of
+    the payload's last 16 bytes, and the images' features.
+
+    A null or empty text is one row of blanks; a null doc_id stays null; repeated rows give equal rows; no rows give none. A very
+    long text makes several images. Other columns are not read.
+    """
     return _slim(docs).mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -1,8 +1,8 @@
-"""Lossless WebP (VP8L) in numpy: a decoder for the whole format and an encoder that can use all of it.
+"""Lossless WebP (VP8L): a decoder for the whole format and an encoder that can use all of it.
 
-The decoder reads prefix codes, back-references, the colour cache and grouped codes, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Images of literals whose codes have one length in each channel, as
-``encode`` writes them by default, are decoded and encoded by array operations; others symbol by symbol.
+The decoder reads prefix codes by tables, back-references as runs, the colour cache and grouped codes, and inverts the
+predictor (row segments at once), cross-colour, subtract-green and palette transforms. The encoder finds matches by sorting
+runs of pixels and writes all codes of an image at once.
 
 Pixels are arrays of shape (height, width, 4): red, green, blue, alpha.
 """
@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import heapq
 import struct
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 
+from .tokens import mix
+
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: Fixed value: the order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -27,15 +29,17 @@ class Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
-    def bits(self, n: int) -> int:
-        if not n:
-            return 0
+    def peek(self) -> int:
+        """The next bits, 57 at least; zeros after the end."""
         byte = self.at >> 3
-        value = int.from_bytes(self.data[byte : byte + 5], "little") >> (self.at & 7)
+        return int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7)
+
+    def bits(self, n: int) -> int:
+        value = self.peek() & ((1 << n) - 1)
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the image ends too early")
-        return value & ((1 << n) - 1)
+        return value
 
 
 class Writer:
@@ -48,15 +52,14 @@ class Writer:
 
 
 class Code:
-    """A canonical prefix code. ``even``: the length that all its symbols have, or -1."""
+    """A canonical prefix code: ``codes`` gives each symbol's reversed code and length, ``table`` for each run of ``most`` bits the
+    symbol times 16 and the length of its code. A code of one symbol takes no bits."""
 
     def __init__(self, lengths: dict[int, int]):
         order = sorted(lengths, key=lambda s: (lengths[s], s))
         self.symbols = order
-        self.even = lengths[order[0]] if len({*lengths.values()}) == 1 else -1
-        if len(order) == 1:
-            self.even = 0
-        self.table: dict[tuple[int, int], int] = {}
+        self.only = order[0] if len(order) == 1 else -1
+        self.most = 0 if len(order) == 1 else lengths[order[-1]]
         self.codes: dict[int, tuple[int, int]] = {}
         code = last = 0
         for s in order:
@@ -65,23 +68,22 @@ class Code:
             last = n
             if code >> n:
                 raise ValueError("too many codes")
-            self.table[n, code] = s
             self.codes[s] = (int(f"{code:0{n}b}"[::-1], 2) if n else 0, n)
             code += 1
         if len(order) > 1 and code != 1 << last:
             raise ValueError("not all codes are used")
 
+    @cached_property
+    def table(self) -> list[int]:
+        table = np.zeros(1 << self.most, np.int32)
+        for s, (code, n) in self.codes.items():
+            table[code :: 1 << n] = s << 4 | n
+        return table.tolist()
+
     def read(self, r: Reader) -> int:
-        if self.even == 0:
-            return self.symbols[0]
-        code = n = 0
-        while True:
-            code = code << 1 | r.bits(1)
-            n += 1
-            if (n, code) in self.table:
-                return self.table[n, code]
-            if n > 15:
-                raise ValueError("not a code")
+        found = self.table[r.peek() & ((1 << self.most) - 1)]
+        r.bits(found & 15)
+        return found >> 4
 
 
 def read_code(r: Reader, size: int) -> Code:
@@ -113,12 +115,8 @@ def read_code(r: Reader, size: int) -> Code:
     return Code(found)
 
 
-def prefixed(r: Reader, s: int) -> int:
-    """A length or distance from its prefix symbol and the extra bits."""
-    if s < 4:
-        return s + 1
-    extra = (s - 2) >> 1
-    return ((2 + (s & 1)) << extra) + r.bits(extra) + 1
+#: Of the prefix symbols of lengths and distances: the least value, and the number of extra bits that are added to it.
+PREFIXES = [(s + 1, 0) if s < 4 else (((2 + (s & 1)) << ((s - 2) >> 1)) + 1, (s - 2) >> 1) for s in range(40)]
 
 
 def slot(argb: int, bits: int) -> int:
@@ -130,7 +128,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
-    group_bits, groups = 0, None
+    group_bits, across, groups = 0, 0, None
     if main and r.bits(1):
         group_bits = r.bits(3) + 2
         across = -(-width >> group_bits)
@@ -138,24 +136,52 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(r, n) for n in sizes] for _ in range(int(groups.max()) + 1 if groups is not None else 1)]
     total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups is None and not cache_bits and min(green.even, red.even, blue.even, alpha.even) >= 0 and max(green.symbols) < 256:
-        return even_pixels(r, total, codes[0])
-    out = [0] * total
-    cache = [0] * (1 << cache_bits)
+    # Of each group: the table and mask of green, the pixel that a green symbol makes where the other channels have one symbol each,
+    # and the codes of the others.
+    plain = [[c[3].only << 24 | c[1].only << 16 | s << 8 | c[2].only for s in range(256)] if min(x.only for x in c[1:4]) >= 0 else None for c in codes]
+    ready = [(c[0].table, (1 << c[0].most) - 1, p, c) for c, p in zip(codes, plain, strict=True)]
     table = groups.tolist() if groups is not None else None
-    at = 0
-    cached = 0  # pixels that are in the cache
+    green, mask, made, group = ready[0]
+    data, byte = r.data, r.at + 7 >> 3
+    have = 8 * byte - r.at  # bits in ``word``
+    word = r.peek() & ((1 << have) - 1)
+    out: list[int] = []
+    cache = [0] * (1 << cache_bits)
+    at = cached = 0  # pixels that are out, and in the cache
     while at < total:
-        group = codes[table[(at // width >> group_bits) * across + (at % width >> group_bits)]] if table else codes[0]
-        s = group[0].read(r)
+        if have < 64:  # a literal takes up to 60 bits, a back-reference 59
+            word |= int.from_bytes(data[byte : byte + 16], "little") << have
+            byte += 16
+            have += 128
+        if table:
+            green, mask, made, group = ready[table[(at // width >> group_bits) * across + (at % width >> group_bits)]]
+        s = green[word & mask]
+        n = s & 15
+        word >>= n
+        have -= n
+        s >>= 4
         if s < 256:
-            red, blue, alpha = group[1].read(r), group[2].read(r), group[3].read(r)
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
+            if made:
+                out.append(made[s])
+            else:
+                argb = s << 8
+                for code, shift in zip(group[1:4], (16, 0, 24), strict=True):
+                    found = code.table[word & ((1 << code.most) - 1)]
+                    word >>= found & 15
+                    have -= found & 15
+                    argb |= found >> 4 << shift
+                out.append(argb)
             at += 1
         elif s < 280:
-            n = prefixed(r, s - 256)
-            far = prefixed(r, group[4].read(r))
+            base, extra = PREFIXES[s - 256]
+            n = base + (word & ((1 << extra) - 1))
+            word >>= extra
+            found = group[4].table[word & ((1 << group[4].most) - 1)]
+            word >>= found & 15
+            base, more = PREFIXES[found >> 4]
+            far = base + (word & ((1 << more) - 1))
+            word >>= more
+            have -= extra + (found & 15) + more
             if far > 120:
                 far -= 120
             else:
@@ -163,46 +189,23 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 far = max(1, x + y * width)
             if far > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out[at] = out[at - far]
-                at += 1
+            run = out[at - far : at - far + n]
+            while len(run) < n:
+                run += run[: n - len(run)]
+            out += run
+            at += n
         else:
             while cached < at:
                 cache[slot(out[cached], cache_bits)] = out[cached]
                 cached += 1
-            out[at] = cache[s - 280]
+            out.append(cache[s - 280])
             at += 1
+    r.at = 8 * byte - have
+    if r.at > 8 * len(data):
+        raise ValueError("the image ends too early")
     return np.array(out, np.uint32)
 
 
-def even_pixels(r: Reader, total: int, codes: list[Code]) -> np.ndarray:
-    """Literals whose codes have one length in each channel."""
-    lengths = [c.even for c in codes[:4]]
-    wide = sum(lengths)
-    out = np.zeros(total, np.uint32)
-    if wide:
-        first = r.at >> 3
-        skip = r.at & 7
-        need = (skip + total * wide + 7) >> 3
-        raw = np.frombuffer(r.data, np.uint8, min(need, len(r.data) - first), first)
-        if len(raw) < need:
-            raise ValueError("the image ends too early")
-        bits = np.unpackbits(raw, bitorder="little")[skip : skip + total * wide].reshape(total, wide)
-    at = 0
-    for code, n, shift in zip(codes[:4], lengths, (8, 16, 0, 24), strict=True):
-        symbols = np.array(code.symbols, np.uint32) << np.uint32(shift)
-        if n:
-            index = np.zeros(total, np.uint16)
-            for j in range(n):
-                index = (index << 1) | bits[:, at + j]
-            out |= symbols[index]
-            at += n
-        else:
-            out |= symbols[0]
-    r.at += total * wide
-    return out
-
-
 def channels(argb: np.ndarray) -> np.ndarray:
     """(…, 4) bytes in the order red, green, blue, alpha."""
     return argb.astype("<u4")[..., None].view(np.uint8)[..., [2, 1, 0, 3]]
@@ -212,45 +215,66 @@ def numbers(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).view("<u4")[..., 0]
 
 
-def predicted(mode: int, left, top, corner, after) -> list[int]:
-    """The prediction from four neighbours (channel lists)."""
-    mean = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
-    clamp = lambda v: min(255, max(0, v))
+def average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a + b) >> 1
+
+
+def predicted(mode: int, left, top, corner, after) -> np.ndarray:
+    """The prediction from four neighbours, arrays of 32-bit channels."""
     if mode == 0 or mode > 13:
-        return [0, 0, 0, 255]
+        return np.broadcast_to(np.array([0, 0, 0, 255], np.int32), top.shape)
     if mode < 5:
-        return [left, top, after, corner][mode - 1]
+        return (left, top, after, corner)[mode - 1]
     if mode < 10:
-        return (lambda: mean(mean(left, after), top), lambda: mean(left, corner), lambda: mean(left, top), lambda: mean(corner, top), lambda: mean(top, after))[mode - 5]()
+        return average(*((average(left, after), top), (left, corner), (left, top), (corner, top), (top, after))[mode - 5])
     if mode == 10:
-        return mean(mean(left, corner), mean(top, after))
+        return average(average(left, corner), average(top, after))
     if mode == 11:
-        by_left = sum(abs(t - c) for t, c in zip(top, corner, strict=True))
-        by_top = sum(abs(x - c) for x, c in zip(left, corner, strict=True))
-        return left if by_left < by_top else top
+        by_left, by_top = np.abs(top - corner).sum(-1), np.abs(left - corner).sum(-1)
+        return np.where((by_left < by_top)[..., None], left, top)
     if mode == 12:
-        return [clamp(x + t - c) for x, t, c in zip(left, top, corner, strict=True)]
-    return [clamp(m + int((m - c) / 2)) for m, c in zip(mean(left, top), corner, strict=True)]
+        return np.clip(left + top - corner, 0, 255)
+    mean, gap = average(left, top), average(left, top) - corner
+    return np.clip(mean + np.sign(gap) * (np.abs(gap) >> 1), 0, 255)
+
+
+ABOVE = {0, 2, 3, 4, 8, 9}  # modes that read the row above alone
+
+
+def neighbours(full: np.ndarray, y: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Above, above left and above right of columns a to b - 1 in row y; right of a row's end is the row's own first pixel."""
+    after = full[y - 1, a + 1 : b + 1]
+    if len(after) < b - a:
+        after = np.concatenate([after, full[y, :1]])
+    return full[y - 1, a:b], full[y - 1, a - 1 : b - 1], after
 
 
 def predictor(pixels: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
-    """Adds the predictions to residuals, or takes them from pixels (``forward``)."""
+    """Adds the predictions to residuals, or takes them from pixels (``forward``), a segment of a row at a time."""
     height, width = pixels.shape[:2]
-    given = pixels.tolist()
-    out = [[None] * width for _ in range(height)]
+    given = pixels.astype(np.int32)
+    out = np.zeros_like(given)
     full = given if forward else out
-    for y in range(height):
-        for x in range(width):
-            if y == 0:
-                guess = full[0][x - 1] if x else [0, 0, 0, 255]
-            elif x == 0:
-                guess = full[y - 1][0]
+    sign = -1 if forward else 1
+    black = np.array([0, 0, 0, 255], np.int32)
+    first = np.concatenate([black[None], given[0, :-1]]) if forward else None
+    out[0] = (given[0] - first) & 255 if forward else (np.cumsum(given[0], 0) + black) & 255
+    sides = [max(1, x << bits) for x in range(modes.shape[1])] + [width]
+    for y in range(1, height):
+        out[y, 0] = (given[y, 0] + sign * full[y - 1, 0]) & 255
+        for tile, a, b in zip(modes[y >> bits].tolist(), sides[:-1], sides[1:], strict=True):
+            if a >= b:
+                continue
+            if forward or tile in ABOVE or tile > 13:
+                top, corner, after = neighbours(full, y, a, b)
+                left = full[y, a - 1 : b - 1]
+                out[y, a:b] = (given[y, a:b] + sign * predicted(tile, left, top, corner, after)) & 255
+            elif tile == 1:
+                out[y, a:b] = (np.cumsum(given[y, a:b], 0) + out[y, a - 1]) & 255
             else:
-                above = full[y - 1]
-                after = above[x + 1] if x + 1 < width else full[y][0]
-                guess = predicted(int(modes[y >> bits, x >> bits]), full[y][x - 1], above[x], above[x - 1], after)
-            out[y][x] = [(v - g if forward else v + g) & 255 for v, g in zip(given[y][x], guess, strict=True)]
-    return np.array(out, np.uint8).reshape(height, width, 4)
+                for x in range(a, b):
+                    out[y, x] = (given[y, x] + predicted(tile, out[y, x - 1], *(v[0] for v in neighbours(out, y, x, x + 1)))) & 255
+    return out.astype(np.uint8)
 
 
 def cross(pixels: np.ndarray, elements: np.ndarray, bits: int, forward: bool) -> np.ndarray:
@@ -334,20 +358,21 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
     """Huffman code lengths; rare symbols count as more where a length would be above ``most``."""
     if len(counts) == 1:
         return dict.fromkeys(counts, 1)
+    symbols = sorted(counts)
     floor = 1
     while True:
-        heap = [(max(n, floor), i, [s]) for i, (s, n) in enumerate(sorted(counts.items()))]
+        heap = [(max(counts[s], floor), i) for i, s in enumerate(symbols)]
         heapq.heapify(heap)
-        depth = dict.fromkeys(counts, 0)
-        tick = len(heap)
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            for s in x + y:
-                depth[s] += 1
-            heapq.heappush(heap, (a + b, tick, x + y))
-            tick += 1
-        if max(depth.values()) <= most:
-            return depth
+        parent = [0] * (2 * len(symbols) - 1)
+        for new in range(len(symbols), len(parent)):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x] = parent[y] = new
+            heapq.heappush(heap, (a + b, new))
+        depth = [0] * len(parent)
+        for i in range(len(parent) - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth) <= most:
+            return dict(zip(symbols, depth, strict=False))
         floor *= 2
 
 
@@ -403,65 +428,145 @@ def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
     return code
 
 
-def prefix_of(value: int) -> tuple[int, int, int]:
-    """The prefix symbol, extra bits and their number of a length or distance."""
-    v = value - 1
-    if v < 4:
-        return v, 0, 0
-    high = v.bit_length() - 1
-    second = v >> (high - 1) & 1
-    return 2 * high + second, v & ((1 << (high - 1)) - 1), high - 1
+def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix symbols, extra bits and their numbers of lengths or distances."""
+    v = values.astype(np.int64) - 1
+    high = np.maximum(np.frexp(v.astype(float))[1] - 1, 1)
+    few = v < 4
+    symbol = np.where(few, v, 2 * high + (v >> (high - 1) & 1))
+    return symbol, np.where(few, 0, v & ((1 << (high - 1)) - 1)), np.where(few, 0, high - 1)
+
+
+GRAMS = (4, 6, 12)  # pixels of the runs whose latest repetition is looked up
+PAY = 4  # bits that a back-reference costs beside those of its distance
+FAR = (1 << 20) - 120  # of a back-reference
+LONG = 4096  # pixels of one
+
+
+def matches(values: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel, the distance to where the next ``gram`` pixels last stood before, and for how long both go on alike (0: none)."""
+    far, length = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+    n = len(values) - gram + 1
+    if not 1 < n < 1 << 24:
+        return far, length
+    key = np.zeros(n, np.uint64)
+    for k in range(gram):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n]
+    low = np.uint64((1 << 24) - 1)
+    key = np.sort(mix(key) & ~low | np.arange(n, dtype=np.uint64))
+    same = (key[1:] | low) == (key[:-1] | low)
+    now, was = (key[1:][same] & low).astype(np.int64), (key[:-1][same] & low).astype(np.int64)
+    alike = now - was <= FAR
+    for k in range(gram):
+        alike &= values[now + k] == values[was + k]
+    far[now[alike]] = (now - was)[alike]
+    ends = np.append(np.flatnonzero(far[1:] != far[:-1]), len(far) - 1)
+    at = np.arange(len(far))
+    length = np.where(far > 0, ends[np.searchsorted(ends, at)] - at + gram, 0)
+    return far, length
+
+
+def parse(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of the back-references that pay: each pixel takes the longest match, or leaves it to the next
+    pixel where that has a longer one."""
+    counts = np.unique(values, return_counts=True)[1]
+    literal = float(-(counts * np.log2(counts / counts.sum())).sum() / counts.sum())  # bits of a pixel
+    far, length = matches(values, GRAMS[0])
+    for gram in GRAMS[1:]:
+        more, longer = matches(values, gram)
+        better = longer > length + 1
+        far, length = np.where(better, more, far), np.where(better, longer, length)
+    pays = length * max(literal, 0.01) > PAY + np.log2(far + 120)
+    length = np.minimum(np.where(pays, length, 0), LONG)
+    some = np.flatnonzero(length)
+    following = np.append(some, len(values))[np.searchsorted(some, np.arange(len(values) + 1))].tolist()
+    spans = [*length.tolist(), 0, 0]
+    starts, at, n = [], 0, len(values)
+    while (at := following[at]) < n:
+        while spans[at + 1] > spans[at]:
+            at += 1
+        starts.append(at)
+        at += spans[at]
+    found = np.array(starts, np.int64)
+    return found, length[found], far[found]
+
+
+def packed_bits(values: np.ndarray, sizes: np.ndarray) -> int:
+    """Numbers of up to 63 bits one after the other, the first one lowest."""
+    end = np.cumsum(sizes)
+    start = end - sizes
+    word, shift = start >> 6, (start & 63).astype(np.uint64)
+    out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
+    np.bitwise_or.at(out, word, values << shift)
+    np.bitwise_or.at(out, word + 1, np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))
+    return int.from_bytes(out.astype("<u8").tobytes(), "little")
+
+
+def cache_slots(values: np.ndarray, cache_bits: int) -> np.ndarray:
+    """The slot of each pixel that is in the cache when its turn comes, -1 for the others."""
+    slots = ((np.uint32(0x1E35A7BD) * values.astype(np.uint32)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    order = np.argsort(slots, kind="stable")
+    alike = (slots[order[1:]] == slots[order[:-1]]) & (values[order[1:]] == values[order[:-1]])
+    out = np.full(len(values), -1)
+    hit = order[1:][alike]
+    out[hit] = slots[hit]
+    return out
 
 
 def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """An image with Huffman codes; matches of three pixels or more become back-references."""
-    values = argb.ravel().tolist()
-    stream: list[tuple[int, ...]] = []
-    cache = [0] * (1 << cache_bits)
-    seen: dict[tuple[int, ...], int] = {}
-    near = {x + y * width: i + 1 for i, (x, y) in reversed([*enumerate(NEAR)]) if x + y * width > 0}
-    at = 0
-    while at < len(values):
-        n, far = 0, 0
-        if references and (was := seen.get(tuple(values[at : at + 3]), -1)) >= 0:
-            far = at - was
-            while n < 4096 and at + n < len(values) and values[at + n] == values[was + n]:
-                n += 1
-        if n >= 3:
-            stream.append((n, near.get(far, far + 120)))
-        elif cache_bits and cache[slot(values[at], cache_bits)] == values[at]:
-            stream.append((280 + slot(values[at], cache_bits),))
-            n = 1
-        else:
-            v = values[at]
-            stream.append((v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24))
-            n = 1
-        for i in range(at, at + n):
-            if cache_bits:
-                cache[slot(values[i], cache_bits)] = values[i]
-            seen[tuple(values[i : i + 3])] = i
-        at += n
+    """An image with Huffman codes, back-references where they pay, and cache codes for what else is in the cache."""
+    values = argb.ravel().astype(np.uint64)
+    none = np.zeros(0, np.int64)
+    starts, lengths, far = parse(values) if references else (none, none, none)
+    token = np.ones(len(values) + 1, np.int64)
+    if len(starts):
+        edge = np.zeros(len(values) + 1, np.int64)
+        edge[starts + 1] += 1
+        np.subtract.at(edge, starts + lengths, 1)
+        token = (np.cumsum(edge) == 0).astype(np.int64)
+    at = np.flatnonzero(token[:-1])  # pixels where a token begins
+    v = values[at]
+    is_match = np.zeros(len(values), bool)
+    is_match[starts] = True
+    match = is_match[at]
+    symbols = [(v >> np.uint64(s) & np.uint64(255)).astype(np.int64) for s in (8, 16, 0, 24)]
+    literal = ~match
+    if cache_bits:
+        slots = cache_slots(values, cache_bits)[at]
+        cached = literal & (slots >= 0)
+        symbols[0][cached] = 280 + slots[cached]
+        literal &= ~cached
+    near = {x + y * width: i + 1 for i, (x, y) in reversed([*enumerate(NEAR)]) if x + y * width > 0} if len(far) else {}
+    coded = np.array([near.get(d, d + 120) for d in far.tolist()], np.int64)
+    (size, size_extra, size_bits), (place, place_extra, place_bits) = prefixes_of(lengths), prefixes_of(coded)
+    symbols[0][match] = 256 + size
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    counts: list[dict[int, int]] = [{} for _ in sizes]
-    for x in stream:
-        used = [(0, 256 + prefix_of(x[0])[0]), (4, prefix_of(x[1])[0])] if len(x) == 2 else [*enumerate(x)]
-        for j, s in used:
-            counts[j][s] = counts[j].get(s, 0) + 1
+    used = [symbols[0], *(s[literal] for s in symbols[1:]), place]
     w.bits(int(cache_bits > 0), 1)
     if cache_bits:
         w.bits(cache_bits, 4)
     if main:
         w.bits(0, 1)
-    codes = [write_code(w, code_lengths(c or {0: 1}), n).codes for c, n in zip(counts, sizes, strict=True)]
-    for x in stream:
-        if len(x) == 2:
-            for j, value, base in ((0, x[0], 256), (4, x[1], 0)):
-                s, extra, bits = prefix_of(value)
-                w.bits(*codes[j][base + s])
-                w.bits(extra, bits)
-        else:
-            for j, s in enumerate(x):
-                w.bits(*codes[j][s])
+    tables = []
+    for s, n in zip(used, sizes, strict=True):
+        counts = np.bincount(s, minlength=1)
+        found = {int(x): int(counts[x]) for x in np.flatnonzero(counts)} or {0: 1}
+        codes = write_code(w, code_lengths(found), n).codes
+        table = np.zeros((n, 2), np.uint64)
+        table[[*codes]] = [*codes.values()]
+        tables.append(table)
+    bits, wide = (tables[0][symbols[0], j] for j in (0, 1))
+    for j, channel in enumerate(symbols[1:], 1):
+        if tables[j][:, 1].any():
+            more = np.where(literal[:, None], tables[j][channel], np.uint64(0))
+            bits, wide = bits | more[:, 0] << wide, wide + more[:, 1]
+    if len(starts):
+        b, n = bits[match], wide[match]
+        for more, more_n in ((size_extra, size_bits), (tables[4][place, 0], tables[4][place, 1]), (place_extra, place_bits)):
+            b, n = b | more.astype(np.uint64) << n, n + more_n.astype(np.uint64)
+        bits[match], wide[match] = b, n
+    wide = wide.astype(np.int64)
+    w.bits(packed_bits(bits, wide), int(wide.sum()))
 
 
 def container(stream: bytes) -> bytes:
@@ -477,7 +582,7 @@ def header(w: Writer, width: int, height: int, alpha: bool) -> None:
     w.bits(0, 3)
 
 
-def encode_full(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, modes: np.ndarray | None = None, elements: np.ndarray | None = None, bits: int = 2) -> bytes:
+def encode_with(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, modes: np.ndarray | None = None, elements: np.ndarray | None = None, bits: int = 2) -> bytes:
     """A file with Huffman codes and the given transforms, in their order. ``modes`` and ``elements`` are what the predictor and
     cross-colour transforms use for each block of 2**bits pixels a side (default: the top pixel, and no change)."""
     height, width = pixels.shape[:2]
@@ -524,70 +629,33 @@ def encode_full(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits
     return container(w.value.to_bytes((w.at + 7) // 8, "little"))
 
 
-@lru_cache(maxsize=4096)
-def even_code(symbols: bytes, size: int) -> tuple[int, int, int, np.ndarray]:
-    """A code for 2**n bytes that gives each n bits: the code's own bits, their number, n, and the reversed code of each byte."""
-    n = len(symbols).bit_length() - 1
-    w = Writer()
-    code = write_code(w, dict.fromkeys(symbols, max(1, n)), size)
-    codes = np.zeros(256, np.uint8)
-    for s, (value, _) in code.codes.items():
-        codes[s] = value
-    return w.value, w.at, n, codes
-
-
-def filled(used: np.ndarray) -> bytes:
-    """The bytes marked in ``used``, and the smallest others up to a power of two."""
-    n = int(used.sum() - 1).bit_length()
-    used = used.copy()
-    used[np.flatnonzero(~used)[: (1 << n) - used.sum()]] = True
-    return np.flatnonzero(used).astype(np.uint8).tobytes()
-
-
-def write_even(w: Writer, values: np.ndarray, alphabet: bytes, opaque_first: bool) -> np.ndarray:
-    """The head of an image whose pixels differ in green alone, and the pixels' bits: green codes of one length. With
-    ``opaque_first`` alpha is 255 in the first pixel and 0 in the others, else 255 in all."""
-    value, at, n, codes = even_code(alphabet, 280)
-    w.bits(value, at)
-    for size in (256, 256):
-        write_code(w, {0: 1}, size)
-    two = opaque_first and len(values) > 1
-    write_code(w, {0: 1, 255: 1} if two else {255: 1}, 256)
-    write_code(w, {0: 1}, 40)
-    bits = np.unpackbits(codes[values][:, None], axis=1, bitorder="little")[:, :n]
-    if two:
-        bits = np.column_stack([bits, np.arange(len(values)) == 0]).astype(np.uint8)
-    return bits.ravel()
+TILE = 4  # log2 of the pixels of a predictor block's side
 
 
-def encode(samples: np.ndarray) -> bytes:
-    """A file of the grey image (height, width) of 8-bit samples: subtract-green and palette transforms, and index codes of one
-    length, as short as the number of different samples allows."""
+def alike(samples: np.ndarray) -> np.ndarray:
+    """Predictor modes of a grey image's blocks: left or top where most of a block's samples equal that neighbour, else none."""
     height, width = samples.shape
-    used = np.zeros(256, bool)
-    used[samples.ravel()] = True
-    colours = np.flatnonzero(used)
-    w = Writer()
-    header(w, width, height, False)
-    w.bits(1, 1)
-    w.bits(GREEN, 2)
-    w.bits(1, 1)
-    w.bits(PALETTE, 2)
-    w.bits(len(colours) - 1, 8)
-    w.bits(0, 1)  # no cache
-    deltas = np.diff(colours, prepend=0)
-    seen = np.zeros(256, bool)
-    seen[deltas] = True
-    table = write_even(w, deltas, filled(seen), True)
-    middle = Writer()
-    middle.bits(0, 3)  # no other transform, no cache, one group
-    index = (np.cumsum(used) - 1).astype(np.uint8)[samples]
-    packed = bundle(len(colours))
-    if packed:
-        each = 1 << packed
-        index = np.pad(index, ((0, 0), (0, -width % each))).reshape(height, -1, each)
-        index = np.bitwise_or.reduce(index << (np.arange(each, dtype=np.uint8) * (8 >> packed)), axis=2)
-    most = 256 if packed else 1 << (len(colours) - 1).bit_length()
-    pixels = write_even(middle, index.ravel(), bytes(range(most)), False)
-    parts = [np.unpackbits(np.frombuffer(x.value.to_bytes((x.at + 7) // 8, "little"), np.uint8), bitorder="little")[: x.at] for x in (w, middle)]
-    return container(np.packbits(np.concatenate([parts[0], table, parts[1], pixels]), bitorder="little").tobytes())
+    left, top = np.zeros(samples.shape, bool), np.zeros(samples.shape, bool)
+    left[:, 1:] = samples[:, 1:] == samples[:, :-1]
+    top[1:] = samples[1:] == samples[:-1]
+    rows, columns = np.arange(0, height, 1 << TILE), np.arange(0, width, 1 << TILE)
+    share = lambda hit: np.add.reduceat(np.add.reduceat(hit.astype(float), rows, 0), columns, 1)
+    a, b, whole = share(left), share(top), share(np.ones_like(left))
+    return np.where(2 * np.maximum(a, b) < whole, 0, np.where(a >= b, 1, 2)).astype(np.uint8)
+
+
+def encode(samples: np.ndarray) -> bytes:
+    """The shortest of a few files of the grey image (height, width) of 8-bit samples, with Huffman codes and back-references.
+
+    Up to 16 different samples make a palette, whose indices share pixels; other images subtract green. Where most samples of a
+    quarter of the blocks equal their left or top neighbours, a file with the predictor is tried as well. A colour cache and cross-colour never
+    shorten a grey image: its pixels have one channel left, whose literals cost as much as cache codes, and green is all of it.
+    """
+    pixels = np.repeat(samples[..., None], 4, 2)
+    pixels[..., 3] = 255
+    few = len(np.flatnonzero(np.bincount(samples.ravel(), minlength=256))) <= 16
+    found = [encode_with(pixels, (PALETTE,) if few else (GREEN,))]
+    modes = alike(samples)
+    if modes.astype(bool).mean() >= 0.25:
+        found.append(encode_with(pixels, (PREDICTOR, GREEN), modes=modes, bits=TILE))
+    return min(found, key=len)

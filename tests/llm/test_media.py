@@ -1,13 +1,14 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
 
 from keyflow.llm import webp
-from keyflow.llm.media import digests, images, load, payload, samples, store, stored
+from keyflow.llm.media import ROWS, digests, images, load, payload, samples, store, stored
 
-from .util import clashing, corpus, docs
+from .util import clashing, corpus, docs, prose
 
 
 def test_near_codes():
@@ -24,7 +25,7 @@ def test_round_trips(transforms, cache):
         modes = None if webp.PALETTE in transforms else rng.integers(0, 14, shape).astype(np.uint8)
         elements = rng.integers(0, 256, (*shape, 4)).astype(np.uint8)
         for references in (False, True):
-            data = webp.encode_full(pixels, transforms, cache, references, modes, elements)
+            data = webp.encode_with(pixels, transforms, cache, references, modes, elements)
             assert (webp.decode(data) == pixels).all()
         grey = pixels[..., 0]
         even = webp.decode(webp.encode(grey))
@@ -62,11 +63,94 @@ def test_grey_images(colours):
 
 
 def test_very_long_texts_are_several_images():
-    raw = bytes(range(256)) * 13_000
+    rng = random.Random(1)
+    raw = prose(rng, 300_000, 5000).encode() + bytes(range(256)) * 2000
     media = stored(raw)
     parts = [*images(media)]
-    assert [p.shape[0] for p in parts] == [webp.LIMIT, -(-len(raw) // 192) - webp.LIMIT]
+    rows = -(-len(raw) // 192)
+    assert [p.shape[0] for p in parts] == [ROWS] * (rows // ROWS) + [rows % ROWS]
     assert samples(media) == payload(raw)
+    assert len(media) < len(raw) / 2
+
+
+def test_what_texts_use(monkeypatch):
+    """Back-references, prefix codes, palette, subtract-green and the predictor come up in texts; files are about as short as deflate's."""
+    rng = random.Random(2)
+    used = set()
+    for name in ("predictor", "subtract_green", "bundle"):
+        was = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, name=name, was=was: (used.add((name, a[-1])), was(*a))[1])
+    texts = [prose(rng, 400).encode(), b"abc " * 300, "".join(rng.choice("01") for _ in range(900)).encode()]
+    texts.append(b"".join(bytes(rng.randrange(32, 120) for _ in range(8)) + b"-" * 184 for _ in range(30)))
+    for raw in texts:
+        media = stored(raw)
+        assert samples(media) == payload(raw)
+        assert len(media) < 1.15 * len(zlib.compress(payload(raw))) + 60
+    assert {("predictor", False), ("subtract_green", False)} <= used and any(name == "bundle" for name, _ in used)
+
+
+def test_references_that_overlap_and_reach_far():
+    rng = np.random.default_rng(3)
+    block = rng.integers(0, 256, 192 * 30).astype(np.uint8)
+    grey = np.concatenate([block, np.full(192 * 50, 7, np.uint8), rng.integers(0, 256, 192 * 4000).astype(np.uint8), block]).reshape(-1, 192)
+    data = webp.encode(grey)
+    assert (webp.decode(data)[..., 0] == grey).all()
+    assert len(data) < 192 * 4040 + 3000
+    far, length = webp.matches(block.astype(np.uint64), 4)
+    assert not far[:100].any() or length.max() < 8
+
+
+def test_packed_bits():
+    rng = random.Random(4)
+    sizes = [rng.randrange(64) for _ in range(500)]
+    values = [rng.getrandbits(n) if n else 0 for n in sizes]
+    want = at = 0
+    for v, n in zip(values, sizes, strict=True):
+        want |= v << at
+        at += n
+    assert webp.packed_bits(np.array(values, np.uint64), np.array(sizes)) == want
+
+
+def plainly(mode, left, top, corner, after):
+    """The format's fourteen predictions of one channel list, written out."""
+    mean = lambda a, b: [(x + y) // 2 for x, y in zip(a, b, strict=True)]
+    clamp = lambda v: [min(255, max(0, x)) for x in v]
+    far = lambda a, b: sum(abs(x - y) for x, y in zip(a, b, strict=True))
+    return [
+        lambda: [0, 0, 0, 255],
+        lambda: left,
+        lambda: top,
+        lambda: after,
+        lambda: corner,
+        lambda: mean(mean(left, after), top),
+        lambda: mean(left, corner),
+        lambda: mean(left, top),
+        lambda: mean(corner, top),
+        lambda: mean(top, after),
+        lambda: mean(mean(left, corner), mean(top, after)),
+        lambda: left if far(top, corner) < far(left, corner) else top,
+        lambda: clamp([x + t - c for x, t, c in zip(left, top, corner, strict=True)]),
+        lambda: clamp([m + int((m - c) / 2) for m, c in zip(mean(left, top), corner, strict=True)]),
+    ][mode]()
+
+
+def test_predictor_against_single_pixels():
+    rng = np.random.default_rng(5)
+    residual = rng.integers(0, 256, (17, 15, 4)).astype(np.uint8)
+    modes = (np.arange(20) % 14).reshape(5, 4).astype(np.uint8)
+    out = np.zeros(residual.shape, int).tolist()
+    for y in range(17):
+        for x in range(15):
+            if y == 0:
+                guess = out[0][x - 1] if x else [0, 0, 0, 255]
+            elif x == 0:
+                guess = out[y - 1][0]
+            else:
+                guess = plainly(int(modes[y >> 2, x >> 2]), out[y][x - 1], out[y - 1][x], out[y - 1][x - 1], out[y - 1][x + 1] if x < 14 else out[y][0])
+            out[y][x] = [(int(v) + g) % 256 for v, g in zip(residual[y, x], guess, strict=True)]
+    got = webp.predictor(residual, modes, 2, False)
+    assert got.tolist() == out
+    assert (webp.predictor(got, modes, 2, True) == residual).all()
 
 
 def test_digests(spark):
