@@ -1,8 +1,8 @@
 """Lossless WebP (VP8L): a decoder for the whole format and an encoder that can use all of it.
 
 The decoder reads prefix codes by tables, back-references as runs, the colour cache and grouped codes, and inverts the
-predictor (row segments at once), cross-colour, subtract-green and palette transforms. The encoder finds matches by sorting
-runs of pixels and writes all codes of an image at once.
+predictor (row segments at once), cross-colour, subtract-green and palette transforms. The encoder takes its matches from
+zlib and writes all codes of an image at once.
 
 Pixels are arrays of shape (height, width, 4): red, green, blue, alpha.
 """
@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import heapq
 import struct
-from functools import cached_property
+import zlib
+from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 
-from .tokens import mix
-
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: Fixed value: the order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -25,6 +25,11 @@ LIMIT = 16384  # pixels of a side
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
+#: Numbers of 15 bits, read from the other end.
+REVERSED = np.packbits(np.unpackbits(np.arange(1 << 15, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, :0:-1], axis=1, bitorder="big").view(">u2")[:, 0].astype(int) >> 1
+REVERSED = REVERSED.tolist()
+
+
 class Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
@@ -68,7 +73,7 @@ class Code:
             last = n
             if code >> n:
                 raise ValueError("too many codes")
-            self.codes[s] = (int(f"{code:0{n}b}"[::-1], 2) if n else 0, n)
+            self.codes[s] = (REVERSED[code] >> (15 - n), n)
             code += 1
         if len(order) > 1 and code != 1 << last:
             raise ValueError("not all codes are used")
@@ -94,22 +99,37 @@ def read_code(r: Reader, size: int) -> Code:
             symbols.append(r.bits(8))
         return Code(dict.fromkeys(symbols, 1))
     lengths = {LENGTH_ORDER[i]: n for i in range(4 + r.bits(4)) if (n := r.bits(3))}
+    if not lengths:
+        raise ValueError("bad code lengths")
     of_lengths = Code(lengths)
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
     found: dict[int, int] = {}
+    table, mask = of_lengths.table, (1 << of_lengths.most) - 1
+    word, have = 0, 0
     at, before = 0, 8
     while at < size and left:
         left -= 1
-        s = of_lengths.read(r)
+        if have < 14:
+            word, have = r.peek(), 56
+        s = table[word & mask]
+        n = s & 15
+        s >>= 4
+        word >>= n
         if s < 16:
             if s:
                 found[at] = before = s
             at += 1
         else:
-            n = 3 + r.bits(2) if s == 16 else 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
+            extra = (2, 3, 7)[s - 16]
+            run = (3, 3, 11)[s - 16] + (word & ((1 << extra) - 1))
+            word >>= extra
+            n += extra
             if s == 16:
-                found.update(dict.fromkeys(range(at, at + n), before))
-            at += n
+                found.update(dict.fromkeys(range(at, at + run), before))
+            at += run
+        have -= n
+        r.at += n
+    r.bits(0)
     if at > size or not found:
         raise ValueError("bad code lengths")
     return Code(found)
@@ -140,6 +160,9 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     # and the codes of the others.
     plain = [[c[3].only << 24 | c[1].only << 16 | s << 8 | c[2].only for s in range(256)] if min(x.only for x in c[1:4]) >= 0 else None for c in codes]
     ready = [(c[0].table, (1 << c[0].most) - 1, p, c) for c, p in zip(codes, plain, strict=True)]
+    if groups is None and not cache_bits and plain[0]:
+        base = codes[0][3].only << 24 | codes[0][1].only << 16 | codes[0][2].only
+        return read_greens(r, total, width, codes[0]).astype(np.uint32) << np.uint32(8) | np.uint32(base)
     table = groups.tolist() if groups is not None else None
     green, mask, made, group = ready[0]
     data, byte = r.data, r.at + 7 >> 3
@@ -206,6 +229,55 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+def read_greens(r: Reader, total: int, width: int, group: list[Code]) -> np.ndarray:
+    """The green values of an image in which no other channel takes bits: one group, no cache. They are bytes, so runs are copied at once."""
+    green, mask = group[0].table, (1 << group[0].most) - 1
+    places, far_mask = group[4].table, (1 << group[4].most) - 1
+    data, byte = r.data, r.at + 7 >> 3
+    have = 8 * byte - r.at  # bits in ``word``
+    word = r.peek() & ((1 << have) - 1)
+    out = bytearray()
+    literal, at = out.append, 0
+    while at < total:
+        if have < 64:
+            word |= int.from_bytes(data[byte : byte + 16], "little") << have
+            byte += 16
+            have += 128
+        s = green[word & mask]
+        n = s & 15
+        word >>= n
+        have -= n
+        if s < 4096:
+            literal(s >> 4)
+            at += 1
+            continue
+        base, extra = PREFIXES[(s >> 4) - 256]
+        n = base + (word & ((1 << extra) - 1))
+        word >>= extra
+        found = places[word & far_mask]
+        word >>= found & 15
+        base, more = PREFIXES[found >> 4]
+        far = base + (word & ((1 << more) - 1))
+        word >>= more
+        have -= extra + (found & 15) + more
+        if far > 120:
+            far -= 120
+        else:
+            x, y = NEAR[far - 1]
+            far = max(1, x + y * width)
+        if far > at or at + n > total:
+            raise ValueError("a back-reference leaves the image")
+        if far >= n:
+            out += out[at - far : at - far + n]
+        else:
+            out += (out[at - far :] * (n // far + 1))[:n]
+        at += n
+    r.at = 8 * byte - have
+    if r.at > 8 * len(data):
+        raise ValueError("the image ends too early")
+    return np.frombuffer(out, np.uint8)
+
+
 def channels(argb: np.ndarray) -> np.ndarray:
     """(…, 4) bytes in the order red, green, blue, alpha."""
     return argb.astype("<u4")[..., None].view(np.uint8)[..., [2, 1, 0, 3]]
@@ -388,12 +460,11 @@ def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
             w.bits(symbols[1], 8)
         return code
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
-    at = 0
-    while at < size:
-        n, run = lengths.get(at, 0), 1
-        while at + run < size and lengths.get(at + run, 0) == n:
-            run += 1
-        at += run
+    dense = [0] * size
+    for s, n in lengths.items():
+        dense[s] = n
+    for n, same in groupby(dense):
+        run = len([*same])
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -437,58 +508,91 @@ def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return symbol, np.where(few, 0, v & ((1 << (high - 1)) - 1)), np.where(few, 0, high - 1)
 
 
-GRAMS = (4, 6, 12)  # pixels of the runs whose latest repetition is looked up
-PAY = 4  # bits that a back-reference costs beside those of its distance
-FAR = (1 << 20) - 120  # of a back-reference
-LONG = 4096  # pixels of one
-
-
-def matches(values: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each pixel, the distance to where the next ``gram`` pixels last stood before, and for how long both go on alike (0: none)."""
-    far, length = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-    n = len(values) - gram + 1
-    if not 1 < n < 1 << 24:
-        return far, length
-    key = np.zeros(n, np.uint64)
-    for k in range(gram):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n]
-    low = np.uint64((1 << 24) - 1)
-    key = np.sort(mix(key) & ~low | np.arange(n, dtype=np.uint64))
-    same = (key[1:] | low) == (key[:-1] | low)
-    now, was = (key[1:][same] & low).astype(np.int64), (key[:-1][same] & low).astype(np.int64)
-    alike = now - was <= FAR
-    for k in range(gram):
-        alike &= values[now + k] == values[was + k]
-    far[now[alike]] = (now - was)[alike]
-    ends = np.append(np.flatnonzero(far[1:] != far[:-1]), len(far) - 1)
-    at = np.arange(len(far))
-    length = np.where(far > 0, ends[np.searchsorted(ends, at)] - at + gram, 0)
-    return far, length
-
-
-def parse(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of the back-references that pay: each pixel takes the longest match, or leaves it to the next
-    pixel where that has a longer one."""
-    counts = np.unique(values, return_counts=True)[1]
-    literal = float(-(counts * np.log2(counts / counts.sum())).sum() / counts.sum())  # bits of a pixel
-    far, length = matches(values, GRAMS[0])
-    for gram in GRAMS[1:]:
-        more, longer = matches(values, gram)
-        better = longer > length + 1
-        far, length = np.where(better, more, far), np.where(better, longer, length)
-    pays = length * max(literal, 0.01) > PAY + np.log2(far + 120)
-    length = np.minimum(np.where(pays, length, 0), LONG)
-    some = np.flatnonzero(length)
-    following = np.append(some, len(values))[np.searchsorted(some, np.arange(len(values) + 1))].tolist()
-    spans = [*length.tolist(), 0, 0]
-    starts, at, n = [], 0, len(values)
-    while (at := following[at]) < n:
-        while spans[at + 1] > spans[at]:
-            at += 1
-        starts.append(at)
-        at += spans[at]
-    found = np.array(starts, np.int64)
-    return found, length[found], far[found]
+def short_table(lengths: dict[int, int]) -> tuple[list[int], int]:
+    """The table of a deflate code, and its mask. Unlike here, a code of one symbol takes a bit there."""
+    most = max(lengths.values())
+    table = np.zeros(1 << most, np.int32)
+    code = last = 0
+    for n, s in sorted((n, s) for s, n in lengths.items()):
+        code <<= n - last
+        last = n
+        table[REVERSED[code] >> (15 - n) :: 1 << n] = s << 4 | n
+        code += 1
+    return table.tolist(), (1 << most) - 1
+
+
+#: Fixed values of the deflate format: the order of its code lengths' lengths, and the codes of its fixed blocks.
+DEFLATE_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
+FIXED = {s: 8 if s < 144 else 9 if s < 256 else 7 if s < 280 else 8 for s in range(288)}, dict.fromkeys(range(30), 5)
+#: Least values and extra bits of its lengths (of symbols from 257 on) and distances.
+LENGTHS = [(s + 3, 0) if s < 8 else (((4 + (s & 3)) << ((s - 4) >> 2)) + 3, (s - 4) >> 2) for s in range(28)] + [(258, 0)]
+DISTANCES = PREFIXES[:30]
+
+
+def parse(raw: bytes) -> np.ndarray:
+    """Rows of start, length and distance: the matches that zlib takes in a sequence of bytes, read from its output."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15, 9)
+    r = Reader(packer.compress(raw) + packer.flush())
+    found: list[int] = []
+    at = last = 0
+    while not last:
+        last, kind = r.bits(1), r.bits(2)
+        if kind == 0:
+            r.at = -(-r.at // 8) * 8
+            n = r.bits(16)
+            r.bits(16)
+            r.at += 8 * n
+            at += n
+            continue
+        codes = FIXED
+        if kind == 2:
+            n_long, n_far, n_own = r.bits(5) + 257, r.bits(5) + 1, r.bits(4) + 4
+            table, mask = short_table({DEFLATE_ORDER[i]: n for i in range(n_own) if (n := r.bits(3))})
+            both: list[int] = []
+            while len(both) < n_long + n_far:
+                word = r.peek()
+                s = table[word & mask]
+                n = s & 15
+                s >>= 4
+                if s < 16:
+                    both.append(s)
+                else:
+                    extra = (2, 3, 7)[s - 16]
+                    both += [both[-1] if s == 16 else 0] * ((3, 3, 11)[s - 16] + (word >> n & ((1 << extra) - 1)))
+                    n += extra
+                r.at += n
+            codes = {s: n for s, n in enumerate(both[:n_long]) if n}, {s: n for s, n in enumerate(both[n_long:]) if n}
+        table, mask = short_table(codes[0])
+        places, far_mask = short_table(codes[1]) if codes[1] else ([0], 0)
+        data, byte = r.data, r.at + 7 >> 3
+        have = 8 * byte - r.at
+        word = r.peek() & ((1 << have) - 1)
+        while True:
+            if have < 48:
+                word |= int.from_bytes(data[byte : byte + 16], "little") << have
+                byte += 16
+                have += 128
+            s = table[word & mask]
+            n = s & 15
+            word >>= n
+            have -= n
+            if s < 4096:
+                at += 1
+                continue
+            if s >> 4 == 256:
+                break
+            base, extra = LENGTHS[(s >> 4) - 257]
+            n = base + (word & ((1 << extra) - 1))
+            word >>= extra
+            s = places[word & far_mask]
+            word >>= s & 15
+            base, more = DISTANCES[s >> 4]
+            found += (at, n, base + (word & ((1 << more) - 1)))
+            word >>= more
+            have -= extra + (s & 15) + more
+            at += n
+        r.at = 8 * byte - have
+    return np.array(found, np.int64).reshape(-1, 3)
 
 
 def packed_bits(values: np.ndarray, sizes: np.ndarray) -> int:
@@ -513,56 +617,75 @@ def cache_slots(values: np.ndarray, cache_bits: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def near_codes(width: int) -> np.ndarray:
+    """The codes of distances that are less than the array's length."""
+    codes = np.arange(8 * width + 9) + 120
+    for i, (x, y) in reversed([*enumerate(NEAR)]):
+        if x + y * width > 0:
+            codes[x + y * width] = i + 1
+    return codes
+
+
 def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """An image with Huffman codes, back-references where they pay, and cache codes for what else is in the cache."""
+    """An image with Huffman codes, zlib's matches as back-references (in images of up to 256 different pixels, or with one channel), and
+    cache codes for what else is in the cache."""
     values = argb.ravel().astype(np.uint64)
-    none = np.zeros(0, np.int64)
-    starts, lengths, far = parse(values) if references else (none, none, none)
-    token = np.ones(len(values) + 1, np.int64)
+    others = values & ~np.uint64(0xFF00)
+    plain = bool((others == others[0]).all())  # pixels differ in green alone
+    starts = lengths = far = np.zeros(0, np.int64)
+    if references:
+        rank = values >> np.uint64(8) if plain else np.unique(values, return_inverse=True)[1]
+        if rank.max() < 256 or plain:
+            starts, lengths, far = parse(rank.astype(np.uint8).tobytes()).T
+    at = np.arange(len(values))
     if len(starts):
         edge = np.zeros(len(values) + 1, np.int64)
         edge[starts + 1] += 1
         np.subtract.at(edge, starts + lengths, 1)
-        token = (np.cumsum(edge) == 0).astype(np.int64)
-    at = np.flatnonzero(token[:-1])  # pixels where a token begins
+        at = np.flatnonzero(np.cumsum(edge[:-1]) == 0)  # pixels where a token begins
     v = values[at]
-    is_match = np.zeros(len(values), bool)
-    is_match[starts] = True
-    match = is_match[at]
-    symbols = [(v >> np.uint64(s) & np.uint64(255)).astype(np.int64) for s in (8, 16, 0, 24)]
+    match = np.zeros(len(values), bool)
+    match[starts] = True
+    match = match[at]
+    green = (v >> np.uint64(8) & np.uint64(255)).astype(np.int64)
     literal = ~match
     if cache_bits:
         slots = cache_slots(values, cache_bits)[at]
         cached = literal & (slots >= 0)
-        symbols[0][cached] = 280 + slots[cached]
+        green[cached] = 280 + slots[cached]
         literal &= ~cached
-    near = {x + y * width: i + 1 for i, (x, y) in reversed([*enumerate(NEAR)]) if x + y * width > 0} if len(far) else {}
-    coded = np.array([near.get(d, d + 120) for d in far.tolist()], np.int64)
+    near = near_codes(width)
+    coded = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], far + 120)
     (size, size_extra, size_bits), (place, place_extra, place_bits) = prefixes_of(lengths), prefixes_of(coded)
-    symbols[0][match] = 256 + size
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    used = [symbols[0], *(s[literal] for s in symbols[1:]), place]
+    green[match] = 256 + size
+    rest = [(v[:1] if plain else v) >> np.uint64(s) & np.uint64(255) for s in (16, 0, 24)]
+    rest = [c.astype(np.int64) for c in rest]
+    used = [green, *(rest if plain else (c[literal] for c in rest)), place]
     w.bits(int(cache_bits > 0), 1)
     if cache_bits:
         w.bits(cache_bits, 4)
     if main:
         w.bits(0, 1)
     tables = []
-    for s, n in zip(used, sizes, strict=True):
+    for s, n in zip(used, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40), strict=True):
         counts = np.bincount(s, minlength=1)
-        found = {int(x): int(counts[x]) for x in np.flatnonzero(counts)} or {0: 1}
-        codes = write_code(w, code_lengths(found), n).codes
-        table = np.zeros((n, 2), np.uint64)
-        table[[*codes]] = [*codes.values()]
+        some = np.flatnonzero(counts)
+        table = np.zeros((2, n), np.uint64)
+        if len(some) > 1:
+            codes = write_code(w, code_lengths(dict(zip(some.tolist(), counts[some].tolist(), strict=True))), n).codes
+            table[:, [*codes]] = np.array([*codes.values()], np.uint64).T
+        else:
+            write_code(w, {int(some[0]) if len(some) else 0: 1}, n)
         tables.append(table)
-    bits, wide = (tables[0][symbols[0], j] for j in (0, 1))
-    for j, channel in enumerate(symbols[1:], 1):
-        if tables[j][:, 1].any():
-            more = np.where(literal[:, None], tables[j][channel], np.uint64(0))
-            bits, wide = bits | more[:, 0] << wide, wide + more[:, 1]
+    bits, wide = tables[0][0][green], tables[0][1][green]
+    for table, channel in zip(tables[1:4], rest, strict=True):
+        if table[1].any():
+            bits = bits | np.where(literal, table[0][channel], np.uint64(0)) << wide
+            wide = wide + np.where(literal, table[1][channel], np.uint64(0))
     if len(starts):
         b, n = bits[match], wide[match]
-        for more, more_n in ((size_extra, size_bits), (tables[4][place, 0], tables[4][place, 1]), (place_extra, place_bits)):
+        for more, more_n in ((size_extra, size_bits), (tables[4][0][place], tables[4][1][place]), (place_extra, place_bits)):
             b, n = b | more.astype(np.uint64) << n, n + more_n.astype(np.uint64)
         bits[match], wide[match] = b, n
     wide = wide.astype(np.int64)
