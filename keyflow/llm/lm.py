@@ -1,26 +1,28 @@
 """LM scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation, scores whole texts.
 
-Tokens are ASCII-lower-cased words, and an end after each text. The model's classes are the most frequent tokens and one class
-for all others. The representation of the next token is bilinear in those of the two before it; its product with all classes'
-representations, by matrices over the distinct contexts of a batch, gives normalised class probabilities. Within the class
-of all others, a token has its discounted share of the training count, and all unknown words together have the discounts.
+Tokens are ASCII-lower-cased words, and an end after each text. Every token belongs to a unit: the most frequent tokens are units of
+their own, tokens that training has once or never are one unit, and each of the others shares one with the tokens whose hashes are
+near. How many units there are grows with the input.
+The representation of the next token is bilinear in those of the units of the two tokens before it. It is matched, by
+matrices over the distinct contexts of a batch, with the representations of the most frequent units and of groups of the others,
+and then with those of the units of the token's group: two normalised choices. Within a shared unit a token has its share of the
+training counts; in the unit of rare tokens all unknown words together have a discount of the others' counts.
 
 1. All words are counted, by batches and buckets (census.py), and every batch gets the counts of its words.
-2. Each partition trains on all its training tokens, from the same start; the models are averaged by tokens, in a tree.
+2. Each batch trains on all its training tokens, from the same start; the models are averaged by tokens, in a tree.
 3. Batches read their texts and counts again and score.
 
-Only the parameters, whose size is fixed, and a few totals reach the driver.
+Batches depend on ids and sizes alone, and rows are sorted in them, so scores don't depend on how the input is partitioned.
+The parameters and a few totals reach the driver; their size grows with the square root of the input's.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,19 @@ from . import census
 from . import tokens as tk
 from .scratch import Scratch
 
-CLASSES = 1023  # frequent tokens
+FREQUENT = 512  # units that are in no group
+GROUPS = 256  # of the other units
+OWN = 512  # times the square root of the number of batches: so many tokens at most have units of their own, and so many units are shared
 WIDE = 24  # numbers of a representation
-NOISE = 64  # noise tokens of a step
+NOISE = 64  # noise choices among frequent units and groups of a step, and within their groups of each token
+NEAR_NOISE = 8
 STEP = 4096  # tokens of a step
 RATE = 0.08
 END = np.uint64(0x5851F42D4C957F2D)  # the end's place among word hashes
 FOLDS, HELD = 7, 2
+BINS = 256  # of counts, four for each doubling
 
-COUNTED = "batch int, bucket int, kind int, counts binary, tops array<struct<word: long, n: long>>, total long, distinct long, once long, twice long"
+COUNTED = "batch int, bucket int, kind int, counts binary, tops array<struct<word: long, n: long, bin: int>>, shared array<struct<unit: int, n: long>>, total long, distinct long, once long, twice long"
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -63,8 +69,23 @@ def ask(table: pa.Table, buckets: int) -> pa.Table:
     return census.ask(table.column("batch")[0].as_py(), keys, np.zeros(0, np.uint64), counts, buckets)
 
 
-def count(table: pa.Table) -> pa.Table:
-    """To each batch of a bucket, its tokens' counts over all batches, in the order asked; and the bucket's totals."""
+def own_units(batches: int) -> int:
+    """How many tokens can have units of their own beside the FREQUENT, and how many units the others share."""
+    return int(OWN * batches**0.5)
+
+
+def bin_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum((4 * np.log2(np.maximum(counts, 1))).astype(np.int64), BINS - 1)
+
+
+def shared_unit(keys: np.ndarray, units: int) -> np.ndarray:
+    """The unit that a token shares, by ranges of the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
+
+
+def count(table: pa.Table, units: int) -> pa.Table:
+    """To each batch of a bucket, its tokens' counts over all batches, in the order asked; and of the bucket the totals, those of the
+    shared units, and the tokens that can have units of their own."""
     keys, _, vals, _ = census.unpack(table)
     distinct, which = np.unique(keys, return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
@@ -73,73 +94,132 @@ def count(table: pa.Table) -> pa.Table:
     sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
     edges = np.concatenate([[0], np.cumsum(sizes)])
     n, bucket = table.num_rows, table.column("bucket")[0].as_py()
-    top = np.lexsort((distinct, -total))[:CLASSES]
-    tops = [{"word": int(w), "n": int(c)} for w, c in zip(distinct[top].view(np.int64), total[top], strict=True) if c]
+    often = total > 1
+    top = np.lexsort((distinct, -total))[: FREQUENT + units]
+    tops = [{"word": int(w), "n": int(c), "bin": int(b)} for w, c, b in zip(distinct[top].view(np.int64), total[top], bin_of(total[top]), strict=True) if c > 1]
+    some, at = np.unique(shared_unit(distinct[often], units), return_inverse=True)
+    shared = [{"unit": u, "n": int(m)} for u, m in zip(some.tolist(), np.bincount(at, total[often].astype(float), len(some)), strict=True)]
     rows = {
         "batch": [*table.column("batch").to_pylist(), -1],
         "bucket": [bucket] * (n + 1),
         "kind": [0] * n + [1],
         "counts": [*(got[edges[i] : edges[i + 1]].tobytes() for i in range(n)), None],
         "tops": [None] * n + [tops],
+        "shared": [None] * n + [shared],
         "total": [None] * n + [int(total.sum())],
         "distinct": [None] * n + [int((total > 0).sum())],
         "once": [None] * n + [int((total == 1).sum())],
         "twice": [None] * n + [int((total == 2).sum())],
     }
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])), *[pa.int64()] * 4]
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), kinds, strict=True)})
+    word = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64()), ("bin", pa.int32())]))
+    unit_kind = pa.list_(pa.struct([("unit", pa.int32()), ("n", pa.int64())]))
+    kinds_of = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), word, unit_kind, *[pa.int64()] * 4]
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), kinds_of, strict=True)})
 
 
 @dataclass
 class Counts:
-    """What all batches share of the corpus."""
-
-    words: np.ndarray  # the frequent tokens in ascending order
-    chance: np.ndarray  # of each class, the rest last, by training counts
+    """What all batches share of the corpus. Units are numbered: that of rare and unknown tokens, the frequent ones, the other tokens
+    with units of their own, the shared ones. The groups of units that aren't frequent are the remainders of their numbers."""
+
+    words: np.ndarray  # tokens with units of their own, in ascending order
+    unit: np.ndarray  # and these units
+    frequent: int  # units that are in no group
+    mass: np.ndarray  # of each unit, the training tokens that are in it
+    shared: int  # units that are shared
     tokens: int
     distinct: int
-    discount: float
-    rest: float  # training tokens of the rest
+    discount: float  # the unknown words' share of the first unit
+
+    def __post_init__(self):
+        near = np.arange(self.frequent, self.units)
+        self.order = near[np.argsort(near % GROUPS, kind="stable")]  # units by group
+        self.edges = np.searchsorted(self.order % GROUPS, np.arange(GROUPS + 1))
+        place = np.zeros(self.units, np.int64)
+        place[self.order] = np.arange(len(self.order))
+        self.place = place
+        weight = self.mass + 0.5
+        groups = np.bincount(near % GROUPS, weight[near], GROUPS)
+        chance = np.concatenate([weight[: self.frequent], groups])
+        self.chance = chance / chance.sum()
+        self.within = weight[self.order] / groups[self.order % GROUPS]  # of each unit in its group, in their order
+        self.upto = np.concatenate([[0], np.cumsum(self.within)])
 
     @property
-    def classes(self) -> int:
-        return len(self.words) + 1
+    def units(self) -> int:
+        return len(self.mass)
 
-    def class_of(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(tokens), np.int64)
-        place = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[place] == tokens, place, len(self.words))
+    @property
+    def choices(self) -> int:
+        return self.frequent + GROUPS
+
+    def unit_of(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The units of tokens with their training counts."""
+        rest = self.units - self.shared + shared_unit(tokens, self.shared)
+        if len(self.words):
+            place = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+            rest = np.where(self.words[place] == tokens, self.unit[place], rest)
+        return np.where(counts > 1, rest, 0)
+
+    def share(self, units: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The chance of each token in its unit, or of all unknown words."""
+        mass = np.maximum(self.mass[units], 1)
+        known = np.where(units > 0, counts / mass, (1 - self.discount) / mass)
+        return np.where(counts > 0, known, self.discount)
 
+    def choice_of(self, units: np.ndarray) -> np.ndarray:
+        return np.where(units < self.frequent, units, self.frequent + units % GROUPS)
 
-def totals(counted: DataFrame) -> Counts:
+
+def totals(counted: DataFrame, units: int) -> Counts:
     own = counted.filter("kind = 1")
     total, distinct, once, twice = (int(v or 0) for v in own.agg(F.sum("total"), F.sum("distinct"), F.sum("once"), F.sum("twice")).first())
-    top = own.select(F.explode("tops").alias("t")).select("t.word", "t.n").orderBy(F.desc("n"), "word").limit(CLASSES).collect()
-    top.sort(key=lambda r: r.word % (1 << 64))
+    # The least bin of counts such that all tokens from there on have units of their own.
+    tops = own.select(F.explode("tops").alias("t")).select("t.*")
+    sizes = dict(tops.groupBy("bin").count().collect())
+    least, n = BINS, 0
+    for b in sorted(sizes, reverse=True):
+        n += sizes[b]
+        if n > FREQUENT + units:
+            break
+        least = b
+    top = sorted(tops.filter(F.col("bin") >= least).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
+    shared = dict(own.select(F.explode("shared").alias("s")).groupBy("s.unit").agg(F.sum("s.n")).collect())
     words = np.array([r.word for r in top], np.int64).view(np.uint64)
-    n = np.array([r.n for r in top], float)
-    rest = max(0.0, total - n.sum())
-    chance = np.append(n, rest) + 0.5
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    return Counts(words, chance / chance.sum(), total, distinct, discount, rest)
+    n_words = np.array([r.n for r in top], np.int64)
+    mass = np.array([shared.get(u, 0) for u in range(units)], np.int64)
+    np.subtract.at(mass, shared_unit(words, units), n_words)
+    order = np.argsort(words)
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 1.0
+    return Counts(words[order], order.astype(np.int64) + 1, 1 + min(FREQUENT, len(words)), np.concatenate([[once], n_words, mass]), units, total, distinct, discount)
+
+
+def sums_by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``index``, and the sums of their rows."""
+    order = np.argsort(index, kind="stable")
+    ordered = index[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class Model:
-    """Parameters: representations of context tokens and of classes, the classes' biases, and a matrix for each context place."""
+    """Parameters, the biases as last columns of targets: representations of units as contexts (the last one: before a text), of
+    the frequent units and groups as targets, of the other units as targets, and a matrix for each context place. Untrained, it gives
+    the counts' shares."""
 
-    def __init__(self, classes: int):
+    def __init__(self, counts: Counts):
         rng = np.random.default_rng(2)
-        self.context = rng.normal(0, 0.1, (classes + 1, WIDE)).astype(np.float32)  # the last: before a text
-        self.target = rng.normal(0, 0.1, (classes, WIDE)).astype(np.float32)
-        self.bias = np.zeros(classes, np.float32)
+        by_counts = lambda chance: np.column_stack([np.zeros((len(chance), WIDE)), np.log(chance)]).astype(np.float32)
+        self.context = rng.normal(0, 0.1, (counts.units + 1, WIDE)).astype(np.float32)
+        self.target = by_counts(counts.chance)
+        self.near = by_counts(counts.within)  # in the order of groups
         self.place = np.stack([np.eye(WIDE), 0.5 * np.eye(WIDE)]).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias, self.place]
+        return [self.context, self.target, self.near, self.place]
 
     def dump(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).tobytes()
+        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float16).tobytes()
 
     def load(self, data: np.ndarray) -> Model:
         at = 0
@@ -151,53 +231,83 @@ class Model:
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
 
-    def train(self, words: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, chance: np.ndarray, squares: list[np.ndarray]) -> None:
-        """A step on tokens and their two predecessors: tell each token from shared noise tokens, as if scores were normalised."""
-        log_noise = np.log(len(noise) * chance).astype(np.float32)
+    def step(self, j: int, squares: list[np.ndarray], index: np.ndarray, rows: np.ndarray, size: int) -> None:
+        """Adagrad on the rows of a part that a step has met."""
+        some, g = sums_by(index, rows)
+        g /= size
+        s = squares[j][some] + g * g
+        squares[j][some] = s
+        self.parts()[j][some] -= RATE * g / np.sqrt(s + 1e-8)
+
+    def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, counts: Counts, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+        """A step on tokens and their two predecessors: tell each choice from shared noise choices, and each unit from noise units of
+        its group, as if scores were normalised."""
+        size = len(units)
         x, y = self.context[one], self.context[two]
         h = x @ self.place[0] + y @ self.place[1]
-        q, z = self.target[words], self.target[noise]
-        real = (h * q).sum(1) + self.bias[words] - log_noise[words]
-        false = h @ z.T + (self.bias[noise] - log_noise[noise])
-        up = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        wide = np.column_stack([h, np.ones(size, np.float32)])
+        log_noise = np.log(len(noise) * counts.chance).astype(np.float32)
+        chosen = counts.choice_of(units)
+        q, z = self.target[chosen], self.target[noise]
+        up = -1 / (1 + np.exp(np.clip((wide * q).sum(1) - log_noise[chosen], -30, 30)))
+        down = 1 / (1 + np.exp(-np.clip(wide @ z.T - log_noise[noise], -30, 30)))
         to_h = up[:, None] * q + down @ z
-        grads = [np.zeros_like(p) for p in self.parts()]
-        flat = np.arange(WIDE)
-        for index, rows in ((one, to_h @ self.place[0].T), (two, to_h @ self.place[1].T)):
-            np.add.at(grads[0].reshape(-1), (index[:, None] * WIDE + flat).ravel(), rows.ravel())
-        np.add.at(grads[1].reshape(-1), (words[:, None] * WIDE + flat).ravel(), (up[:, None] * h).ravel())
-        np.add.at(grads[1], noise, down.T @ h)
-        grads[2] += np.bincount(words, up, len(self.bias)).astype(np.float32)
-        np.add.at(grads[2], noise, down.sum(0))
-        grads[3][0], grads[3][1] = x.T @ to_h, y.T @ to_h
-        for p, g, s in zip(self.parts(), grads, squares, strict=True):
-            g /= len(words)
-            s += g * g
-            p -= RATE * g / np.sqrt(s + 1e-8)
-
-    def log_chance(self, words: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised log probabilities of classes after their contexts."""
-        size = len(self.bias) + 1
+        index, rows = [chosen, noise], [up[:, None] * wide, down.T @ wide]
+        far = np.flatnonzero(chosen >= counts.frequent)
+        if len(far):
+            at = counts.place[units[far]]
+            group = chosen[far] - counts.frequent
+            low, high = counts.upto[counts.edges[group]], counts.upto[counts.edges[group + 1]]
+            drawn = np.searchsorted(counts.upto, low[:, None] + rng.random((len(far), NEAR_NOISE)) * (high - low)[:, None], "right") - 1
+            drawn = np.clip(drawn, counts.edges[group][:, None], counts.edges[group + 1][:, None] - 1)
+            log_near = np.log(NEAR_NOISE * counts.within).astype(np.float32)
+            w, q, z = wide[far], self.near[at], self.near[drawn]
+            up = -1 / (1 + np.exp(np.clip((w * q).sum(1) - log_near[at], -30, 30)))
+            down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", w, z) - log_near[drawn], -30, 30)))
+            to_h[far] += up[:, None] * q + np.einsum("ik,ikj->ij", down, z)
+            self.step(2, squares, np.concatenate([at, drawn.ravel()]), np.concatenate([up[:, None] * w, (down[..., None] * w[:, None]).reshape(-1, WIDE + 1)]), size)
+        to_h = to_h[:, :WIDE]
+        self.step(1, squares, np.concatenate(index), np.concatenate(rows), size)
+        grad = np.stack([x.T @ to_h, y.T @ to_h]) / size
+        back = np.concatenate([to_h @ self.place[0].T, to_h @ self.place[1].T])
+        self.step(0, squares, np.concatenate([one, two]), back, size)
+        squares[3] += grad * grad
+        self.place -= RATE * grad / np.sqrt(squares[3] + 1e-8)
+
+    def log_chance(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, counts: Counts) -> np.ndarray:
+        """Normalised log probabilities of units after their contexts."""
+        size = counts.units + 1
         pairs, which = np.unique(one * size + two, return_inverse=True)
-        h = self.hidden(pairs // size, pairs % size)
+        h = np.column_stack([self.hidden(pairs // size, pairs % size), np.ones(len(pairs), np.float32)])
         norm = np.empty(len(pairs), np.float32)
         for a in range(0, len(pairs), 1024):
-            scores = h[a : a + 1024] @ self.target.T + self.bias
+            scores = h[a : a + 1024] @ self.target.T
             top = scores.max(1)
-            norm[a : a + 1024] = top + np.log(np.exp(scores - top[:, None]).sum(1))
-        out = np.empty(len(words), np.float64)
-        for a in range(0, len(words), 1 << 16):
+            scores -= top[:, None]
+            norm[a : a + 1024] = top + np.log(np.exp(scores, out=scores).sum(1))
+        chosen = counts.choice_of(units)
+        out = np.empty(len(units), np.float64)
+        for a in range(0, len(units), 1 << 16):
             part = slice(a, a + (1 << 16))
-            out[part] = np.einsum("ij,ij->i", h[which[part]], self.target[words[part]]) + self.bias[words[part]] - norm[which[part]]
+            out[part] = np.einsum("ij,ij->i", h[which[part]], self.target[chosen[part]]) - norm[which[part]]
+        by_group = np.argsort(chosen, kind="stable")
+        edges = np.searchsorted(chosen[by_group], counts.frequent + np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            a, b = counts.edges[g], counts.edges[g + 1]
+            for c in range(edges[g], edges[g + 1], 4096):
+                some = by_group[c : min(c + 4096, edges[g + 1])]
+                scores = h[which[some]] @ self.near[a:b].T
+                top = scores.max(1)
+                own = scores[np.arange(len(some)), counts.place[units[some]] - a]
+                out[some] += own - top - np.log(np.exp(scores - top[:, None]).sum(1))
         return out
 
 
-def contexts(classes: np.ndarray, at: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of the token before each and of the one before that; ``before`` where the text has none."""
-    one, two = np.full(len(classes), before), np.full(len(classes), before)
-    one[1:] = classes[:-1]
-    two[2:] = classes[:-2]
+def contexts(units: np.ndarray, at: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units of the token before each and of the one before that; ``before`` where the text has none."""
+    one, two = np.full(len(units), before), np.full(len(units), before)
+    one[1:] = units[:-1]
+    two[2:] = units[:-2]
     first = at[:-1][np.diff(at) > 0]
     one[first] = before
     two[first] = before
@@ -206,73 +316,80 @@ def contexts(classes: np.ndarray, at: np.ndarray, before: int) -> tuple[np.ndarr
     return one, two
 
 
-def start(counts: Counts) -> Model:
-    model = Model(counts.classes)
-    model.bias[:] = np.log(counts.chance)
-    return model
+NO_MODEL = pa.table({"part": pa.array([], pa.int32()), "seen": pa.array([], pa.int64()), "model": pa.array([], pa.binary())})
+KIND = "part int, seen long, model binary"
 
 
-def train_partition(batches: Iterator[pa.RecordBatch], counts: Counts) -> Iterator[pa.RecordBatch]:
-    model, seen = start(counts), 0
+def in_order(table: pa.Table) -> pa.Table:
+    """A batch's rows by id and text, however they came."""
+    digest = pa.array([zlib.crc32((t or "").encode()) for t in table.column("text").to_pylist()], pa.int64())
+    return table.append_column("digest", digest).sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+
+
+def counted_tokens(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's tokens, the texts' offsets into them, and the tokens' training counts."""
+    answers = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+    in_turn = np.frombuffer(b"".join(r["counts"] for r in answers), np.int64)  # buckets ascend as keys do
+    tokens, at = token_stream(docs.column("text"))
+    keys, which = np.unique(tokens, return_inverse=True)
+    if len(keys) != len(in_turn):
+        raise ValueError("the counts of a batch are not complete")
+    return tokens, at, in_turn[which]
+
+
+def train_batch(docs: pa.Table, answers: pa.Table, counts: Counts) -> pa.Table:
+    part = docs.column("batch")[0].as_py()
+    model, seen = Model(counts), 0
     squares = [np.full_like(p, 1e-4) for p in model.parts()]
-    rng = np.random.default_rng(TaskContext.get().partitionId())
-    for batch in batches:
-        train = ~held_out(batch.column(0).to_pylist())
-        texts = batch.column(1).filter(pa.array(train))
-        for a in range(0, len(texts), 500):
-            tokens, at = token_stream(texts.slice(a, 500))
-            words = counts.class_of(tokens)
-            one, two = contexts(words, at, counts.classes)
-            order = rng.permutation(len(words))
-            for b in range(0, len(words), STEP):
-                some = order[b : b + STEP]
-                noise = rng.choice(counts.classes, NOISE, p=counts.chance)
-                model.train(words[some], one[some], two[some], noise, counts.chance, squares)
-            seen += len(words)
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.dump()], pa.binary())], ["part", "seen", "model"])
+    rng = np.random.default_rng(part)
+    docs = in_order(docs)
+    tokens, at, c = counted_tokens(docs, answers)
+    units = counts.unit_of(tokens, c)
+    one, two = contexts(units, at, counts.units)
+    learnt = np.repeat(~held_out(docs.column("doc_id").to_pylist()), np.diff(at))
+    units, one, two = units[learnt], one[learnt], two[learnt]
+    for a in range(0, len(units), 64 * STEP):
+        order = a + rng.permutation(min(64 * STEP, len(units) - a))
+        for b in range(0, len(order), STEP):
+            some = order[b : b + STEP]
+            noise = rng.choice(counts.choices, NOISE, p=counts.chance)
+            model.train(units[some], one[some], two[some], noise, counts, rng, squares)
+    seen = len(units)
+    return pa.table({"part": pa.array([part] * (seen > 0), pa.int32()), "seen": pa.array([seen] * (seen > 0), pa.int64()), "model": pa.array([model.dump()] * (seen > 0), pa.binary())})
 
 
 def average(table: pa.Table) -> pa.Table:
     """The mean of a group's models, weighted by the tokens that each has seen."""
+    table = table.sort_by("part")
     seen = table.column("seen").to_numpy()
     total: np.ndarray | None = None
     for n, raw in zip(seen.tolist(), table.column("model"), strict=True):
-        part = np.frombuffer(raw.as_py(), np.float32).astype(np.float64) * (n / seen.sum())
+        part = np.frombuffer(raw.as_py(), np.float16).astype(np.float64) * (n / seen.sum())
         total = part if total is None else total + part
-    return pa.table({"part": table.column("group").cast(pa.int32())[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "model": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"part": table.column("group").cast(pa.int32())[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "model": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, counts: Counts) -> Model:
-    """Every training token once; the partitions' models are averaged in a tree, 32 at a time on two levels and then the rest."""
-    kind = "part int, seen long, model binary"
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    models = slim.mapInArrow(lambda it: train_partition(it, counts), kind)
-    for fan in (32, 32, 1 << 30):
-        models = models.withColumn("group", F.floor(F.col("part") / fan)).groupBy("group").applyInArrow(average, kind)
+def train(dealt: DataFrame, answers: DataFrame, counts: Counts, batches: int) -> Model:
+    """Every training token once; the batches' models are averaged in a tree, 16 at a time."""
+    models = census.joined(dealt, answers, lambda d, a: train_batch(d, a, counts) if d.num_rows else NO_MODEL, KIND)
+    while True:
+        models = models.withColumn("group", F.floor(F.col("part") / 16)).groupBy("group").applyInArrow(average, KIND)
+        batches = -(-batches // 16)
+        if batches <= 1:
+            break
     row = models.first()
-    return start(counts) if row is None else start(counts).load(np.frombuffer(row.model, np.float32))
+    return Model(counts) if row is None else Model(counts).load(np.frombuffer(row.model, np.float16).astype(np.float32))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score_batch(docs: pa.Table, answers: pa.Table, counts: Counts, model: Model) -> pa.Table:
-    answers = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    in_order = np.frombuffer(b"".join(r["counts"] for r in answers), np.int64)  # buckets ascend as keys do
-    tokens, at = token_stream(docs.column("text"))
-    keys, which = np.unique(tokens, return_inverse=True)
-    if len(keys) != len(in_order):
-        raise ValueError("the counts of a batch are not complete")
-    c = in_order[which].astype(float)
-    words = counts.class_of(tokens)
-    one, two = contexts(words, at, counts.classes)
-    log = model.log_chance(words, one, two)
-    other = words == len(counts.words)
-    spread = max(0, counts.distinct - len(counts.words)) * counts.discount
-    with np.errstate(divide="ignore"):
-        share = np.where(c > 0, c - counts.discount, spread) / counts.rest if counts.rest else np.ones(len(c))
-        log += np.where(other, np.log(share), 0)
+    tokens, at, c = counted_tokens(docs, answers)
+    units = counts.unit_of(tokens, c)
+    one, two = contexts(units, at, counts.units)
+    log = model.log_chance(units, one, two, counts)
+    log += np.log(counts.share(units, c))
     base = np.log10((c + 1) / (counts.tokens + counts.distinct + 1))
     first = at[:-1]
     sums = lambda x: np.add.reduceat(x, first) if len(first) else x  # noqa: E731  # every text has an end
@@ -298,14 +415,15 @@ def score(docs: DataFrame, batch_bytes: int = census.BATCH_BYTES) -> DataFrame:
 
     The model learns from the documents that aren't held out. A null or empty text is its end alone. Repeated rows count as often
     as they are there, and have equal scores; a null doc_id is not held out. No rows give no rows; if all are held out, all
-    words are unknown. Other columns are not read.
+    words are unknown. A very long text is a batch of its own. Tokens of equal count have units of their own together or
+    not at all. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     dealt, n = census.batched(docs, batch_bytes)
-    buckets = census.buckets_for(n)
+    buckets, units = census.buckets_for(n), own_units(n)
     asked = census.grouped(dealt, "batch", lambda t: ask(t, buckets), census.ASKED)
-    counted = scratch.save("counts", census.grouped(asked, "bucket", count, COUNTED))
-    counts = totals(counted)
-    model = train(docs, counts)
+    counted = scratch.save("counts", census.grouped(asked, "bucket", lambda t: count(t, units), COUNTED))
+    counts = totals(counted, units)
     answers = counted.filter("kind = 0").select("batch", "bucket", "counts")
+    model = train(dealt, answers, counts, n)
     return census.joined(dealt, answers, lambda d, a: score_batch(d, a, counts, model) if d.num_rows else NONE, SCORED)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from keyflow.llm.lm import Counts, Model, score, start
+from keyflow.llm.lm import Counts, Model, own_units, score
 
 from .util import clashing, corpus, docs, words
 
@@ -32,29 +32,93 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     assert sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
 
 
+def small_counts(shared=300):
+    rng = np.random.default_rng(1)
+    words = np.sort(rng.integers(0, 1 << 63, 700).astype(np.uint64))
+    unit = rng.permutation(700) + 1
+    mass = np.concatenate([[50], rng.integers(2, 90, 700), rng.integers(0, 30, shared)])
+    return Counts(words, unit, 513, mass, shared, int(mass.sum()), 2000, 0.4)
+
+
 def test_chances_sum_to_one():
-    counts = Counts(np.array([3, 9, 20], np.uint64), np.array([0.4, 0.3, 0.1, 0.2]), 100, 10, 0.5, 20.0)
-    model = start(counts)
+    counts = small_counts()
+    model = Model(counts)
     rng = np.random.default_rng(1)
-    model.bias += rng.normal(0, 1, 4).astype(np.float32)
-    for one in range(5):
-        for two in range(5):
-            log = model.log_chance(np.arange(4), np.full(4, one), np.full(4, two))
-            assert abs(np.exp(log).sum() - 1) < 1e-5
+    for part in model.parts():
+        part += rng.normal(0, 0.5, part.shape).astype(np.float32)
+    units = np.arange(counts.units)
+    for one, two in ((0, 5), (700, counts.units), (counts.units, counts.units)):
+        log = model.log_chance(units, np.full(len(units), one), np.full(len(units), two), counts)
+        assert abs(np.exp(log).sum() - 1) < 1e-4
+
+
+def test_untrained_models_give_the_shares_of_counts():
+    counts = small_counts()
+    units = np.arange(counts.units)
+    log = Model(counts).log_chance(units, units, units, counts)
+    assert np.allclose(np.exp(log), (counts.mass + 0.5) / (counts.mass + 0.5).sum(), rtol=1e-3)
+
+
+def test_log_chance_against_single_tokens():
+    counts = small_counts()
+    model = Model(counts)
+    rng = np.random.default_rng(2)
+    for part in model.parts():
+        part += rng.normal(0, 0.3, part.shape).astype(np.float32)
+    units, one, two = (rng.integers(0, counts.units, 200) for _ in range(3))
+    got = model.log_chance(units, one, two, counts)
+    for i, (u, a, b) in enumerate(zip(units.tolist(), one.tolist(), two.tolist(), strict=True)):
+        h = np.append(model.context[a] @ model.place[0] + model.context[b] @ model.place[1], 1)
+        scores = np.exp((model.target @ h).astype(float))
+        choice = u if u < 513 else 513 + u % 256
+        want = math.log(scores[choice] / scores.sum())
+        if u >= 513:
+            peers = [x for x in range(513, counts.units) if x % 256 == u % 256]
+            near = {x: math.exp(float(model.near[counts.place[x]] @ h)) for x in peers}
+            want += math.log(near[u] / sum(near.values()))
+        assert abs(got[i] - want) < 1e-3
+
+
+def test_units_and_shares():
+    counts = small_counts()
+    some = counts.words[::7]
+    assert (counts.unit_of(some, np.full(len(some), 5)) == counts.unit[::7]).all()
+    others = np.random.default_rng(3).integers(0, 1 << 63, 50).astype(np.uint64)
+    assert (counts.unit_of(others, np.full(50, 3)) >= 701).all()
+    for few in (0, 1):
+        assert (counts.unit_of(some, np.full(len(some), few)) == 0).all()
+    assert math.isclose(50 * counts.share(np.zeros(1, int), np.ones(1))[0] + counts.share(np.zeros(1, int), np.zeros(1))[0], 1)
 
 
 def test_training_learns_which_word_follows():
-    rng = np.random.default_rng(0)
-    chance = np.full(4, 0.25)
-    model = Model(4)
-    model.bias[:] = np.log(chance)
+    """Also among units of groups, which outnumber the frequent ones."""
+    counts = small_counts()
+    model = Model(counts)
     squares = [np.full_like(p, 1e-4) for p in model.parts()]
-    words = np.arange(40_000) % 4
+    rng = np.random.default_rng(0)
+    cycle = np.array([1, 600, 3, 900, 700, 20])
+    words = np.tile(cycle, 20_000)
     one, two = np.roll(words, 1), np.roll(words, 2)
     for a in range(0, len(words), 1000):
         part = slice(a, a + 1000)
-        model.train(words[part], one[part], two[part], rng.choice(4, 64, p=chance), chance, squares)
-    assert model.log_chance(words[:4], one[:4], two[:4]).mean() > math.log(0.8)
+        model.train(words[part], one[part], two[part], rng.choice(counts.choices, 64, p=counts.chance), counts, rng, squares)
+    assert model.log_chance(words[6:12], one[6:12], two[6:12], counts).mean() > math.log(0.7)
+
+
+def test_units_grow_with_the_input():
+    assert own_units(1) < own_units(4) / 1.9 < own_units(100) / 9
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = corpus(9, 90)
+    found = [sorted(((str(r.doc_id), r.n_tokens, r.score) for r in score(docs(spark, rows).repartition(n), 3000).collect())) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
+def test_long_and_tied(spark):
+    rows = [(1, "a b c d " * 150_000), (3, "e f g h"), (4, "e f g h"), (5, "e f g h")]
+    got = {r.doc_id: r for r in score(docs(spark, rows)).collect()}
+    assert got[1].n_tokens == 600_001 and math.isfinite(got[1].score) and got[3].score == got[4].score == got[5].score < 0
 
 
 def test_empty_and_all_held_out(spark):
