@@ -35,7 +35,7 @@ GROUPS = 256  # of the other units
 OWN = 512  # times the square root of the number of batches: so many tokens at most have units of their own, and so many units are shared
 WIDE = 24  # numbers of a representation
 NOISE = 64  # noise choices among frequent units and groups of a step, and within their groups of each token
-NEAR_NOISE = 8
+NEAR_NOISE = 4
 STEP = 4096  # tokens of a step
 RATE = 0.08
 END = np.uint64(0x5851F42D4C957F2D)  # the end's place among word hashes
@@ -144,6 +144,8 @@ class Counts:
         self.chance = chance / chance.sum()
         self.within = weight[self.order] / groups[self.order % GROUPS]  # of each unit in its group, in their order
         self.upto = np.concatenate([[0], np.cumsum(self.within)])
+        self.log_noise = np.log(NOISE * self.chance).astype(np.float32)
+        self.log_near = np.log(NEAR_NOISE * self.within).astype(np.float32)
 
     @property
     def units(self) -> int:
@@ -196,10 +198,11 @@ def totals(counted: DataFrame, units: int) -> Counts:
 
 def sums_by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers of ``index``, and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
-    ordered = index[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+    some, at = np.unique(index, return_inverse=True)
+    sums = np.empty((len(some), rows.shape[1]), np.float32)
+    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+        sums[:, j] = np.bincount(at, column, len(some))
+    return some, sums
 
 
 class Model:
@@ -246,7 +249,7 @@ class Model:
         x, y = self.context[one], self.context[two]
         h = x @ self.place[0] + y @ self.place[1]
         wide = np.column_stack([h, np.ones(size, np.float32)])
-        log_noise = np.log(len(noise) * counts.chance).astype(np.float32)
+        log_noise, log_near = counts.log_noise, counts.log_near
         chosen = counts.choice_of(units)
         q, z = self.target[chosen], self.target[noise]
         up = -1 / (1 + np.exp(np.clip((wide * q).sum(1) - log_noise[chosen], -30, 30)))
@@ -260,7 +263,6 @@ class Model:
             low, high = counts.upto[counts.edges[group]], counts.upto[counts.edges[group + 1]]
             drawn = np.searchsorted(counts.upto, low[:, None] + rng.random((len(far), NEAR_NOISE)) * (high - low)[:, None], "right") - 1
             drawn = np.clip(drawn, counts.edges[group][:, None], counts.edges[group + 1][:, None] - 1)
-            log_near = np.log(NEAR_NOISE * counts.within).astype(np.float32)
             w, q, z = wide[far], self.near[at], self.near[drawn]
             up = -1 / (1 + np.exp(np.clip((w * q).sum(1) - log_near[at], -30, 30)))
             down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", w, z) - log_near[drawn], -30, 30)))
@@ -282,7 +284,7 @@ class Model:
         norm = np.empty(len(pairs), np.float32)
         for a in range(0, len(pairs), 1024):
             scores = h[a : a + 1024] @ self.target.T
-            top = scores.max(1)
+            top = scores.max(1) if scores.max() > 60 else np.zeros(len(scores), np.float32)  # exponents stay in range
             scores -= top[:, None]
             norm[a : a + 1024] = top + np.log(np.exp(scores, out=scores).sum(1))
         chosen = counts.choice_of(units)
