@@ -18,7 +18,7 @@ from .tokens import mix, text_bytes
 WINDOW = 16
 LEAST, MOST = 16, 128  # bytes of a chunk, but for a text's last one
 MASK = np.uint32(0x7 << 13)  # a cut at one in 8 places, on bits that the whole window reaches
-MIN_RUN = 64  # bytes of consecutive repeated chunks that are removed; fewer are left alone as chance
+MIN_RUN = 64  # bytes of consecutive repeated chunks that are removed; fewer are left alone as chance, but for a whole text
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -125,7 +125,7 @@ def remove(docs: pa.Table, answers: pa.Table, min_run: int) -> pa.Table:
         spans: list[dict[str, int]] = []
         start = 0
         for end, flag, more in zip(mine, again, [*again[1:], False], strict=False):
-            if flag and not more and end - start >= min_run:
+            if flag and not more and (end - start >= min_run or end - start == mine[-1]):
                 spans.append({"start": start, "end": end})
             if not (flag and more):
                 start = end
@@ -149,7 +149,7 @@ def dedup_chunks(docs: DataFrame, min_run: int = MIN_RUN, batch_bytes: int = cen
     of ``docs``.
 
     A chunk is repeated when its digest stands in a document with a smaller doc_id, or before it in its own; runs of
-    repeated chunks of ``min_run`` bytes or more are removed. Null and empty texts have no chunks (a null text stays null).
+    repeated chunks of ``min_run`` bytes or more are removed, and texts that are repeated chunks alone, whatever their length. Null and empty texts have no chunks (a null text stays null).
     Rows that share a doc_id are one document's: none removes from the other. A null doc_id comes after all others. Other columns
     are not read.
     """

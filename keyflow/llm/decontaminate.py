@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import small_batches
+from .scratch import fresh, small_batches
 
 WINDOW = 10
 #: Bytes of item text in one automaton (about 200 bytes of memory a word). More items make several blocks, which read the documents in turn.
@@ -168,7 +168,6 @@ def item_blocks(benchmark: DataFrame, window: int) -> list[Block]:
 
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 NAMES = pa.list_(pa.string())
-HITS, ITEMS = "__hits", "__items"
 
 
 @dataclass
@@ -196,7 +195,7 @@ def read(texts: pa.Array, block: Block) -> Iterator[tuple[int, int, Read]]:
 def mark_batches(batches: Iterator[pa.RecordBatch], block: Block, text_at: int) -> Iterator[pa.RecordBatch]:
     """The batches with what a block has found added to their last two columns: word ranges and items."""
     for batch in batches:
-        hits, names = (batch.column(c).to_pylist() for c in (HITS, ITEMS))
+        hits, names = (c.to_pylist() for c in batch.columns[-2:])
         for a, _, r in read(batch.column(text_at), block):
             for x, y in r.hits:
                 doc = int(np.searchsorted(r.at, x, "right")) - 1
@@ -210,7 +209,8 @@ def marked(docs: DataFrame, blocks: list[Block]) -> DataFrame:
     """``docs`` after all blocks but the last have read them, one after the other; with one block, ``docs`` as they are."""
     if len(blocks) > 1:
         text_at = docs.columns.index("text")
-        docs = docs.withColumns({HITS: F.array().cast("array<struct<start: long, end: long>>"), ITEMS: F.array().cast("array<string>")})
+        hits, items = fresh(docs, "block_hits"), fresh(docs, "block_items")
+        docs = docs.withColumns({hits: F.array().cast("array<struct<start: long, end: long>>"), items: F.array().cast("array<string>")})
         for block in blocks[:-1]:
             docs = docs.mapInArrow(lambda it, block=block: mark_batches(it, block, text_at), docs.schema)
     return docs
@@ -219,7 +219,7 @@ def marked(docs: DataFrame, blocks: list[Block]) -> DataFrame:
 def scan_batches(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
     """The last block's reading of doc_id, text and what the others have found, if there are others."""
     for batch in batches:
-        before = [batch.column(c).to_pylist() for c in (HITS, ITEMS)] if HITS in batch.schema.names else None
+        before = [c.to_pylist() for c in batch.columns[2:]] or None
         for a, b, r in read(batch.column(1), block):
             edge = np.zeros(len(r.starts) + 1, np.int64)
             found = [*r.hits]
@@ -269,13 +269,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return slim.mapInArrow(lambda it: scan_batches(it, blocks[-1]), SCAN)
 
 
-def clean_batches(batches: Iterator[pa.RecordBatch], block: Block, text_at: int, id_at: int, min_words: int, max_share: float) -> Iterator[pa.RecordBatch]:
+def clean_batches(batches: Iterator[pa.RecordBatch], block: Block, text_at: int, id_at: int, width: int, min_words: int, max_share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(text_at)
         new: list[str | None] = []
         keep: list[bool] = []
-        before = [c for c in (HITS, ITEMS) if c in batch.schema.names]
-        slim = pa.RecordBatch.from_arrays([batch.column(id_at), texts, *map(batch.column, before)], ["doc_id", "text", *before])
+        before = batch.columns[width:]
+        slim = pa.RecordBatch.from_arrays([batch.column(id_at), texts, *before], [str(i) for i in range(2 + len(before))])
         for found in scan_batches(iter([slim]), block):
             for n, hit, spans in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), found.column(5).to_pylist(), strict=True):
                 text = texts[len(new)].as_py()
@@ -288,13 +288,14 @@ def clean_batches(batches: Iterator[pa.RecordBatch], block: Block, text_at: int,
                         at = s["end"]
                     text = b"".join([*left, raw[at:]]).decode()
                 new.append(text)
-        columns = [pa.array(new, texts.type) if i == text_at else c for i, c in enumerate(batch.columns[: batch.num_columns - len(before)])]
+        columns = [pa.array(new, texts.type) if i == text_at else c for i, c in enumerate(batch.columns[:width])]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = 1, max_share: float = 0.5) -> DataFrame:
     """``docs`` with all columns, without the hit spans of ``min_words`` words or more, and without documents of whose
-    words more than ``max_share`` are hit. Other rows, null and empty texts included, stay as they are."""
+    words more than ``max_share`` are hit. Other rows, null and empty texts included, stay as they are.
+    Very long texts are read whole; columns can have any names."""
     blocks = item_blocks(benchmark, window)
-    text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
-    return marked(docs, blocks).mapInArrow(lambda it: clean_batches(it, blocks[-1], text_at, id_at, min_words, max_share), docs.schema)
+    text_at, id_at, width = docs.columns.index("text"), docs.columns.index("doc_id"), len(docs.columns)
+    return marked(docs, blocks).mapInArrow(lambda it: clean_batches(it, blocks[-1], text_at, id_at, width, min_words, max_share), docs.schema)

@@ -8,7 +8,7 @@ bits of the hash. No documents are sorted, and no step reads more than one row f
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -118,10 +118,11 @@ FROM c
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``docs`` with all columns, each row as often as ``mixed`` takes its document. The decision is a function of source and
-    hash, so the texts are not moved: each row meets its source's thresholds."""
+    hash, so the texts are not moved: each row meets its source's thresholds. Columns can have any names; nulls are as in ``mixed``."""
     state = thresholds(docs, weights, most, seed)
-    key, h = source_key(), doc_hash(F.col("doc_id"), seed)
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    both = docs.withColumns({"__k": key, "__h": h}).alias("d").join(state.select(F.col("k").alias("__k"), "full", "edge", "left", "s").alias("t"), "__k")
-    copies = times(F.col("d.__h"))
-    return both.filter(copies > 0).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*columns)
+    k, h, n = (fresh(docs, name) for name in ("mix_key", "mix_hash", "mix_copy"))
+    columns = [F.col("d.`" + c.replace("`", "``") + "`") for c in docs.columns]
+    keyed = docs.withColumns({k: source_key(), h: doc_hash(F.col("doc_id"), seed)})
+    both = keyed.alias("d").join(state.select(F.col("k").alias(k), "full", "edge", "left", "s").alias("t"), k)
+    copies = times(F.col(f"d.{h}"))
+    return both.filter(copies > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, fresh, small_batches
 
 BINS = 1 << 20
 BANDS, ROWS = 32, 5  # at a similarity of 0.85, 7 links in 10**9 are in no common bucket; at 0.8, 3 in 10**6
@@ -69,8 +69,7 @@ def describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         for a, sets in shingle_sets(batch.column(1), width):
             counts = np.array([len(s) for s in sets])
             full = np.flatnonzero(counts)
-            digests = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            halves = digest_halves([sets[i] for i in full])
             hashes = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64)
             sig = signatures(hashes, np.concatenate([[0], np.cumsum(counts[full])[:-1]]).astype(np.int64)) if len(full) else np.zeros((0, SHIFTS), np.uint32)
             low = sig.astype(np.uint16)
@@ -90,12 +89,20 @@ def describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             )
 
 
+def digest_halves(sets: list[np.ndarray]) -> np.ndarray:
+    """The two halves of a digest of each set."""
+    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, sets in shingle_sets(batch.column(1), width):
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.ListArray.from_arrays(ends, values)], ["node", "shingles"])
+            halves = digest_halves(sets)
+            columns = [batch.column(0).slice(a, len(sets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(ends, values)]
+            yield pa.RecordBatch.from_arrays(columns, ["low", "d1", "d2", "shingles"])
 
 
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -107,7 +114,7 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-#: Ids (8 MB) that are broadcast, so that texts stay where they are; more are joined by a shuffle.
+#: Rows of up to four numbers (32 MB) that are broadcast, so that texts stay where they are; more are joined by a shuffle.
 FEW_IDS = 1_000_000
 
 
@@ -140,6 +147,17 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
+def same_document(base: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: links between the nodes of ids that have several texts, from each to the first one."""
+    key = F.struct("d1", "d2")
+    some = base.filter("d1 is not null and doc_id is not null").select("doc_id", "d1", "d2")
+    several = some.groupBy("doc_id").agg(F.min(key).alias("one"), F.max(key).alias("two")).filter("one <> two").select("doc_id", "one")
+    pairs = some.join(several, "doc_id").filter(key != F.col("one")).select("d1", "d2", F.col("one.d1").alias("e1"), F.col("one.d2").alias("e2")).distinct()
+    pairs = scratch.save("same", pairs)
+    first = nodes.select(F.col("node").alias("a"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    return pairs.join(nodes.select(F.col("node").alias("b"), "d1", "d2"), ["d1", "d2"]).join(first, ["e1", "e2"]).select("a", "b")
+
+
 def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: pairs of ``nodes`` (node, n, label) with different labels that can be linked, a superset of the links.
 
@@ -168,25 +186,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked when their sets of distinct ``width``-word shingles (ASCII lower case) have a Jaccard
     similarity of ``percent``/100 or more; ``component_id`` is the smallest doc_id that links reach, ``kept`` says whether it
     is the document's own. A text with fewer words than ``width`` is one shingle. Texts without words (null, empty,
-    white space) have no set and link with nothing. Repeated rows of one id and text agree. A null doc_id links with nothing:
-    its component is null and the row is kept. Columns other than doc_id and text are not read.
+    white space) have no set and link with nothing. Repeated rows of one id and text agree. Rows of one id with different texts are one
+    document: what links with any of them is in its component, though each row has the size of its own text. A null doc_id
+    links with nothing: its component is null and the row is kept. A very long text is one set like any other. No rows give no
+    rows. Ids are read as 64-bit integers; columns other than doc_id and text are not read.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = docs.mapInArrow(lambda it: describe(it, width), "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>")
     base = scratch.save("base", base)
-    nodes = base.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    nodes = scratch.save("nodes", nodes)
+    # A node is a set of shingles; low: the smallest document that has it.
+    nodes = base.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    nodes = scratch.save("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))
+    links = same_document(base, nodes, scratch)
 
     # Buckets with two members or more; m: member, hub: its bucket's smallest one.
     in_band = nodes.select(F.explode("bands").alias("band"), F.col("node").alias("m"))
     shared = scratch.save("shared", in_band.groupBy("band").agg(F.min("m").alias("hub"), F.max("m").alias("last")).filter("hub < last").select("band", "hub"))
     members = scratch.save("members", in_band.join(shared, "band").join(nodes.select(F.col("node").alias("m"), "n"), "m").select("band", "hub", "m", "n"))
 
-    wanted = members.select(F.col("m").alias("doc_id")).distinct()
-    sets = docs.join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    sets = scratch.save("sets", sets.mapInArrow(lambda it: sets_of(it, width), "node long, shingles array<long>"))
+    wanted = members.select(F.col("m").alias("node")).distinct().join(nodes, "node").select("node", "low", "d1", "d2")
+    wanted = few(scratch.save("wanted", wanted))
+    sets = docs.select(F.col("doc_id").alias("low"), "text").join(wanted, "low", "left_semi")
+    sets = sets.mapInArrow(lambda it: sets_of(it, width), "low long, d1 long, d2 long, shingles array<long>")
+    sets = scratch.save("sets", sets.join(wanted, ["low", "d1", "d2"]).select("node", "shingles").dropDuplicates(["node"]))
     slim = nodes.select("node", "n", "signature")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -199,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         common = F.size(F.array_intersect("x", "y"))
         return scratch.save(name, full.select("a", "b", (common * 100 >= (F.col("an") + F.col("bn") - common) * percent).alias("linked")))
 
-    links, seen, labels = None, None, None
+    seen, labels = None, None
     for turn in ("hub", "far", "rest"):
         if turn == "hub":
             pairs = members.filter("hub < m").select(F.col("hub").alias("a"), F.col("m").alias("b")).distinct()
@@ -216,11 +240,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = verified(pairs, turn)
         seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
         new = found.filter("linked").select("a", "b")
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         if labels is None or not new.isEmpty():
             labels = connected(links, scratch, f"labels-{turn}")
-    scratch.drop("shared", "members", "sets", "rest-prefix", *(f"{kind}{turn}" for kind in ("open-", "") for turn in ("hub", "far", "rest")))
-    of_node = nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
+    low = labels.join(nodes.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("component"))
+    of_node = nodes.select("d1", "d2", "node", "low").join(labels.join(low, "label").select("node", "component"), "node", "left")
+    of_node = scratch.save("components", of_node.select("d1", "d2", F.coalesce("component", "low").alias("component")))
+    scratch.drop("nodes", "same", "shared", "members", "wanted", "sets", "rest-prefix", *(f"{kind}{turn}" for kind in ("open-", "") for turn in ("hub", "far", "rest")))
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(of_node, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -229,8 +255,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with all columns, of each component of near duplicates only the document with the smallest id.
 
-    Rows that repeat a kept id stay, as do rows without an id and texts without words. Only the ids of what goes are joined.
+    Rows that repeat a kept id stay, as do rows without an id and texts without words. Only the ids of what goes are joined. Columns
+    can have any names.
     """
-    gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = near_duplicates(docs, width, percent).filter("not kept").select("doc_id").distinct()
     gone = Scratch(docs.sparkSession, "gone").save("ids", gone)
-    return docs.join(few(gone), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    name = fresh(docs, "gone")
+    return docs.join(few(gone.withColumnRenamed("doc_id", name)), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -59,6 +59,14 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, where the session has Spark's default of 10,000: ten thousand texts can fill a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

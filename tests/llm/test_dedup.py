@@ -89,14 +89,15 @@ def brute_chunks(rows, min_run):
             low[c] = min(low.get(c, float("inf")), key(i))
     out = []
     for n, (i, t) in enumerate(rows):
-        seen, kept, run, gone = set(), [], [], 0
+        seen, kept, run, gone, whole = set(), [], [], 0, len((t or "").encode())
         for c in [*chunks[n], None]:
             if c is not None and (low[c] < key(i) or c in seen):
                 run.append(c)
                 continue
             size = sum(map(len, run))
-            gone += size if size >= min_run else 0
-            kept += [] if size >= min_run else run
+            goes = size and (size >= min_run or size == whole)
+            gone += size if goes else 0
+            kept += [] if goes else run
             run = []
             if c is not None:
                 kept.append(c)
@@ -120,3 +121,20 @@ def test_shared_passages_are_found_and_others_left_alone(spark):
     rows = [(i, f"{prose(rng, 80, 10**6)} {passage if i % 3 == 0 else ''} {prose(rng, 80, 10**6)}") for i in range(60)]
     got = {r.doc_id: r.n_removed for r in dedup_chunks(docs(spark, rows)).collect()}
     assert all((got[i] > 0) == (i % 3 == 0 and i > 0) for i in range(60))
+
+
+def test_short_texts_that_are_repeated_go(spark):
+    rows = [(1, "short repeated line"), (2, "short repeated line"), (3, "short repeated line"), (4, "another")]
+    assert {r.doc_id: r.text for r in dedup_chunks(docs(spark, rows)).collect()} == {1: "short repeated line", 2: "", 3: "", 4: "another"}
+
+
+def test_gear_hash_equals_a_rolling_loop():
+    from keyflow.llm.chunks import GEAR, WINDOW, gear_hash
+
+    data = np.frombuffer(random.Random(9).randbytes(300), np.uint8)
+    got = gear_hash(data)
+    for at in range(WINDOW - 1, len(data)):
+        h = 0
+        for byte in data[at - WINDOW + 1 : at + 1].tolist():
+            h = (2 * h + int(GEAR[byte])) % (1 << 32)
+        assert h == int(got[at])

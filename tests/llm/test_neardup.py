@@ -73,3 +73,21 @@ def test_a_shuffled_chain_is_one_component(spark):
     links = spark.createDataFrame([*zip(ids, ids[1:]), (2000, 2001)], "a long, b long")
     got = {r.node: r.label for r in connected(links, Scratch(spark, "chain"), "chain").collect()}
     assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000}
+
+
+def test_rows_of_one_id_with_different_texts_lose_no_link(spark):
+    from .util import prose
+
+    rng = __import__("random").Random(8)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (5, c), (5, a[::-1])]
+    got = near_duplicates(docs(spark, rows), 3, 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} and len(got) == 7
+    assert sorted(r.doc_id for r in deduplicate(docs(spark, rows), 3, 85).collect()) == [1, 1, 4]
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 9973}x{i % 7919}" for i in range(400_000))
+    rows = [(1, text), (2, text + " end"), (3, "short text of some words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), 3, 85).collect()}
+    assert got == {1: (399_998, 1), 2: (399_999, 1), 3: (3, 3)}

@@ -2,7 +2,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use names of inside.
-CLASHING = ("batch", "size", "k", "h", "node", "words", "good", "slot")
+CLASHING = ("batch", "size", "k", "h", "node", "words", "good", "slot", "gone", "low", "d1", "mix_key", "MIX_HASH", "mix_copy", "block_hits", "block_items", "t", "d", "full", "edge", "__k", "__id", "__hits")
 
 
 def docs(spark, rows):
