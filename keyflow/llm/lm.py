@@ -30,7 +30,7 @@ from . import census
 from . import tokens as tk
 from .scratch import Scratch
 
-FREQUENT = 512  # units that are in no group
+FREQUENT = 256  # units that are in no group
 GROUPS = 256  # of the other units
 OWN = 512  # times the square root of the number of batches: so many tokens at most have units of their own, and so many units are shared
 WIDE = 24  # numbers of a representation

@@ -37,7 +37,7 @@ def small_counts(shared=300):
     words = np.sort(rng.integers(0, 1 << 63, 700).astype(np.uint64))
     unit = rng.permutation(700) + 1
     mass = np.concatenate([[50], rng.integers(2, 90, 700), rng.integers(0, 30, shared)])
-    return Counts(words, unit, 513, mass, shared, int(mass.sum()), 2000, 0.4)
+    return Counts(words, unit, 257, mass, shared, int(mass.sum()), 2000, 0.4)
 
 
 def test_chances_sum_to_one():
@@ -70,10 +70,10 @@ def test_log_chance_against_single_tokens():
     for i, (u, a, b) in enumerate(zip(units.tolist(), one.tolist(), two.tolist(), strict=True)):
         h = np.append(model.context[a] @ model.place[0] + model.context[b] @ model.place[1], 1)
         scores = np.exp((model.target @ h).astype(float))
-        choice = u if u < 513 else 513 + u % 256
+        choice = u if u < 257 else 257 + u % 256
         want = math.log(scores[choice] / scores.sum())
-        if u >= 513:
-            peers = [x for x in range(513, counts.units) if x % 256 == u % 256]
+        if u >= 257:
+            peers = [x for x in range(257, counts.units) if x % 256 == u % 256]
             near = {x: math.exp(float(model.near[counts.place[x]] @ h)) for x in peers}
             want += math.log(near[u] / sum(near.values()))
         assert abs(got[i] - want) < 1e-3
