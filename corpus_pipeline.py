@@ -33,8 +33,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in training order, a row for each sequence."""
-    return materialise.training_order(docs)
+    """Token ids in training order, a row for each sequence, as read back from the shards that hold them."""
+    return materialise.training_order(docs, folder=Scratch(spark, "shards").root)
 
 
 STAGES = [
