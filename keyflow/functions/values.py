@@ -73,13 +73,25 @@ def float_texts(value: Column) -> Column:
     return F.pandas_udf(convert, "string")(value)
 
 
+def _crc_steps() -> list[int]:
+    """CRC-16 of each byte: polynomial 0x1021, no reflection."""
+    steps = []
+    for byte in range(256):
+        crc = byte << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x1021 if crc & 0x8000 else 0)) & 0xFFFF
+        steps.append(crc)
+    return steps
+
+
+CRC_STEPS = _crc_steps()
+
+
 def crc16(data: bytes) -> int:
     """CRC-16 with polynomial 0x1021 and no reflection."""
     crc = 0
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ (0x1021 if crc & 0x8000 else 0)) & 0xFFFF
+        crc = crc << 8 & 0xFFFF ^ CRC_STEPS[crc >> 8 ^ byte]
     return crc
 
 
@@ -90,10 +102,15 @@ def slot_of(key: bytes, slots: int = 16384) -> int:
 
 
 def slot(key: Column, slots: int = 16384) -> Column:
-    def convert(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: None if k is None else slot_of(bytes(k), slots)).astype("Int32")
-
-    return F.pandas_udf(convert, "int")(key)
+    """``slot_of`` as an expression: the tag's hex digits are cut out and read byte by byte through a table of 256 numbers."""
+    digits = F.hex(key)
+    # Pairs of digits up to the first brace (7B) and from there to the next closing one (7D).
+    tag = F.regexp_extract(digits, "^(?:(?!7B)..)*7B((?:(?!7D)..)+)7D", 1)
+    read = F.when(tag == "", digits).otherwise(tag)
+    steps = F.array(*map(F.lit, CRC_STEPS))
+    bytes_ = F.transform(F.sequence(F.lit(1), F.floor(F.length(read) / 2).cast("int")), lambda i: F.conv(F.substr(read, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    crc = F.aggregate(bytes_, F.lit(0), lambda c, b: F.shiftleft(c, 8).bitwiseAND(0xFFFF).bitwiseXOR(F.element_at(steps, F.shiftright(c, 8).bitwiseXOR(b) + 1)))
+    return F.when(key.isNotNull(), F.when(F.length(digits) == 0, 0).otherwise(crc) % slots).cast("int")
 
 
 def memory(vtype: Column, val: Column, is_int: Column) -> Column:

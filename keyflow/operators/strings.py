@@ -7,6 +7,7 @@ A plain overwrite keeps the key's deadline, as do GETSET, MSET, SETRANGE, APPEND
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -26,16 +27,19 @@ def so_far() -> WindowSpec:
 
 
 BLOCKS = 4096
+HOT = 100_000  # rows of a key that one task sorts
 
 
 def running(frame: DataFrame, value: str, name: str) -> DataFrame:
     """``frame`` with the sum of an integer column over a key's rows up to each one, as the column ``name``.
 
-    A key may have a third of all rows, so its rows are summed by ranges of ``ord`` first: no task sorts more than a range, and the sums
-    of the ranges before, at most BLOCKS for a key, are added. Null where it overflows."""
-    low, high = frame.agg(F.min("ord"), F.max("ord")).first()
-    if low is None:
-        return frame.withColumn(name, F.lit(None).cast("long"))
+    The ranges of ``ord`` by which the rows of a key are summed are chosen by a count: one range where no key has more than HOT rows,
+    so that a plain window does. Else no task sorts more than a range of a key, and the sums of the ranges before, at most
+    BLOCKS for a key, are added. Null where it overflows."""
+    keys = frame.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high"))
+    most, low, high = keys.agg(F.max("n"), F.min("low"), F.max("high")).first()
+    if most is None or most <= HOT:
+        return frame.withColumn(name, F.try_sum(value).over(so_far()))
     width = (high - low) // BLOCKS + 1
     ranged = frame.withColumn("range", F.expr(f"(ord - {low}L) div {width}L"))
     sums = ranged.groupBy("key", "range").agg(F.try_sum(value).alias("sum"))
@@ -203,13 +207,17 @@ def setrange(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
 
 
 def append(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
-    """APPEND of ``val``: the new length. The result is text even where it spells a number."""
+    """APPEND of ``val``: the new length. The result is text even where it spells a number. A null ``val`` is an error that changes nothing.
+
+    The parts of a key are joined in one step, so many rows of one key aren't copied over and over."""
     held = lookup(ks, request.select("ord", "key", F.col("val").alias("part")), now_ns)
-    grown = running(held.withColumn("more", F.octet_length("part").cast("long")), "more", "added")
-    out = _read(grown, F.lit("int"), F.coalesce(F.octet_length("val"), F.lit(0)) + F.col("added"))
+    bad = F.when(F.col("part").isNull(), SYNTAX).when(~is_string(), WRONG_TYPE)
+    grown = running(held.withColumn("more", F.coalesce(F.octet_length("part"), F.lit(0)).cast("long")), "more", "added")
+    size = F.coalesce(F.octet_length("val"), F.lit(0)) + F.col("added")
+    out = replies(grown, F.when(bad.isNotNull(), "error").otherwise("int"), F.when(bad.isNull(), size), bad.cast("binary"))
     empty = F.lit(b"").cast("binary")
-    of_key = held.filter(is_string()).groupBy("key").agg(F.first("val").alias("val"), F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("parts"))
-    after = F.aggregate("parts", F.coalesce("val", empty), lambda v, p: F.concat(v, p.part))
+    of_key = held.filter(bad.isNull()).groupBy("key").agg(F.first("val").alias("val"), F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("parts"))
+    after = F.concat(F.coalesce("val", empty), F.expr("unhex(array_join(transform(parts, p -> hex(p.part)), ''))"))
     return Result(out, written(ks, changed(of_key.select("key", after.alias("after")), F.col("after"), F.lit(False)), now_ns))
 
 
@@ -226,25 +234,46 @@ def incrby(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
     base = F.col("start").cast("decimal(38,0)")
     safe = (base + F.col("up") <= (1 << 63) - 1) & (base + F.col("down") >= -(1 << 63))
     bounds = bounds.withColumn("safe", safe)
-    risky = held.filter("error is null").join(bounds.filter("not safe").select("key"), "key", "left_semi")
-    steps = risky.groupBy("key").agg(F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("ord", "delta"))).alias("steps"))
-    zero = F.array().cast("array<struct<ord: bigint, value: bigint, failed: boolean>>")
-
-    def step(state, s):
-        after = F.try_add(state.value, s.delta)
-        value = F.coalesce(after, state.value)
-        return F.struct(value.alias("value"), F.concat(state.log, F.array(F.struct(s.ord.alias("ord"), value.alias("value"), after.isNull().alias("failed")))).alias("log"))
-
-    folded = steps.select("key", F.aggregate("steps", F.struct("start", zero.alias("log")).cast("struct<value: bigint, log: array<struct<ord: bigint, value: bigint, failed: boolean>>>"), step).alias("f"))
-    calm = running(held.join(bounds.filter("not safe").select("key"), "key", "left_anti"), "delta", "added")
-    calm = calm.withColumn("now", F.when(F.col("error").isNull(), F.col("start") + F.col("added")))
+    bounds = bounds.withColumn("now", (F.col("start") + F.col("sum")).cast("long"))
+    if bounds.filter("not safe").isEmpty():
+        calm, folded = held, None
+    else:
+        unsafe = bounds.filter("not safe").select("key")
+        calm = held.join(unsafe, "key", "left_anti")
+        folded = _step_by_step(held.filter("error is null").join(unsafe, "key", "left_semi"))
+    calm = running(calm, "delta", "added").withColumn("now", F.when(F.col("error").isNull(), F.col("start") + F.col("added")))
     out = replies(calm, F.when(F.col("error").isNull(), "int").otherwise("error"), F.col("now"), F.col("error").cast("binary"))
-    log = folded.select("key", F.explode("f.log").alias("l")).select(F.col("l.ord").alias("ord"), "key", "l.value", "l.failed")
-    out = out.unionByName(replies(log, F.when(F.col("failed"), "error").otherwise("int"), F.when(~F.col("failed"), F.col("value")), F.when(F.col("failed"), F.lit(OVERFLOW.encode()))))
-    final = bounds.filter("safe").select("key", (F.col("start") + F.col("sum")).cast("long").alias("v")).unionByName(folded.select("key", F.col("f.value").alias("v")))
+    final = bounds.filter("safe").select("key", F.col("now").alias("v"))
+    if folded is not None:
+        out = out.unionByName(replies(folded, F.when(F.col("failed"), "error").otherwise("int"), F.when(~F.col("failed"), F.col("value")), F.when(F.col("failed"), F.lit(OVERFLOW.encode()))))
+        final = final.unionByName(folded.groupBy("key").agg(F.max_by("value", "ord").alias("v")))
     return Result(out, written(ks, changed(final, F.col("v").cast("string").cast("binary"), F.lit(True)), now_ns))
 
 
+def _step_by_step(rows: DataFrame) -> DataFrame:
+    """ord, key, value, failed of rows (key, ord, start, delta): numbers of 64 bits, where a row that would overflow changes nothing.
+    A key's rows come sorted, in Arrow batches, and one number is carried on."""
+
+    def fold(batches):
+        last, number = None, 0
+        for batch in batches:
+            keys, deltas, starts = (batch.column(c).to_pylist() for c in ("key", "delta", "start"))
+            values, failed = [], []
+            for key, delta, start in zip(keys, deltas, starts, strict=True):
+                if key != last:
+                    last, number = key, start
+                after = number + delta if delta is not None else 1 << 63
+                bad = not -(1 << 63) <= after < 1 << 63
+                number = number if bad else after
+                values.append(number)
+                failed.append(bad)
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("key"), pa.array(values, pa.int64()), pa.array(failed, pa.bool_())], ["ord", "key", "value", "failed"])
+
+    rows = rows.select("ord", "key", "start", "delta")
+    kind = f"ord {rows.schema['ord'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, value long, failed boolean"
+    return rows.repartition("key").sortWithinPartitions("key", "ord").mapInArrow(fold, kind)
+
+
 def incr(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:
     """INCR: by one."""
     return incrby(ks, request.select("ord", "key", F.lit(1).cast("long").alias("delta")), now_ns)

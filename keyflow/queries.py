@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -426,37 +427,45 @@ def type_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders 3, 13, 23 … go to new names, or, if divisible by three, to the order after."""
-    o = T.table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 3")
-    name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("order:"), (F.col("o_orderkey") + 1).cast("string"))).otherwise(F.concat(F.lit("moved:"), F.col("o_orderkey").cast("string")))
+    """All orders: each goes to a new name, or, where its number is divisible by three, to that of a customer."""
+    o = T.table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("customer:"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("moved:"), F.col("o_orderkey").cast("string")))
     return o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).cast("binary").alias("key"), name.cast("binary").alias("target"))
 
 
-MAPPING_SQL = "m AS (SELECT o_orderkey AS ord, 'order:' || o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'order:' || (o_orderkey + 1) ELSE 'moved:' || o_orderkey END AS target FROM orders WHERE o_orderkey % 10 = 3)"
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyspace of orders and, as customer:<key>, the customers: targets of moves that exist, one in two with a deadline."""
+    c = T.table(spark, sf_dir, "customer")
+    until = F.when(F.col("c_custkey") % 2 == 0, NOW_NS + T.DAY_NS)
+    return T.orders(spark, sf_dir).unionByName(T.strings(c, F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")), F.col("c_custkey").cast("string"), True, until))
+
 
+MAPPING_SQL = f"""m AS (SELECT o_orderkey AS ord, 'order:' || o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'customer:' || o_orderkey ELSE 'moved:' || o_orderkey END AS target FROM orders),
+  b AS (SELECT key, val, deadline_ns FROM lo UNION ALL SELECT 'customer:' || c_custkey, CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN {NOW_NS + T.DAY_NS} END FROM customer)"""
 
-@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL}, x AS (SELECT m.key, target, val, deadline_ns FROM m JOIN lo USING (key)) SELECT key, val, deadline_ns FROM lo WHERE key NOT IN (SELECT key FROM x) AND key NOT IN (SELECT target FROM x) UNION ALL SELECT target, val, deadline_ns FROM x")
+
+@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL}, x AS (SELECT m.key, target, val, deadline_ns FROM m JOIN b USING (key)) SELECT key, val, deadline_ns FROM b WHERE key NOT IN (SELECT key FROM x) AND key NOT IN (SELECT target FROM x) UNION ALL SELECT target, val, deadline_ns FROM x")
 def rename_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RENAME: the keyspace after."""
-    return state(K.rename(T.orders(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS).state)
+    return state(K.rename(_both(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS).state)
 
 
-@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL} SELECT ord, m.key, CASE WHEN s.key IS NULL THEN 'error' ELSE 'int' END AS kind, CASE WHEN s.key IS NOT NULL THEN CAST(t.key IS NULL AS BIGINT) END AS ival, CASE WHEN s.key IS NULL THEN 'ERR no such key' END AS val FROM m LEFT JOIN lo s ON s.key = m.key LEFT JOIN lo t ON t.key = m.target")
+@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL} SELECT ord, m.key, CASE WHEN s.key IS NULL THEN 'error' ELSE 'int' END AS kind, CASE WHEN s.key IS NOT NULL THEN CAST(t.key IS NULL AS BIGINT) END AS ival, CASE WHEN s.key IS NULL THEN 'ERR no such key' END AS val FROM m LEFT JOIN b s ON s.key = m.key LEFT JOIN b t ON t.key = m.target")
 def renamenx_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RENAMENX: the replies."""
-    return answers(K.renamenx(T.orders(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS).replies)
+    return answers(K.renamenx(_both(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS).replies)
 
 
-@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL}, x AS (SELECT target, val, deadline_ns FROM m JOIN lo USING (key) WHERE target NOT IN (SELECT key FROM lo)) SELECT key, val, deadline_ns FROM lo UNION ALL SELECT target, val, deadline_ns FROM x")
+@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL}, x AS (SELECT target, val, deadline_ns FROM m JOIN b USING (key) WHERE target NOT IN (SELECT key FROM b)) SELECT key, val, deadline_ns FROM b UNION ALL SELECT target, val, deadline_ns FROM x")
 def copy_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COPY: the keyspace after."""
-    return state(K.copy(T.orders(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS).state)
+    return state(K.copy(_both(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS).state)
 
 
-@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL}, x AS (SELECT target, s.val, coalesce(s.deadline_ns, t.deadline_ns) AS deadline_ns FROM m JOIN lo s ON s.key = m.key LEFT JOIN lo t ON t.key = m.target) SELECT key, val, deadline_ns FROM lo WHERE key NOT IN (SELECT target FROM x) UNION ALL SELECT target, val, deadline_ns FROM x")
+@register(f"WITH {ORDERS_SQL}, {MAPPING_SQL}, x AS (SELECT target, s.val, coalesce(s.deadline_ns, t.deadline_ns) AS deadline_ns FROM m JOIN b s ON s.key = m.key LEFT JOIN b t ON t.key = m.target) SELECT key, val, deadline_ns FROM b WHERE key NOT IN (SELECT target FROM x) UNION ALL SELECT target, val, deadline_ns FROM x")
 def copy_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COPY REPLACE: a source without a deadline leaves the target's."""
-    return state(K.copy(T.orders(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS, replace=True).state)
+    return state(K.copy(_both(spark, sf_dir), _mapping(spark, sf_dir), NOW_NS, replace=True).state)
 
 
 def _keys(pattern: str):
@@ -513,10 +522,12 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(K.sweep(T.orders(spark, sf_dir), NOW_NS).state)
 
 
-@register()
+@register("SELECT CAST(1 AS BIGINT) AS keys, CAST(1 AS BIGINT) AS live_keys")
 def randomkey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RANDOMKEY."""
-    return K.randomkey(T.orders(spark, sf_dir), NOW_NS).select(text("key"))
+    """RANDOMKEY: one key, which is live."""
+    ks = T.orders(spark, sf_dir)
+    drawn = K.randomkey(ks, NOW_NS).join(live(ks, NOW_NS).select("key", F.lit(1).alias("is_live")), "key", "left")
+    return drawn.agg(F.count("*").alias("keys"), F.count("is_live").alias("live_keys"))
 
 
 # Server commands
@@ -564,6 +575,43 @@ def command_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.command(spark).agg(F.count("*").alias("names"), F.countDistinct("name").alias("several"))
 
 
+@register("SELECT CAST(0 AS BIGINT) AS n")
+def command_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COMMAND DOCS, LIST and GETKEYS: no rows."""
+    return V.command_docs(spark).unionByName(V.command_list(spark)).unionByName(V.command_getkeys(spark)).agg(F.count("*").alias("n"))
+
+
+@register(
+    f"""WITH {ORDERS_SQL} SELECT '# Server' || e || 'version:0.1.0' || e || 'arch_bits:64' || e || e || '# Clients' || e || 'connected_clients:0' || e || e || '# Memory' || e || 'used_memory:0' || e || 'used_memory_human:0B' || e || e
+    || '# Keyspace' || e || 'db0:keys=' || n || ',expires=' || x || ',avg_ttl=0' || e || e AS info FROM (SELECT chr(13) || chr(10) AS e, count(*) AS n, count(deadline_ns) AS x FROM lo)"""
+)
+def info_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INFO: all sections."""
+    return V.info(T.orders(spark, sf_dir), NOW_NS)
+
+
+def _until(kind: str, n: int):
+    """The keyspace after SET or GETEX of all orders with one of OPTIONS."""
+    command = S.set_ if kind == "set" else S.getex
+    return lambda spark, sf_dir: state(command(T.orders(spark, sf_dir), bumped(spark, sf_dir), NOW_NS, **{OPTIONS[n][0]: OPTIONS[n][1]}).state)
+
+
+def bumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for all orders, with the order's number as the value."""
+    o = T.table(spark, sf_dir, "orders")
+    number = F.col("o_orderkey").cast("string")
+    return o.select(F.col("o_orderkey").cast("long").alias("ord"), F.concat(F.lit("order:"), number).cast("binary").alias("key"), number.cast("binary").alias("val"))
+
+
+SECOND = NOW_NS // 10**9
+OPTIONS = [("px", 1500, NOW_NS + 1500 * 10**6), ("exat", SECOND + 77, (SECOND + 77) * 10**9), ("pxat", SECOND * 1000 + 5, (SECOND * 1000 + 5) * 10**6)]
+for _n, (_option, _, _deadline) in enumerate(OPTIONS):
+    QUERIES[f"set_{_option}"] = _until("set", _n)
+    ORACLES[f"set_{_option}"] = f"SELECT 'order:' || o_orderkey AS key, CAST(o_orderkey AS VARCHAR) AS val, CAST({_deadline} AS BIGINT) AS deadline_ns FROM orders"
+    QUERIES[f"getex_{_option}"] = _until("getex", _n)
+    ORACLES[f"getex_{_option}"] = f"WITH {ORDERS_SQL} SELECT key, val, CAST({_deadline} AS BIGINT) AS deadline_ns FROM lo"
+
+
 def _constant(name: str, make: Callable[[SparkSession], DataFrame], kind: str, value: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: make(spark).select("kind", F.col("bulk").cast("string").alias("val"))
     ORACLES[name] = f"SELECT '{kind}' AS kind, '{value}' AS val"
@@ -582,10 +630,11 @@ _constant("discard", V.discard, "error", "ERR DISCARD without MULTI")
 _constant("unwatch", V.unwatch, "status", "OK")
 
 
-@register()
+@register("SELECT true AS near_the_clock, true AS micros_fit")
 def time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIME."""
-    return V.time(spark)
+    """TIME: within an hour of the clock that the plan was made by, and microseconds of a second."""
+    now = int(clock.time())
+    return V.time(spark).select(F.col("seconds").between(now - 3600, now + 3600).alias("near_the_clock"), F.col("micros").between(0, 999_999).alias("micros_fit"))
 
 
 # Functions
@@ -597,10 +646,23 @@ def memory_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live(T.orders(spark, sf_dir), NOW_NS).select(text("key"), text("val"), memory(F.col("vtype"), F.col("val"), F.col("is_int")).alias("bytes"))
 
 
-@register()
+#: CRC-16 (polynomial 0x1021) bit by bit: each byte's eight bits are shifted in from the top.
+SLOT_SQL = """WITH k AS (SELECT key, CASE WHEN length(regexp_extract(key, '^[^{]*[{]([^}]+)[}]', 1)) > 0 THEN regexp_extract(key, '^[^{]*[{]([^}]+)[}]', 1) ELSE key END AS tag FROM (
+    SELECT 'customer:' || c_nationkey || ':' || c_custkey AS key FROM customer
+    UNION ALL SELECT 'cart:{' || c_nationkey || '}:' || c_custkey FROM customer
+    UNION ALL SELECT 'empty{}' || c_custkey FROM customer)),
+  c AS (SELECT key, list_reduce(list_prepend(0::BIGINT, flatten(list_transform(range(1, length(tag) + 1), lambda i: list_transform(range(8), lambda j: ((ascii(substr(tag, i, 1)) >> (7 - j)) & 1)::BIGINT)))),
+    lambda crc, bit: CASE WHEN xor((crc >> 15) & 1, bit) = 1 THEN xor((crc << 1) & 65535, 4129) ELSE (crc << 1) & 65535 END) AS crc FROM k)
+  SELECT key, CAST(crc % 16384 AS INT) AS slot FROM c"""
+
+
+@register(SLOT_SQL)
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slot of each customer's key."""
-    return T.customers(spark, sf_dir).select(text("key"), slot(F.col("key")).alias("slot"))
+    """The slots of each customer's key, of keys with a tag, and of keys with an empty tag."""
+    c, number = T.customers(spark, sf_dir).select(text("key")), F.split("key", ":")
+    tagged = c.select(F.concat(F.lit("cart:{"), number[1], F.lit("}:"), number[2]).alias("key"))
+    every = c.unionByName(tagged).unionByName(c.select(F.concat(F.lit("empty{}"), number[2]).alias("key")))
+    return every.select("key", slot(F.col("key").cast("binary")).alias("slot"))
 
 
 # The wire protocol
@@ -644,6 +706,44 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select(text("key"), F.round(F.col("val").cast("string").cast("double"), 4).alias("n"))
 
 
+def line(at: int, name: str, *args) -> Column:
+    """A command of a log at a place in its order."""
+    return F.struct(F.lit(at).cast("long").alias("seq"), F.lit(0).cast("long").alias("conn_id"), F.lit(NOW_NS).cast("long").alias("now_ns"), F.lit(name).alias("name"), F.array(*(a.cast("binary") if isinstance(a, Column) else F.lit(a).cast("binary") for a in args)).cast("array<binary>").alias("args"))
+
+
+BIG = 1 << 40  # after all customers' numbers
+
+
+def barrier_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers are set; one is renamed, one copied; MSETNX fails on a known name and then succeeds; sizes in between."""
+    c = T.table(spark, sf_dir, "customer")
+    number = F.col("c_custkey").cast("string")
+    sets = c.select(F.col("c_custkey").cast("long").alias("seq"), F.lit(0).cast("long").alias("conn_id"), F.lit(NOW_NS).cast("long").alias("now_ns"), F.lit("SET").alias("name"), F.array(F.concat(F.lit("c:"), number).cast("binary"), F.col("c_name").cast("binary")).alias("args"))
+    more = [("DBSIZE",), ("RENAME", "c:1", "moved:1"), ("COPY", "c:2", "copy:2"), ("MSETNX", "c:2", "x", "new:1", "y"), ("MSETNX", "new:2", "x", "new:1", "y"), ("DBSIZE",), ("GET", "moved:1"), ("EXISTS", "c:1"), ("GET", "new:1")]
+    lines = spark.range(1).select(F.explode(F.array(*(line(BIG + i, *command) for i, command in enumerate(more)))).alias("l")).select("l.*")
+    return sets.unionByName(lines)
+
+
+@register(
+    """SELECT 'c:' || c_custkey AS key, c_name AS val FROM customer WHERE c_custkey <> 1 UNION ALL SELECT 'moved:1', c_name FROM customer WHERE c_custkey = 1
+    UNION ALL SELECT 'copy:2', c_name FROM customer WHERE c_custkey = 2 UNION ALL VALUES ('new:1', 'y'), ('new:2', 'x')"""
+)
+def replay_barriers_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyspace after a log with RENAME, COPY, MSETNX and DBSIZE among writes."""
+    return replay(keyspace(spark, []), barrier_log(spark, sf_dir)).state.select(text("key"), text("val"))
+
+
+@register(
+    f"""SELECT seq - {BIG} AS n, kind, ival, val FROM (
+    SELECT {BIG} AS seq, 'int' AS kind, count(*) AS ival, NULL AS val FROM customer UNION ALL VALUES ({BIG} + 1, 'status', NULL, 'OK'), ({BIG} + 2, 'int', 1, NULL), ({BIG} + 3, 'int', 0, NULL), ({BIG} + 4, 'int', 1, NULL)
+    UNION ALL SELECT {BIG} + 5, 'int', count(*) + 3, NULL FROM customer UNION ALL SELECT {BIG} + 6, 'bulk', NULL, c_name FROM customer WHERE c_custkey = 1 UNION ALL VALUES ({BIG} + 7, 'int', 0, NULL), ({BIG} + 8, 'bulk', NULL, 'y'))"""
+)
+def replay_barriers_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies to its last commands."""
+    out = replay(keyspace(spark, []), barrier_log(spark, sf_dir)).replies.filter(F.col("seq") >= BIG)
+    return out.select((F.col("seq") - BIG).alias("n"), "kind", "ival", F.col("bulk").cast("string").alias("val"))
+
+
 VIEWS_SQL = f"WITH {SEGMENTS_SQL}, x AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS val FROM z) SELECT epoch_us(ts) AS at, user_id, CAST(val AS VARCHAR) AS val FROM x WHERE event_type = 'view'"
 
 

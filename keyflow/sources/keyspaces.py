@@ -64,8 +64,8 @@ def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     at = micros("ts")
     events = table(spark, sf_dir, "events").filter(name.isNotNull())
-    # Events of one moment follow their ids: 20 bits tell apart those of one microsecond that a user can have.
-    seq = (at - 1_600_000_000_000_000) * 2048 + F.col("event_id") % 2048
+    # Events of one microsecond follow their ids; seq is unique where no two of one microsecond have ids that agree in 11 bits.
+    seq = (at - 1_600_000_000_000_000) * 2048 + F.pmod("event_id", F.lit(2048))
     return events.select(seq.alias("seq"), F.col("user_id").cast("long").alias("conn_id"), (at * 1000).alias("now_ns"), name.alias("name"), args.alias("args"))
 
 

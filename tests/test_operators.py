@@ -152,3 +152,36 @@ def test_server(spark, ks):
     assert V.command_count(spark).first()[0] == 208
     assert V.dbsize(V.flushall(ks).state, NOW).first()[0] == 0
     assert V.command_docs(spark).count() == 0 and V.time(spark).first().seconds > 1_600_000_000
+
+
+def test_append_of_nothing_changes_nothing(spark):
+    from keyflow.operators import strings
+
+    now = 1_000 * 10**9
+    ks = keyspace(spark, {"a": "hello"})
+    asked = request(spark, [("a", None), ("a", "x"), ("new", None)], "val binary")
+    replies, after = strings.append(ks, asked, now)
+    assert [(r.kind, r.ival) for r in replies.orderBy("ord").collect()] == [("error", None), ("int", 6), ("error", None)]
+    assert [(bytes(r.key), bytes(r.val)) for r in after.collect()] == [(b"a", b"hellox")]
+
+
+def test_running_sums_of_hot_keys_and_overflows(spark, monkeypatch):
+    from keyflow.operators import strings
+
+    now = 1_000 * 10**9
+    rows = [("hot" if i % 3 else "cold", i % 7 - 2) for i in range(300)]
+    ks = keyspace(spark, {"hot": 5})
+    found = []
+    for most in (100_000, 50):
+        monkeypatch.setattr(strings, "HOT", most)
+        replies, after = strings.incrby(ks, request(spark, rows, "delta long"), now)
+        found.append(([r.ival for r in replies.orderBy("ord").collect()], sorted((bytes(r.key), bytes(r.val)) for r in after.collect())))
+    sums, expected = {"hot": 5, "cold": 0}, []
+    for key, delta in rows:
+        sums[key] += delta
+        expected.append(sums[key])
+    assert found[0] == found[1] == (expected, sorted((k.encode(), str(v).encode()) for k, v in sums.items()))
+    top = (1 << 63) - 1
+    replies, after = strings.incrby(keyspace(spark, {"a": top - 1, "b": 0}), request(spark, [("a", 1), ("a", 1), ("a", -3), ("b", 2)], "delta long"), now)
+    assert [(r.kind, r.ival) for r in replies.orderBy("ord").collect()] == [("int", top), ("error", None), ("int", top - 3), ("int", 2)]
+    assert {bytes(r.key): bytes(r.val) for r in after.collect()} == {b"a": str(top - 3).encode(), b"b": b"2"}
