@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import Scratch, fresh, small_batches
+from .scratch import Scratch, fresh, release, small_batches
 
 BINS = 1 << 20
 BANDS, ROWS = 32, 5  # at a similarity of 0.85, 7 links in 10**9 are in no common bucket; at 0.8, 3 in 10**6
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     seen, labels = None, None
     for turn in ("hub", "far", "rest"):
+        release(docs.sparkSession)
         if turn == "hub":
             pairs = members.filter("hub < m").select(F.col("hub").alias("a"), F.col("m").alias("b")).distinct()
         else:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, release, small_batches
 
 SHAPE = 14  # numbers that describe a text's form
 SLOTS = 64  # of hashed metadata values
@@ -319,6 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, rounds: in
     rows = scratch.save("rows", slim.mapInArrow(lambda it: featured(it, ids, good, held), schema))
     model = co_train(rows, scratch, rounds)
     scratch.close()
+    release(docs.sparkSession)
     return model
 
 
@@ -326,6 +327,7 @@ def co_train(rows: DataFrame, scratch: Scratch, rounds: int) -> Classifier | Non
     own = rows.filter("split > 0").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
     sets, form, meta = unpacked(own)
     y, held = own.column("good").to_numpy().astype(float), own.column("split").to_numpy() == HELD
+    del own
     base = np.flatnonzero(~held)
     if min(np.sum(y[base] == 1), np.sum(y[base] == 0), np.sum(y[held] == 1), np.sum(y[held] == 0)) < 1:
         return None
