@@ -79,11 +79,15 @@ class Code:
             raise ValueError("not all codes are used")
 
     @cached_property
-    def table(self) -> list[int]:
+    def entries(self) -> np.ndarray:
         table = np.zeros(1 << self.most, np.int32)
         for s, (code, n) in self.codes.items():
             table[code :: 1 << n] = s << 4 | n
-        return table.tolist()
+        return table
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
     def read(self, r: Reader) -> int:
         found = self.table[r.peek() & ((1 << self.most) - 1)]
@@ -91,13 +95,16 @@ class Code:
         return found >> 4
 
 
+@lru_cache(maxsize=512)
+def only(symbol: int) -> Code:
+    return Code({symbol: 1})
+
+
 def read_code(r: Reader, size: int) -> Code:
     if r.bits(1):
         two = r.bits(1)
-        symbols = [r.bits(8 if r.bits(1) else 1)]
-        if two:
-            symbols.append(r.bits(8))
-        return Code(dict.fromkeys(symbols, 1))
+        symbol = r.bits(8 if r.bits(1) else 1)
+        return Code(dict.fromkeys((symbol, r.bits(8)), 1)) if two else only(symbol)
     lengths = {LENGTH_ORDER[i]: n for i in range(4 + r.bits(4)) if (n := r.bits(3))}
     if not lengths:
         raise ValueError("bad code lengths")
@@ -229,52 +236,122 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+SEGMENT = 1 << 15  # bits whose tokens are read at once
+
+
+def by_symbol(first: int, values: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Least values and numbers of extra bits by symbol; those before ``first`` are literals, one pixel each."""
+    both = np.array([(1, 0)] * first + values, np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+SIZES, FARS = by_symbol(256, PREFIXES[:24]), by_symbol(0, PREFIXES)
+SHIFTS = np.arange(8, dtype=np.uint64)
+
+
+def read_tokens(data: bytes, at: int, green: np.ndarray, places: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], fars: tuple[np.ndarray, np.ndarray], total: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Literals and back-references from bit ``at`` on: symbols, pixels, distances (0 for literals), and the bit after them.
+
+    They end with ``total`` pixels or, without it, before symbol 256. In a segment the token that would begin at each bit is looked up, and
+    how many bits it takes; those that do begin are found by going from each to the next.
+    """
+    one = np.uint64(1)
+    mask, far_mask = np.uint64(len(green) - 1), np.uint64(len(places) - 1)
+    is_match = (green >= 4096).astype(np.uint64)
+    head = (green & 15).astype(np.uint64) + sizes[1][green >> 4]
+    tail = (places & 15).astype(np.uint64) + fars[1][places >> 4]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    done = 0
+    while True:
+        byte = at >> 3
+        count = min(SEGMENT >> 3, len(data) - byte, SEGMENT if total is None else 8 * (total - done) + 1)  # a token takes up to 59 bits
+        if count <= 0:
+            raise ValueError("the image ends too early")
+        words = np.ndarray(count + 8, "<u8", data[byte : byte + count + 16].ljust(count + 16, b"\0"), strides=(1,))
+        word = (words[:count, None] >> SHIFTS).ravel()
+        index = (word & mask).astype(np.intp)
+        skip = head[index]
+        after = tail[(word >> skip & far_mask).astype(np.intp)]
+        after *= is_match[index]
+        after += skip
+        after += np.arange(8 * count, dtype=np.uint64)
+        after = after.astype(np.intp)
+        to = np.concatenate([after, np.arange(8 * count, 8 * count + 64)])  # what begins after the segment stays there
+        far = to[to]
+        far = far[far]
+        jump, p, end = memoryview(far), at - 8 * byte, 8 * count
+        begins: list[int] = []
+        begin = begins.append
+        while p < end:  # four tokens at once
+            begin(p)
+            p = jump[p]
+        begun = np.empty((len(begins), 4), np.intp)
+        begun[:, 0] = begins
+        for j in range(3):
+            begun[:, j + 1] = to[begun[:, j]]
+        begun = begun.ravel()
+        begun = begun[begun < end]
+        entry = green[index[begun]]
+        symbol = entry >> 4
+        size = sizes[0][symbol] + (word[begun] >> (entry & 15).astype(np.uint64) & ((one << sizes[1][symbol]) - one))
+        size = size.astype(np.int64)
+        last = -1
+        if total is None:
+            stop = np.flatnonzero(symbol == 256)
+            if len(stop):
+                last = int(stop[0])
+                p = int(begun[last] + (entry[last] & 15))
+        else:
+            upto = np.cumsum(size)
+            if upto[-1] >= total - done:
+                last = int(np.searchsorted(upto, total - done))
+                if upto[last] > total - done:
+                    raise ValueError("a back-reference leaves the image")
+                p = int(after[begun[last]])
+                last += 1
+            else:
+                done += int(upto[-1])
+        if last >= 0:
+            begun, symbol, size = begun[:last], symbol[:last], size[:last]
+        far = np.zeros(len(symbol), np.int64)
+        match = np.flatnonzero(symbol > 255)
+        place = begun[match] + skip[begun[match]].astype(np.int64)
+        word = words[place >> 3] >> (place & 7).astype(np.uint64)
+        entry = places[(word & far_mask).astype(np.intp)]
+        far[match] = fars[0][entry >> 4] + (word >> (entry & 15).astype(np.uint64) & ((one << fars[1][entry >> 4]) - one))
+        found.append((symbol, size, far))
+        at = 8 * byte + p
+        if last >= 0:
+            return *(np.concatenate(x) for x in zip(*found, strict=True)), at
+
+
+@lru_cache(maxsize=64)
+def near_distances(width: int) -> np.ndarray:
+    """The distances of short codes, in the codes' order from 1 on."""
+    return np.array([0] + [max(1, x + y * width) for x, y in NEAR])
+
+
 def read_greens(r: Reader, total: int, width: int, group: list[Code]) -> np.ndarray:
     """The green values of an image in which no other channel takes bits: one group, no cache. They are bytes, so runs are copied at once."""
-    green, mask = group[0].table, (1 << group[0].most) - 1
-    places, far_mask = group[4].table, (1 << group[4].most) - 1
-    data, byte = r.data, r.at + 7 >> 3
-    have = 8 * byte - r.at  # bits in ``word``
-    word = r.peek() & ((1 << have) - 1)
-    out = bytearray()
-    literal, at = out.append, 0
-    while at < total:
-        if have < 64:
-            word |= int.from_bytes(data[byte : byte + 16], "little") << have
-            byte += 16
-            have += 128
-        s = green[word & mask]
-        n = s & 15
-        word >>= n
-        have -= n
-        if s < 4096:
-            literal(s >> 4)
-            at += 1
-            continue
-        base, extra = PREFIXES[(s >> 4) - 256]
-        n = base + (word & ((1 << extra) - 1))
-        word >>= extra
-        found = places[word & far_mask]
-        word >>= found & 15
-        base, more = PREFIXES[found >> 4]
-        far = base + (word & ((1 << more) - 1))
-        word >>= more
-        have -= extra + (found & 15) + more
-        if far > 120:
-            far -= 120
-        else:
-            x, y = NEAR[far - 1]
-            far = max(1, x + y * width)
-        if far > at or at + n > total:
-            raise ValueError("a back-reference leaves the image")
-        if far >= n:
-            out += out[at - far : at - far + n]
-        else:
-            out += (out[at - far :] * (n // far + 1))[:n]
-        at += n
-    r.at = 8 * byte - have
-    if r.at > 8 * len(data):
+    if group[0].only >= 256:
+        raise ValueError("a back-reference leaves the image")
+    if group[0].only >= 0:
+        return np.full(total, group[0].only, np.uint8)
+    symbol, size, far, at = read_tokens(r.data, r.at, group[0].entries, group[4].entries, SIZES, FARS, total)
+    if at > 8 * len(r.data):
         raise ValueError("the image ends too early")
+    r.at = at
+    start = np.cumsum(size) - size
+    far = np.where(far > 120, far - 120, near_distances(width)[np.minimum(far, 120)])
+    if (far > start).any():
+        raise ValueError("a back-reference leaves the image")
+    pixels = np.zeros(total, np.uint8)
+    literal = symbol < 256
+    pixels[start[literal]] = symbol[literal]
+    out = bytearray(pixels)
+    match = ~literal
+    for a, n, f in zip(start[match].tolist(), size[match].tolist(), far[match].tolist(), strict=True):
+        out[a : a + n] = out[a - f : a - f + n] if f >= n else (out[a - f : a] * (n // f + 1))[:n]
     return np.frombuffer(out, np.uint8)
 
 
@@ -450,7 +527,7 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
 
 def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
     symbols = sorted(lengths)
-    code = Code(lengths)
+    code = only(symbols[0]) if len(symbols) == 1 else Code(lengths)
     if len(symbols) <= 2 and symbols[-1] < 256 and set(lengths.values()) == {1}:
         w.bits(1, 1)
         w.bits(len(symbols) - 1, 1)
@@ -508,8 +585,8 @@ def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return symbol, np.where(few, 0, v & ((1 << (high - 1)) - 1)), np.where(few, 0, high - 1)
 
 
-def short_table(lengths: dict[int, int]) -> tuple[list[int], int]:
-    """The table of a deflate code, and its mask. Unlike here, a code of one symbol takes a bit there."""
+def short_table(lengths: dict[int, int]) -> np.ndarray:
+    """The table of a deflate code. Unlike here, a code of one symbol takes a bit there."""
     most = max(lengths.values())
     table = np.zeros(1 << most, np.int32)
     code = last = 0
@@ -518,7 +595,7 @@ def short_table(lengths: dict[int, int]) -> tuple[list[int], int]:
         last = n
         table[REVERSED[code] >> (15 - n) :: 1 << n] = s << 4 | n
         code += 1
-    return table.tolist(), (1 << most) - 1
+    return table
 
 
 #: Fixed values of the deflate format: the order of its code lengths' lengths, and the codes of its fixed blocks.
@@ -526,14 +603,14 @@ DEFLATE_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 1
 FIXED = {s: 8 if s < 144 else 9 if s < 256 else 7 if s < 280 else 8 for s in range(288)}, dict.fromkeys(range(30), 5)
 #: Least values and extra bits of its lengths (of symbols from 257 on) and distances.
 LENGTHS = [(s + 3, 0) if s < 8 else (((4 + (s & 3)) << ((s - 4) >> 2)) + 3, (s - 4) >> 2) for s in range(28)] + [(258, 0)]
-DISTANCES = PREFIXES[:30]
+DEFLATE_SIZES, DEFLATE_FARS = by_symbol(257, LENGTHS + [(0, 0)] * 2), by_symbol(0, PREFIXES)
 
 
 def parse(raw: bytes) -> np.ndarray:
     """Rows of start, length and distance: the matches that zlib takes in a sequence of bytes, read from its output."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15, 9)
     r = Reader(packer.compress(raw) + packer.flush())
-    found: list[int] = []
+    found = [np.zeros((0, 3), np.int64)]
     at = last = 0
     while not last:
         last, kind = r.bits(1), r.bits(2)
@@ -547,10 +624,13 @@ def parse(raw: bytes) -> np.ndarray:
         codes = FIXED
         if kind == 2:
             n_long, n_far, n_own = r.bits(5) + 257, r.bits(5) + 1, r.bits(4) + 4
-            table, mask = short_table({DEFLATE_ORDER[i]: n for i in range(n_own) if (n := r.bits(3))})
+            of_lengths = short_table({DEFLATE_ORDER[i]: n for i in range(n_own) if (n := r.bits(3))})
+            table, mask = of_lengths.tolist(), len(of_lengths) - 1
             both: list[int] = []
+            word = have = 0
             while len(both) < n_long + n_far:
-                word = r.peek()
+                if have < 14:
+                    word, have = r.peek(), 56
                 s = table[word & mask]
                 n = s & 15
                 s >>= 4
@@ -560,39 +640,17 @@ def parse(raw: bytes) -> np.ndarray:
                     extra = (2, 3, 7)[s - 16]
                     both += [both[-1] if s == 16 else 0] * ((3, 3, 11)[s - 16] + (word >> n & ((1 << extra) - 1)))
                     n += extra
+                word >>= n
+                have -= n
                 r.at += n
             codes = {s: n for s, n in enumerate(both[:n_long]) if n}, {s: n for s, n in enumerate(both[n_long:]) if n}
-        table, mask = short_table(codes[0])
-        places, far_mask = short_table(codes[1]) if codes[1] else ([0], 0)
-        data, byte = r.data, r.at + 7 >> 3
-        have = 8 * byte - r.at
-        word = r.peek() & ((1 << have) - 1)
-        while True:
-            if have < 48:
-                word |= int.from_bytes(data[byte : byte + 16], "little") << have
-                byte += 16
-                have += 128
-            s = table[word & mask]
-            n = s & 15
-            word >>= n
-            have -= n
-            if s < 4096:
-                at += 1
-                continue
-            if s >> 4 == 256:
-                break
-            base, extra = LENGTHS[(s >> 4) - 257]
-            n = base + (word & ((1 << extra) - 1))
-            word >>= extra
-            s = places[word & far_mask]
-            word >>= s & 15
-            base, more = DISTANCES[s >> 4]
-            found += (at, n, base + (word & ((1 << more) - 1)))
-            word >>= more
-            have -= extra + (s & 15) + more
-            at += n
-        r.at = 8 * byte - have
-    return np.array(found, np.int64).reshape(-1, 3)
+        places = short_table(codes[1]) if codes[1] else np.zeros(1, np.int32)
+        symbol, size, far, r.at = read_tokens(r.data, r.at, short_table(codes[0]), places, DEFLATE_SIZES, DEFLATE_FARS, None)
+        start = at + np.cumsum(size) - size
+        match = symbol > 256
+        found.append(np.column_stack([start[match], size[match], far[match]]))
+        at += int(size.sum())
+    return np.concatenate(found)
 
 
 def packed_bits(values: np.ndarray, sizes: np.ndarray) -> int:
