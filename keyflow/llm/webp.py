@@ -4,16 +4,19 @@ The decoder reads prefix codes by tables, back-references as runs, the colour ca
 predictor (row segments at once), cross-colour, subtract-green and palette transforms. The encoder takes its matches from
 zlib and writes all codes of an image at once.
 
+Both are generators that ask for the tokens of a stream of bits and are sent them; ``together`` runs many of them, so that streams
+of like lengths are read side by side.
+
 Pixels are arrays of shape (height, width, 4): red, green, blue, alpha.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
+from collections.abc import Generator, Iterable
 from functools import cached_property, lru_cache
-from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 
@@ -27,7 +30,24 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 #: Numbers of 15 bits, read from the other end.
 REVERSED = np.packbits(np.unpackbits(np.arange(1 << 15, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, :0:-1], axis=1, bitorder="big").view(">u2")[:, 0].astype(int) >> 1
-REVERSED = REVERSED.tolist()
+
+
+@lru_cache(maxsize=16)
+def reversal(bits: int) -> np.ndarray:
+    """All numbers of so many bits, read from the other end."""
+    return REVERSED[: 1 << bits] >> (15 - bits)
+
+
+def table_of(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run of the longest length's bits the symbol times 16 and the length of its code; symbols are in the order of their codes.
+    Where codes are missing, zeros."""
+    most = int(lengths[-1])
+    table = np.zeros(1 << most, np.int32)
+    runs = np.repeat((symbols << 4 | lengths).astype(np.int32), 1 << (most - lengths))
+    if len(runs) > len(table):
+        raise ValueError("too many codes")
+    table[: len(runs)] = runs
+    return table[reversal(most)]
 
 
 class Reader:
@@ -57,33 +77,26 @@ class Writer:
 
 
 class Code:
-    """A canonical prefix code: ``codes`` gives each symbol's reversed code and length, ``table`` for each run of ``most`` bits the
-    symbol times 16 and the length of its code. A code of one symbol takes no bits."""
+    """A canonical prefix code: ``symbols`` in the order of their codes, the codes' ``lengths`` and reversed ``bits``; ``table`` gives for each
+    run of ``most`` bits the symbol times 16 and the length of its code. A code of one symbol takes no bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        order = sorted(lengths, key=lambda s: (lengths[s], s))
-        self.symbols = order
-        self.only = order[0] if len(order) == 1 else -1
-        self.most = 0 if len(order) == 1 else lengths[order[-1]]
-        self.codes: dict[int, tuple[int, int]] = {}
-        code = last = 0
-        for s in order:
-            n = lengths[s] if len(order) > 1 else 0
-            code <<= n - last
-            last = n
-            if code >> n:
-                raise ValueError("too many codes")
-            self.codes[s] = (REVERSED[code] >> (15 - n), n)
-            code += 1
-        if len(order) > 1 and code != 1 << last:
-            raise ValueError("not all codes are used")
+        symbols, sizes = np.array([*lengths]), np.array([*lengths.values()])
+        order = np.lexsort((symbols, sizes))
+        self.symbols, self.lengths = symbols[order], sizes[order]
+        self.only = -1
+        if len(order) == 1:
+            self.only, self.lengths = int(self.symbols[0]), np.zeros(1, int)
+        self.most = int(self.lengths[-1])
+        wide = 1 << (self.most - self.lengths)
+        upto = np.cumsum(wide)
+        if upto[-1] != 1 << self.most:
+            raise ValueError("too many codes" if upto[-1] > 1 << self.most else "not all codes are used")
+        self.bits = REVERSED[(upto - wide) >> (self.most - self.lengths)] >> (15 - self.lengths)
 
     @cached_property
     def entries(self) -> np.ndarray:
-        table = np.zeros(1 << self.most, np.int32)
-        for s, (code, n) in self.codes.items():
-            table[code :: 1 << n] = s << 4 | n
-        return table
+        return table_of(self.symbols, self.lengths)
 
     @cached_property
     def table(self) -> list[int]:
@@ -142,6 +155,22 @@ def read_code(r: Reader, size: int) -> Code:
     return Code(found)
 
 
+class Stream(NamedTuple):
+    """A stream of bits from bit ``at`` on, the tables of its codes, and the values of their symbols."""
+
+    data: bytes
+    at: int
+    green: np.ndarray
+    places: np.ndarray
+    sizes: tuple[np.ndarray, np.ndarray]
+    fars: tuple[np.ndarray, np.ndarray]
+    total: int | None
+
+
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+Asking = Generator[Stream, Tokens]
+
+
 #: Of the prefix symbols of lengths and distances: the least value, and the number of extra bits that are added to it.
 PREFIXES = [(s + 1, 0) if s < 4 else (((2 + (s & 1)) << ((s - 2) >> 1)) + 1, (s - 2) >> 1) for s in range(40)]
 
@@ -150,7 +179,7 @@ def slot(argb: int, bits: int) -> int:
     return (0x1E35A7BD * argb & 0xFFFFFFFF) >> (32 - bits)
 
 
-def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
+def read_pixels(r: Reader, width: int, height: int, main: bool) -> Asking:
     """ARGB numbers of an entropy-coded image."""
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
@@ -159,7 +188,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     if main and r.bits(1):
         group_bits = r.bits(3) + 2
         across = -(-width >> group_bits)
-        groups = (read_pixels(r, across, -(-height >> group_bits), False) >> np.uint32(8)) & np.uint32(0xFFFF)
+        groups = ((yield from read_pixels(r, across, -(-height >> group_bits), False)) >> np.uint32(8)) & np.uint32(0xFFFF)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(r, n) for n in sizes] for _ in range(int(groups.max()) + 1 if groups is not None else 1)]
     total = width * height
@@ -169,7 +198,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     ready = [(c[0].table, (1 << c[0].most) - 1, p, c) for c, p in zip(codes, plain, strict=True)]
     if groups is None and not cache_bits and plain[0]:
         base = codes[0][3].only << 24 | codes[0][1].only << 16 | codes[0][2].only
-        return read_greens(r, total, width, codes[0]).astype(np.uint32) << np.uint32(8) | np.uint32(base)
+        return (yield from read_greens(r, total, width, codes[0])).astype(np.uint32) << np.uint32(8) | np.uint32(base)
     table = groups.tolist() if groups is not None else None
     green, mask, made, group = ready[0]
     data, byte = r.data, r.at + 7 >> 3
@@ -249,7 +278,7 @@ SIZES, FARS = by_symbol(256, PREFIXES[:24]), by_symbol(0, PREFIXES)
 SHIFTS = np.arange(8, dtype=np.uint64)
 
 
-def read_tokens(data: bytes, at: int, green: np.ndarray, places: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], fars: tuple[np.ndarray, np.ndarray], total: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def read_tokens(data: bytes, at: int, green: np.ndarray, places: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], fars: tuple[np.ndarray, np.ndarray], total: int | None) -> Tokens:
     """Literals and back-references from bit ``at`` on: symbols, pixels, distances (0 for literals), and the bit after them.
 
     They end with ``total`` pixels or, without it, before symbol 256. In a segment the token that would begin at each bit is looked up, and
@@ -325,34 +354,174 @@ def read_tokens(data: bytes, at: int, green: np.ndarray, places: np.ndarray, siz
             return *(np.concatenate(x) for x in zip(*found, strict=True)), at
 
 
+SIDE_BY_SIDE = 48  # streams, that are worth it
+BLOCK = 64  # steps, after which streams that have ended are left out
+ENTRIES = 1 << 22  # of the tables of streams that are read side by side
+
+
+def side_by_side(streams: list[Stream]) -> list[Tokens]:
+    """What ``read_tokens`` gives of each stream. All have the same values of symbols; a step goes on by a token in each. The last few
+    streams are read to their ends one by one."""
+    one = np.uint64(1)
+    sizes, fars, whole = streams[0].sizes, streams[0].fars, streams[0].total is not None
+    base = np.cumsum([0] + [len(s.data) for s in streams])
+    data = b"".join(s.data for s in streams) + bytes(8 * BLOCK + 16)  # a token takes less than 64 bits
+    words = np.ndarray(len(data) - 8, "<i8", data, strides=(1,))
+    green, places = (np.concatenate(t) for t in zip(*((s.green, s.places) for s in streams), strict=True))
+    first_green, first_place = (np.cumsum([0] + [len(t) for t in ts[:-1]]) for ts in zip(*((s.green, s.places) for s in streams), strict=True))
+    mask, far_mask = (np.array([len(t) - 1 for t in ts]) for ts in zip(*((s.green, s.places) for s in streams), strict=True))
+    symbol = green >> 4
+    step = (green & 15) + sizes[1][symbol].astype(np.int32)
+    match = symbol > 255
+    if not whole:  # the end's symbol stays where it is
+        step[symbol == 256] = 0
+        match &= symbol != 256
+    step |= match.astype(np.int32) << 7
+    tail = (places & 15) + fars[1][places >> 4].astype(np.int32)
+    at = np.array([s.at for s in streams]) + 8 * base[:-1]
+    end = 8 * base[1:]
+    live = np.arange(len(streams))
+    steps: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    while len(live) >= SIDE_BY_SIDE:
+        a, g, p, m, n = at[live], first_green[live], first_place[live], mask[live], far_mask[live]
+        some = np.empty((BLOCK, len(live)), np.int64)
+        for j in range(BLOCK):
+            some[j] = a
+            word = words[a >> 3]
+            word >>= a & 7
+            index = word & m
+            index += g
+            head = step[index]
+            size = head & 127
+            a += size
+            word >>= size
+            word &= n
+            word += p
+            head >>= 7
+            head *= tail[word]
+            a += head
+        steps.append(some.ravel())
+        owners.append(np.tile(live, BLOCK))
+        at[live] = a
+        live = live[(a < end[live]) if whole else (a != some[-1])]
+    owner = np.concatenate(owners)
+    order = np.argsort(owner.astype(np.uint16), kind="stable")
+    owner, begun = owner[order], np.concatenate(steps)[order]
+    edges = np.searchsorted(owner, np.arange(len(streams) + 1))
+    word = words[begun >> 3] >> (begun & 7)
+    entry = green[(word & mask[owner]) + first_green[owner]]
+    symbol = entry >> 4
+    extra = sizes[1][symbol].astype(np.int64)
+    size = sizes[0][symbol].astype(np.int64) + (word >> (entry & 15) & (1 << extra) - 1)
+    after = begun + (entry & 15) + extra
+    match = np.flatnonzero(symbol > (255 if whole else 256))
+    word = words[after[match] >> 3] >> (after[match] & 7)
+    entry = places[(word & far_mask[owner[match]]) + first_place[owner[match]]]
+    extra = fars[1][entry >> 4].astype(np.int64)
+    far = np.zeros(len(begun), np.int64)
+    far[match] = fars[0][entry >> 4].astype(np.int64) + (word >> (entry & 15) & (1 << extra) - 1)
+    after[match] += (entry & 15) + extra
+    # Each stream's tokens up to its last one.
+    upto = np.concatenate([[0], np.cumsum(size)])
+    done = upto[edges[1:]] - upto[edges[:-1]]
+    last = edges[1:].copy()
+    ended = np.ones(len(streams), bool)
+    ended[live] = False
+    if whole:
+        totals = np.array([s.total for s in streams])
+        if (ended & (done < totals)).any():
+            raise ValueError("the image ends too early")
+        ended |= done >= totals
+        want = upto[edges[:-1]][ended] + totals[ended]
+        last[ended] = np.searchsorted(upto, want)
+        if (upto[last[ended]] != want).any():
+            raise ValueError("a back-reference leaves the image")
+        at[ended] = after[last[ended] - 1]
+    else:
+        stops = np.flatnonzero(symbol == 256)
+        last[ended] = stops[np.searchsorted(stops, edges[:-1][ended])]
+        at[ended] = after[last[ended]]
+    at -= 8 * base[:-1]
+    out = []
+    for s, a, b, e, whole_stream, n in zip(streams, edges[:-1].tolist(), last.tolist(), at.tolist(), ended.tolist(), done.tolist(), strict=True):
+        found = symbol[a:b], size[a:b], far[a:b]
+        if not whole_stream:
+            *rest, e = read_tokens(s.data, e, *s[2:6], None if s.total is None else s.total - n)
+            found = (np.concatenate(x) for x in zip(found, rest, strict=True))
+        out.append((*found, e))
+    return out
+
+
+def read_many(streams: list[Stream]) -> list[Tokens]:
+    """The tokens of many streams: side by side where there are enough of them, one by one otherwise."""
+    out: list[Tokens | None] = [None] * len(streams)
+    for kind in (True, False):
+        some = [i for i, s in enumerate(streams) if (s.total is None) == kind]
+        while some:
+            upto = np.cumsum([len(streams[i].green) + len(streams[i].places) for i in some])
+            n = max(1, int(np.searchsorted(upto, ENTRIES, "right")))
+            part, some = some[:n], some[n:]
+            found = side_by_side([streams[i] for i in part]) if n >= SIDE_BY_SIDE else [read_tokens(*streams[i]) for i in part]
+            for i, tokens in zip(part, found, strict=True):
+                out[i] = tokens
+    return out
+
+
+def together(jobs: Iterable[Asking]) -> list:
+    """What generators that ask for tokens return."""
+    jobs = [*jobs]
+    out: list = [None] * len(jobs)
+    answers: dict[int, Tokens | None] = dict.fromkeys(range(len(jobs)))
+    while answers:
+        asked: dict[int, Stream] = {}
+        for i, tokens in answers.items():
+            try:
+                asked[i] = jobs[i].send(tokens)
+            except StopIteration as end:
+                out[i] = end.value
+        answers = dict(zip(asked, read_many([*asked.values()]), strict=True))
+    return out
+
+
 @lru_cache(maxsize=64)
 def near_distances(width: int) -> np.ndarray:
     """The distances of short codes, in the codes' order from 1 on."""
     return np.array([0] + [max(1, x + y * width) for x, y in NEAR])
 
 
-def read_greens(r: Reader, total: int, width: int, group: list[Code]) -> np.ndarray:
-    """The green values of an image in which no other channel takes bits: one group, no cache. They are bytes, so runs are copied at once."""
+def read_greens(r: Reader, total: int, width: int, group: list[Code]) -> Asking:
+    """The green values of an image in which no other channel takes bits: one group, no cache. Each pixel of a run names the one it
+    copies; names are followed until all are literals, twice as far in each step."""
     if group[0].only >= 256:
         raise ValueError("a back-reference leaves the image")
     if group[0].only >= 0:
         return np.full(total, group[0].only, np.uint8)
-    symbol, size, far, at = read_tokens(r.data, r.at, group[0].entries, group[4].entries, SIZES, FARS, total)
+    symbol, size, far, at = yield Stream(r.data, r.at, group[0].entries, group[4].entries, SIZES, FARS, total)
     if at > 8 * len(r.data):
         raise ValueError("the image ends too early")
     r.at = at
+    match = np.flatnonzero(symbol > 255)
+    pixels = symbol.astype(np.uint8)
+    if not len(match):
+        return pixels
     start = np.cumsum(size) - size
+    far, n = far[match], size[match]
     far = np.where(far > 120, far - 120, near_distances(width)[np.minimum(far, 120)])
-    if (far > start).any():
+    if (far > start[match]).any():
         raise ValueError("a back-reference leaves the image")
-    pixels = np.zeros(total, np.uint8)
-    literal = symbol < 256
-    pixels[start[literal]] = symbol[literal]
-    out = bytearray(pixels)
-    match = ~literal
-    for a, n, f in zip(start[match].tolist(), size[match].tolist(), far[match].tolist(), strict=True):
-        out[a : a + n] = out[a - f : a - f + n] if f >= n else (out[a - f : a] * (n // f + 1))[:n]
-    return np.frombuffer(out, np.uint8)
+    copied = np.repeat(start[match] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    source = np.arange(total, dtype=np.int32)
+    source[copied] -= np.repeat(far, n).astype(np.int32)
+    now = source[copied]
+    while True:
+        further = source[now]
+        if (further == now).all():
+            break
+        source[copied] = now = further
+    out = np.repeat(pixels, size)
+    out[copied] = out[now]
+    return out
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -451,7 +620,7 @@ def bundle(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
+def decoding(data: bytes) -> Asking:
     """The pixels of a WebP file with a lossless image."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
@@ -471,7 +640,7 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError("a transform is repeated")
         if kind == PALETTE:
             n = r.bits(8) + 1
-            deltas = channels(read_pixels(r, n, 1, False))
+            deltas = channels((yield from read_pixels(r, n, 1, False)))
             steps.append((kind, np.cumsum(deltas, axis=0, dtype=np.uint8), across))
             across = -(-across >> bundle(n))
         elif kind == GREEN:
@@ -479,8 +648,8 @@ def decode(data: bytes) -> np.ndarray:
         else:
             bits = r.bits(3) + 2
             shape = -(-height >> bits), -(-across >> bits)
-            steps.append((kind, channels(read_pixels(r, shape[1], shape[0], False)).reshape(*shape, 4), bits))
-    pixels = channels(read_pixels(r, across, height, True)).reshape(height, across, 4)
+            steps.append((kind, channels((yield from read_pixels(r, shape[1], shape[0], False))).reshape(*shape, 4), bits))
+    pixels = channels((yield from read_pixels(r, across, height, True))).reshape(height, across, 4)
     for kind, *more in reversed(steps):
         if kind == PREDICTOR:
             pixels = predictor(pixels, more[0][..., 1], more[1], False)
@@ -500,6 +669,10 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
+def decode(data: bytes) -> np.ndarray:
+    return together([decoding(data)])[0]
+
+
 # Encoding
 
 
@@ -507,16 +680,26 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
     """Huffman code lengths; rare symbols count as more where a length would be above ``most``."""
     if len(counts) == 1:
         return dict.fromkeys(counts, 1)
-    symbols = sorted(counts)
+    symbols = sorted(counts, key=counts.get)
+    leaves = len(symbols)
     floor = 1
     while True:
-        heap = [(max(counts[s], floor), i) for i, s in enumerate(symbols)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(symbols) - 1)
-        for new in range(len(symbols), len(parent)):
-            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x] = parent[y] = new
-            heapq.heappush(heap, (a + b, new))
+        # Sums come in ascending order, so the two least are at the head of the symbols or of the sums.
+        weights = [max(counts[s], floor) for s in symbols]
+        parent = [0] * (2 * leaves - 1)
+        leaf, inner = 0, leaves
+        for new in range(leaves, len(parent)):
+            total = 0
+            for _ in range(2):
+                if leaf < leaves and (inner == new or weights[leaf] <= weights[inner]):
+                    pick = leaf
+                    leaf += 1
+                else:
+                    pick = inner
+                    inner += 1
+                parent[pick] = new
+                total += weights[pick]
+            weights.append(total)
         depth = [0] * len(parent)
         for i in range(len(parent) - 2, -1, -1):
             depth[i] = depth[parent[i]] + 1
@@ -537,11 +720,11 @@ def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
             w.bits(symbols[1], 8)
         return code
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
-    dense = [0] * size
-    for s, n in lengths.items():
-        dense[s] = n
-    for n, same in groupby(dense):
-        run = len([*same])
+    dense = np.zeros(size + 1, int)
+    dense[[*lengths]] = [*lengths.values()]
+    dense[size] = -1
+    ends = np.flatnonzero(dense[1:] != dense[:-1]) + 1
+    for n, run in zip(dense[ends - 1].tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -569,15 +752,18 @@ def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
     for s in LENGTH_ORDER[:n]:
         w.bits(own.get(s, 0), 3)
     w.bits(0, 1)
-    codes = Code(own).codes
+    own_code = Code(own)
+    codes = dict(zip(own_code.symbols.tolist(), zip(own_code.bits.tolist(), own_code.lengths.tolist(), strict=True), strict=True))
+    value = at = 0
     for s, extra, bits in tokens:
-        w.bits(*codes[s])
-        w.bits(extra, bits)
+        own_bits, n = codes[s]
+        value |= (own_bits | extra << n) << at
+        at += n + bits
+    w.bits(value, at)
     return code
 
 
-def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefix symbols, extra bits and their numbers of lengths or distances."""
+def find_prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = values.astype(np.int64) - 1
     high = np.maximum(np.frexp(v.astype(float))[1] - 1, 1)
     few = v < 4
@@ -585,17 +771,21 @@ def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return symbol, np.where(few, 0, v & ((1 << (high - 1)) - 1)), np.where(few, 0, high - 1)
 
 
+FOUND = find_prefixes(np.maximum(np.arange(1 << 16), 1))
+
+
+def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix symbols, extra bits and their numbers of lengths or distances."""
+    if len(values) and values.max() >= len(FOUND[0]):
+        return find_prefixes(values)
+    return tuple(x[values] for x in FOUND)
+
+
 def short_table(lengths: dict[int, int]) -> np.ndarray:
     """The table of a deflate code. Unlike here, a code of one symbol takes a bit there."""
-    most = max(lengths.values())
-    table = np.zeros(1 << most, np.int32)
-    code = last = 0
-    for n, s in sorted((n, s) for s, n in lengths.items()):
-        code <<= n - last
-        last = n
-        table[REVERSED[code] >> (15 - n) :: 1 << n] = s << 4 | n
-        code += 1
-    return table
+    symbols, sizes = np.array([*lengths]), np.array([*lengths.values()])
+    order = np.lexsort((symbols, sizes))
+    return table_of(symbols[order], sizes[order])
 
 
 #: Fixed values of the deflate format: the order of its code lengths' lengths, and the codes of its fixed blocks.
@@ -606,7 +796,7 @@ LENGTHS = [(s + 3, 0) if s < 8 else (((4 + (s & 3)) << ((s - 4) >> 2)) + 3, (s -
 DEFLATE_SIZES, DEFLATE_FARS = by_symbol(257, LENGTHS + [(0, 0)] * 2), by_symbol(0, PREFIXES)
 
 
-def parse(raw: bytes) -> np.ndarray:
+def parsing(raw: bytes) -> Asking:
     """Rows of start, length and distance: the matches that zlib takes in a sequence of bytes, read from its output."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15, 9)
     r = Reader(packer.compress(raw) + packer.flush())
@@ -645,7 +835,7 @@ def parse(raw: bytes) -> np.ndarray:
                 r.at += n
             codes = {s: n for s, n in enumerate(both[:n_long]) if n}, {s: n for s, n in enumerate(both[n_long:]) if n}
         places = short_table(codes[1]) if codes[1] else np.zeros(1, np.int32)
-        symbol, size, far, r.at = read_tokens(r.data, r.at, short_table(codes[0]), places, DEFLATE_SIZES, DEFLATE_FARS, None)
+        symbol, size, far, r.at = yield Stream(r.data, r.at, short_table(codes[0]), places, DEFLATE_SIZES, DEFLATE_FARS, None)
         start = at + np.cumsum(size) - size
         match = symbol > 256
         found.append(np.column_stack([start[match], size[match], far[match]]))
@@ -653,14 +843,21 @@ def parse(raw: bytes) -> np.ndarray:
     return np.concatenate(found)
 
 
+def parse(raw: bytes) -> np.ndarray:
+    return together([parsing(raw)])[0]
+
+
 def packed_bits(values: np.ndarray, sizes: np.ndarray) -> int:
     """Numbers of up to 63 bits one after the other, the first one lowest."""
     end = np.cumsum(sizes)
     start = end - sizes
     word, shift = start >> 6, (start & 63).astype(np.uint64)
     out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
-    np.bitwise_or.at(out, word, values << shift)
-    np.bitwise_or.at(out, word + 1, np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    # What a number has beyond its first word.
+    over = np.flatnonzero((start & 63) + sizes > 64)
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
     return int.from_bytes(out.astype("<u8").tobytes(), "little")
 
 
@@ -685,22 +882,22 @@ def near_codes(width: int) -> np.ndarray:
     return codes
 
 
-def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
+def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> Asking:
     """An image with Huffman codes, zlib's matches as back-references (in images of up to 256 different pixels, or with one channel), and
     cache codes for what else is in the cache."""
-    values = argb.ravel().astype(np.uint64)
-    others = values & ~np.uint64(0xFF00)
-    plain = bool((others == others[0]).all())  # pixels differ in green alone
+    values = argb.ravel()
+    plain = not ((values ^ values[0]) & np.uint32(0xFFFF00FF)).any()  # pixels differ in green alone
+    values = values.astype(np.uint64)
     starts = lengths = far = np.zeros(0, np.int64)
     if references:
         rank = values >> np.uint64(8) if plain else np.unique(values, return_inverse=True)[1]
         if rank.max() < 256 or plain:
-            starts, lengths, far = parse(rank.astype(np.uint8).tobytes()).T
+            starts, lengths, far = (yield from parsing(rank.astype(np.uint8).tobytes())).T
     at = np.arange(len(values))
     if len(starts):
         edge = np.zeros(len(values) + 1, np.int64)
         edge[starts + 1] += 1
-        np.subtract.at(edge, starts + lengths, 1)
+        edge[starts + lengths] -= 1
         at = np.flatnonzero(np.cumsum(edge[:-1]) == 0)  # pixels where a token begins
     v = values[at]
     match = np.zeros(len(values), bool)
@@ -731,8 +928,8 @@ def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits
         some = np.flatnonzero(counts)
         table = np.zeros((2, n), np.uint64)
         if len(some) > 1:
-            codes = write_code(w, code_lengths(dict(zip(some.tolist(), counts[some].tolist(), strict=True))), n).codes
-            table[:, [*codes]] = np.array([*codes.values()], np.uint64).T
+            code = write_code(w, code_lengths(dict(zip(some.tolist(), counts[some].tolist(), strict=True))), n)
+            table[:, code.symbols] = code.bits, code.lengths
         else:
             write_code(w, {int(some[0]) if len(some) else 0: 1}, n)
         tables.append(table)
@@ -763,7 +960,7 @@ def header(w: Writer, width: int, height: int, alpha: bool) -> None:
     w.bits(0, 3)
 
 
-def encode_with(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, modes: np.ndarray | None = None, elements: np.ndarray | None = None, bits: int = 2) -> bytes:
+def encoding_with(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, modes: np.ndarray | None = None, elements: np.ndarray | None = None, bits: int = 2) -> Asking:
     """A file with Huffman codes and the given transforms, in their order. ``modes`` and ``elements`` are what the predictor and
     cross-colour transforms use for each block of 2**bits pixels a side (default: the top pixel, and no change)."""
     height, width = pixels.shape[:2]
@@ -779,12 +976,12 @@ def encode_with(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits
             w.bits(bits - 2, 3)
             data = np.zeros((*shape, 4), np.uint8)
             data[..., 1], data[..., 3] = modes, 255
-            write_pixels(w, numbers(data), shape[1], False)
+            yield from write_pixels(w, numbers(data), shape[1], False)
             pixels = predictor(pixels, modes, bits, True)
         elif kind == CROSS:
             elements = np.zeros((*shape, 4), np.uint8) if elements is None else elements
             w.bits(bits - 2, 3)
-            write_pixels(w, numbers(elements), shape[1], False)
+            yield from write_pixels(w, numbers(elements), shape[1], False)
             pixels = cross(pixels, elements, bits, True)
         elif kind == GREEN:
             pixels = subtract_green(pixels, True)
@@ -794,7 +991,7 @@ def encode_with(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits
                 raise ValueError("too many colours for a palette")
             w.bits(len(colours) - 1, 8)
             table = channels(colours)
-            write_pixels(w, numbers(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours), False)
+            yield from write_pixels(w, numbers(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(colours), False)
             packed = bundle(len(colours))
             n = 8 >> packed
             index = index.reshape(height, across).astype(np.uint8)
@@ -806,10 +1003,14 @@ def encode_with(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits
                 pixels[..., 1] |= index[..., j] << (j * n) if packed else index[..., j]
             across = across_new
     w.bits(0, 1)
-    write_pixels(w, numbers(pixels), across, True, cache_bits, references)
+    yield from write_pixels(w, numbers(pixels), across, True, cache_bits, references)
     return container(w.value.to_bytes((w.at + 7) // 8, "little"))
 
 
+def encode_with(pixels: np.ndarray, *more, **options) -> bytes:
+    return together([encoding_with(pixels, *more, **options)])[0]
+
+
 TILE = 4  # log2 of the pixels of a predictor block's side
 
 
@@ -825,7 +1026,7 @@ def alike(samples: np.ndarray) -> np.ndarray:
     return np.where(2 * np.maximum(a, b) < whole, 0, np.where(a >= b, 1, 2)).astype(np.uint8)
 
 
-def encode(samples: np.ndarray) -> bytes:
+def encoding(samples: np.ndarray) -> Asking:
     """The shortest of a few files of the grey image (height, width) of 8-bit samples, with Huffman codes and back-references.
 
     Up to 16 different samples make a palette, whose indices share pixels; other images subtract green. Where most samples of a
@@ -835,8 +1036,12 @@ def encode(samples: np.ndarray) -> bytes:
     pixels = np.repeat(samples[..., None], 4, 2)
     pixels[..., 3] = 255
     few = len(np.flatnonzero(np.bincount(samples.ravel(), minlength=256))) <= 16
-    found = [encode_with(pixels, (PALETTE,) if few else (GREEN,))]
+    found = [(yield from encoding_with(pixels, (PALETTE,) if few else (GREEN,)))]
     modes = alike(samples)
     if modes.astype(bool).mean() >= 0.25:
-        found.append(encode_with(pixels, (PREDICTOR, GREEN), modes=modes, bits=TILE))
+        found.append((yield from encoding_with(pixels, (PREDICTOR, GREEN), modes=modes, bits=TILE)))
     return min(found, key=len)
+
+
+def encode(samples: np.ndarray) -> bytes:
+    return together([encoding(samples)])[0]

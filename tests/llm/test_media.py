@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from keyflow.llm import webp
-from keyflow.llm.media import ROWS, digests, images, load, payload, samples, store, stored
+from keyflow.llm.media import ROWS, all_images, all_stored, digests, images, load, payload, samples, store, stored
 
 from .util import clashing, corpus, docs, prose
 
@@ -180,3 +180,17 @@ def test_digests(spark):
         if r.doc_id is not None:
             assert b"".join(np.frombuffer(x.pixels, np.uint8).reshape(x.height, x.width, 4)[..., 0].tobytes() for x in r.images)[: kept[r.doc_id].n_bytes] == (dict(rows)[r.doc_id] or "").encode()
     assert digests(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_many_texts_side_by_side():
+    """Streams of all lengths, some of which go on alone when the others have ended, are read as each one by itself."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    raws = [b" ".join(words[i] for i in rng.integers(0, 300, n)) for n in [*rng.integers(0, 400, 120).tolist(), 4000, 30_000]]
+    raws += [b"", b"a" * 5000, b"ab" * 3000, rng.integers(0, 256, 9000).astype(np.uint8).tobytes(), bytes(range(256)) * 40]
+    medias = all_stored(raws)
+    assert medias == [stored(r) for r in raws]
+    for raw, parts in zip(raws, all_images(medias), strict=True):
+        assert b"".join(p[..., 0].tobytes() for p in parts) == payload(raw)
+    with pytest.raises(ValueError):
+        all_images([*medias[:100], medias[100][:20] + medias[100][20:-60] + bytes(60)])
