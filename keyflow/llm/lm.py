@@ -37,6 +37,7 @@ WIDE = 24  # numbers of a representation
 NOISE = 64  # noise choices among frequent units and groups of a step, and within their groups of each token
 NEAR_NOISE = 4
 STEP = 4096  # tokens of a step
+BLOCK = 256  # contexts that are normalised at once
 RATE = 0.08
 END = np.uint64(0x5851F42D4C957F2D)  # the end's place among word hashes
 FOLDS, HELD = 7, 2
@@ -196,11 +197,20 @@ def totals(counted: DataFrame, units: int) -> Counts:
     return Counts(words[order], order.astype(np.int64) + 1, 1 + min(FREQUENT, len(words)), np.concatenate([[once], n_words, mass]), units, total, distinct, discount)
 
 
-def sums_by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers of ``index``, and the sums of their rows."""
-    some, at = np.unique(index, return_inverse=True)
-    sums = np.empty((len(some), rows.shape[1]), np.float32)
-    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+def in_turn(index: np.ndarray) -> np.ndarray:
+    """The order that sorts numbers and keeps equal ones as they are; numbers of 16 bits are dealt by digits, which is faster."""
+    return np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
+
+
+def sums_by(index: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``index``, and the sums of their rows, which are given by columns."""
+    order = in_turn(index)
+    ordered = index[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    some, at = ordered[first], np.empty(len(index), np.int64)
+    at[order] = np.cumsum(first) - 1
+    sums = np.empty((len(some), len(columns)), np.float32)
+    for j, column in enumerate(columns):
         sums[:, j] = np.bincount(at, column, len(some))
     return some, sums
 
@@ -232,11 +242,14 @@ class Model:
         return self
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
+        """What contexts make of the next token's representation, and 1 for its bias."""
+        h = np.ones((len(one), WIDE + 1), np.float32)
+        np.add((self.context @ self.place[0])[one], (self.context @ self.place[1])[two], out=h[:, :WIDE])
+        return h
 
-    def step(self, j: int, squares: list[np.ndarray], index: np.ndarray, rows: np.ndarray, size: int) -> None:
+    def step(self, j: int, squares: list[np.ndarray], index: np.ndarray, columns: np.ndarray, size: int) -> None:
         """Adagrad on the rows of a part that a step has met."""
-        some, g = sums_by(index, rows)
+        some, g = sums_by(index, columns)
         g /= size
         s = squares[j][some] + g * g
         squares[j][some] = s
@@ -255,7 +268,8 @@ class Model:
         up = -1 / (1 + np.exp(np.clip((wide * q).sum(1) - log_noise[chosen], -30, 30)))
         down = 1 / (1 + np.exp(-np.clip(wide @ z.T - log_noise[noise], -30, 30)))
         to_h = up[:, None] * q + down @ z
-        index, rows = [chosen, noise], [up[:, None] * wide, down.T @ wide]
+        by_columns = np.ascontiguousarray(wide.T)
+        index, columns = [chosen, noise], [up * by_columns, by_columns @ down]
         far = np.flatnonzero(chosen >= counts.frequent)
         if len(far):
             at = counts.place[units[far]]
@@ -267,11 +281,16 @@ class Model:
             up = -1 / (1 + np.exp(np.clip((w * q).sum(1) - log_near[at], -30, 30)))
             down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", w, z) - log_near[drawn], -30, 30)))
             to_h[far] += up[:, None] * q + np.einsum("ik,ikj->ij", down, z)
-            self.step(2, squares, np.concatenate([at, drawn.ravel()]), np.concatenate([up[:, None] * w, (down[..., None] * w[:, None]).reshape(-1, WIDE + 1)]), size)
+            by_columns, n = by_columns[:, far], len(far)
+            near = np.empty((WIDE + 1, (1 + NEAR_NOISE) * n), np.float32)
+            np.multiply(up, by_columns, out=near[:, :n])
+            for k in range(NEAR_NOISE):
+                np.multiply(down[:, k], by_columns, out=near[:, (1 + k) * n : (2 + k) * n])
+            self.step(2, squares, np.concatenate([at, drawn.T.ravel()]), near, size)
         to_h = to_h[:, :WIDE]
-        self.step(1, squares, np.concatenate(index), np.concatenate(rows), size)
+        self.step(1, squares, np.concatenate(index), np.concatenate(columns, axis=1), size)
         grad = np.stack([x.T @ to_h, y.T @ to_h]) / size
-        back = np.concatenate([to_h @ self.place[0].T, to_h @ self.place[1].T])
+        back = np.concatenate([self.place[0] @ to_h.T, self.place[1] @ to_h.T], axis=1)
         self.step(0, squares, np.concatenate([one, two]), back, size)
         squares[3] += grad * grad
         self.place -= RATE * grad / np.sqrt(squares[3] + 1e-8)
@@ -280,19 +299,24 @@ class Model:
         """Normalised log probabilities of units after their contexts."""
         size = counts.units + 1
         pairs, which = np.unique(one * size + two, return_inverse=True)
-        h = np.column_stack([self.hidden(pairs // size, pairs % size), np.ones(len(pairs), np.float32)])
+        h = self.hidden(pairs // size, pairs % size)
         norm = np.empty(len(pairs), np.float32)
-        for a in range(0, len(pairs), 1024):
-            scores = h[a : a + 1024] @ self.target.T
-            top = scores.max(1) if scores.max() > 60 else np.zeros(len(scores), np.float32)  # exponents stay in range
-            scores -= top[:, None]
-            norm[a : a + 1024] = top + np.log(np.exp(scores, out=scores).sum(1))
+        longest = np.sqrt((self.target**2).sum(1).max())
+        room = np.empty((BLOCK, len(self.target)), np.float32)
+        for a in range(0, len(pairs), BLOCK):
+            rows = h[a : a + BLOCK]
+            scores = np.matmul(rows, self.target.T, out=room[: len(rows)])
+            top = np.zeros(len(rows), np.float32)
+            if np.sqrt((rows * rows).sum(1).max()) * longest > 60 and scores.max() > 60:  # exponents stay in range
+                top = scores.max(1)
+                scores -= top[:, None]
+            norm[a : a + BLOCK] = top + np.log(np.exp(scores, out=scores).sum(1))
         chosen = counts.choice_of(units)
         out = np.empty(len(units), np.float64)
         for a in range(0, len(units), 1 << 16):
             part = slice(a, a + (1 << 16))
             out[part] = np.einsum("ij,ij->i", h[which[part]], self.target[chosen[part]]) - norm[which[part]]
-        by_group = np.argsort(chosen, kind="stable")
+        by_group = in_turn(chosen)
         edges = np.searchsorted(chosen[by_group], counts.frequent + np.arange(GROUPS + 1))
         for g in range(GROUPS):
             a, b = counts.edges[g], counts.edges[g + 1]
