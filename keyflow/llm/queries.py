@@ -65,8 +65,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .materialise import training_order
+    from .scratch import Scratch
 
-    return training_order(table(spark, sf_dir, "documents"))
+    return training_order(table(spark, sf_dir, "documents"), folder=Scratch(spark, "shards").root)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

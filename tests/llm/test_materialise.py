@@ -67,3 +67,26 @@ def test_long_texts_and_runs_of_shards(spark, monkeypatch):
     rows = out.select("slot", "n_tokens", "doc_id").collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and sum(r.n_tokens for r in rows if r.doc_id == 1) > 200_000
     assert out.rdd.getNumPartitions() <= 3
+
+
+def test_the_query_returns_what_its_shards_hold(spark, tmp_path, monkeypatch):
+    from keyflow.llm import scratch
+    from keyflow.llm.queries import op7_training_order
+
+    monkeypatch.setattr(m, "SHARD_BYTES", 8 << 10)  # eight records
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(shared))
+    docs(spark, [*corpus(10), (7000, "word " * 9000)]).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op7_training_order(spark, str(tmp_path))
+    assert not [*shared.glob("order-*/ids")]
+    plain = training_order(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert out.schema == plain.schema
+    rows = out.collect()
+    assert [r.slot for r in rows] == list(range(len(rows))) and len(rows) > 8 * m.PASSES
+    assert sorted(rows, key=lambda r: r.slot) == sorted(plain.collect(), key=lambda r: r.slot)
+    (folder,) = shared.glob("shards-*")
+    assert [s.tobytes() for s in read_slots(str(folder))] == [bytes(r.tokens) for r in rows]
+    first = folder / "shard-0000000.bin"
+    first.write_bytes(bytes(first.stat().st_size))  # what the query returns is what the files hold
+    assert out.first().tokens == bytes(1024)
+    assert training_order(docs(spark, [(1, "a")]).limit(0), folder=str(tmp_path / "none")).count() == 0
