@@ -6,7 +6,8 @@ confirmed on the full shingle sets.
 
 Copies never multiply: documents with equal sets are one node from the start. Within a bucket of equal bands, members
 are compared with one hub first, so a group of any size gives as many pairs as it has members; links join members to
-components, and only members that are still in different components are compared any further, by an exact prefix filter.
+components. Members that are still in different components are described by their differences from what most of their
+group has: small differences prove links with one centre, and the others can only link where they share a difference.
 That loses no link that could change a component.
 """
 
@@ -158,26 +159,43 @@ def same_document(base: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFr
     return pairs.join(nodes.select(F.col("node").alias("b"), "d1", "d2"), ["d1", "d2"]).join(first, ["e1", "e2"]).select("a", "b")
 
 
-def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: pairs of ``nodes`` (node, n, label) with different labels that can be linked, a superset of the links.
+def differences(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """node, n, grp, diff, u, centre (u, node) of ``nodes`` (node, n, grp).
 
-    Each set is ordered by rising frequency of its shingles. Linked sets share one in the prefixes that are left when the
-    least intersection is taken away, and at the first shared one enough must follow in both. So edits that few sets share
-    come first and rule pairs out, and a large group of texts with many edits each doesn't meet all pairs.
+    ``diff`` are the shingles in which a set differs from those that more than half of its group has, whichever side lacks
+    them. Two sets x and y of n shingles are linked exactly if u(x) + u(y) <= 2 * (100 + percent) * (number of common differences),
+    where u = (100 + percent) * size(diff) - (100 - percent) * n. ``centre`` has the group's least u.
     """
-    words = sets.join(nodes, "node").select("node", "n", "label", F.explode("shingles").alias("s"))
-    often = words.groupBy("s").agg(F.count("*").alias("f"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("s", "f")
-    order = words.join(often, "s").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))  # sets' own shingles come first
-    order = order.withColumn("own", F.col("n") - F.size("shared")).withColumn("shared", F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int")))
-    at = scratch.save("rest-prefix", order.select("node", "n", "label", "own", F.posexplode("shared").alias("i", "e")).select("node", "n", "label", (F.col("own") + F.col("i") + 1).alias("p"), F.col("e.s").alias("s")))
-    mixed = at.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
-    at = at.join(mixed, "s")
-    one = at.select("s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "p")))
-    two = at.select("s", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "p")))
-    most = "(1 + least(n1 - p1, n2 - p2))"
-    fits = f"node1 < node2 and label1 <> label2 and least(n1, n2) * 100 >= greatest(n1, n2) * {int(percent)} and {most} * 100 >= (n1 + n2 - {most}) * {int(percent)}"
-    return one.join(two, "s").filter(fits).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    here = scratch.save("group-sets", sets.join(nodes, "node").select("node", "n", "grp", "shingles"))
+    count_ = here.select("grp", F.explode("shingles").alias("s")).groupBy("grp", "s").agg(F.count("*").alias("f")).filter("f > 1")
+    usual = count_.join(nodes.groupBy("grp").agg(F.count("*").alias("of")), "grp").filter("2 * f > of").groupBy("grp").agg(F.collect_list("s").alias("usual"))
+    found = here.join(usual, "grp", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>")))
+    found = found.select("node", "n", "grp", F.concat(F.array_except("shingles", "usual"), F.array_except("usual", "shingles")).alias("diff"))
+    found = scratch.save("diffs", found.withColumn("u", F.size("diff").cast("long") * (100 + percent) - F.col("n") * (100 - percent)))
+    return found.join(found.groupBy("grp").agg(F.min(F.struct("u", "node")).alias("centre")), "grp")
+
+
+def prefix_pairs(diffs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of ``diffs`` (see ``differences``; and label) with different labels that can be linked, a superset of those links that
+    the centre doesn't make.
+
+    Each set's differences are ordered by rising frequency in the group. Linked sets share one in the prefixes that are left
+    when the least number of common ones is taken away, and at the first shared one enough must follow in both. So differences
+    that few sets share come first, and a large group of texts with many edits each doesn't meet all pairs.
+    """
+    twice = 2 * (100 + percent)
+    each = diffs.select("node", "n", "grp", "label", "u", F.col("centre.u").alias("u0"), F.size("diff").alias("d"), F.explode("diff").alias("s"))
+    mixed = each.groupBy("grp", "s").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("grp", "s", "f")
+    order = each.join(mixed, ["grp", "s"]).groupBy("node", "n", "grp", "label", "u", "u0", "d").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
+    order = order.withColumn("own", F.col("d") - F.size("shared"))  # what no other label has comes first
+    prefix = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("u0")) / twice)) + 1 - F.col("own")
+    order = order.withColumn("shared", F.slice("shared", 1, F.greatest(prefix, F.lit(0)).cast("int")))
+    at = order.select("node", "n", "grp", "label", "u", "d", "own", F.posexplode("shared").alias("i", "e"))
+    at = scratch.save("rest-prefix", at.select("node", "n", "grp", "label", "u", (F.col("d") - F.col("own") - F.col("i")).alias("left"), F.col("e.s").alias("s")))
+    one = at.select("grp", "s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "u", "left")))
+    two = at.select("grp", "s", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "label", "u", "left")))
+    fits = f"node1 < node2 and label1 <> label2 and least(n1, n2) * 100 >= greatest(n1, n2) * {int(percent)} and {twice} * least(left1, left2) >= u1 + u2"
+    return one.join(two, ["grp", "s"]).filter(fits).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,20 +241,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         common = F.size(F.array_intersect("x", "y"))
         return scratch.save(name, full.select("a", "b", (common * 100 >= (F.col("an") + F.col("bn") - common) * percent).alias("linked")))
 
-    seen, labels = None, None
-    for turn in ("hub", "far", "rest"):
+    seen, labels, diffs = None, None, None
+    for turn in ("hub", "centre", "rest"):
         release(docs.sparkSession)
         if turn == "hub":
             pairs = members.filter("hub < m").select(F.col("hub").alias("a"), F.col("m").alias("b")).distinct()
         else:
-            # Buckets whose members are still in more than one component, which first meet the last member of another one.
-            here = members.join(labels.withColumnRenamed("node", "m"), "m", "left").withColumn("label", F.coalesce("label", "m"))
-            open_ = here.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("label", "m")).alias("far")).filter("low < high")
-            here = scratch.save(f"open-{turn}", here.select("band", "m", "n", "label").join(open_.select("band", F.col("far.m").alias("far"), F.col("far.label").alias("far_label")), "band"))
-            if turn == "far":
-                pairs = here.filter("label < far_label").select(F.least("m", "far").alias("a"), F.greatest("m", "far").alias("b"))
+            if turn == "centre":
+                # Buckets whose members are still in more than one component; a group: what such buckets connect.
+                here = members.join(labels.withColumnRenamed("node", "m"), "m", "left").withColumn("label", F.coalesce("label", "m"))
+                open_ = here.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("m").alias("first")).filter("low < high")
+                here = scratch.save("open", here.select("band", "m", "n").join(open_.select("band", "first"), "band"))
+                groups = connected(here.filter("first < m").select(F.col("first").alias("a"), F.col("m").alias("b")), scratch, "groups")
+                some = scratch.save("grouped", here.select(F.col("m").alias("node"), "n").distinct().join(groups.withColumnRenamed("label", "grp"), "node"))
+                diffs = differences(sets, some, percent, scratch)
+            here = diffs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            if turn == "centre":
+                middle = here.filter("node = centre.node").select("grp", F.col("label").alias("middle"))
+                pairs = here.filter("u + centre.u <= 0").join(middle, "grp").filter("label <> middle")
+                pairs = pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
             else:
-                pairs = prefix_pairs(sets, here.select(F.col("m").alias("node"), "n", "label").distinct(), percent, scratch)
+                pairs = prefix_pairs(here, percent, scratch)
             pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
         found = verified(pairs, turn)
         seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
@@ -247,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     low = labels.join(nodes.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("component"))
     of_node = nodes.select("d1", "d2", "node", "low").join(labels.join(low, "label").select("node", "component"), "node", "left")
     of_node = scratch.save("components", of_node.select("d1", "d2", F.coalesce("component", "low").alias("component")))
-    scratch.drop("nodes", "same", "shared", "members", "wanted", "sets", "rest-prefix", *(f"{kind}{turn}" for kind in ("open-", "") for turn in ("hub", "far", "rest")))
+    scratch.drop("nodes", "same", "shared", "members", "wanted", "sets", "open", "grouped", "group-sets", "diffs", "rest-prefix", "hub", "centre", "rest")
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(of_node, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

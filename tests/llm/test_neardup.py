@@ -91,3 +91,33 @@ def test_very_long_texts(spark):
     rows = [(1, text), (2, text + " end"), (3, "short text of some words")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), 3, 85).collect()}
     assert got == {1: (399_998, 1), 2: (399_999, 1), 3: (3, 3)}
+
+
+def test_copies_with_many_own_edits_do_not_meet_all_pairs(spark, monkeypatch):
+    """200 copies of which many are linked with none: far from all 19,900 pairs are made, and components are those of brute force."""
+    import random
+
+    from keyflow.llm import neardup
+
+    rng = random.Random(6)
+    first = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(200):
+        w = list(first)
+        for p in rng.sample(range(300), rng.choice([3, 5, 6, 7, 8])):
+            w[p] = f"e{i}x{p}"
+        rows.append((i, " ".join(w)))
+    made, find = [], neardup.prefix_pairs
+
+    def counted(*args):
+        made.append(find(*args))
+        return made[-1]
+
+    monkeypatch.setattr(neardup, "prefix_pairs", counted)
+    counts = []
+    keep = neardup.Scratch.drop
+    monkeypatch.setattr(neardup.Scratch, "drop", lambda self, *names: (counts.extend(m.count() for m in made if "rest-prefix" in names), keep(self, *names)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows), 3, 85).collect()}
+    expected = {i: c for i, (_, c) in brute(rows, 3, 85).items()}
+    assert got == expected and len(set(expected.values())) > 20
+    assert len(counts) == 1 and counts[0] < 4000
