@@ -118,6 +118,22 @@ def count(table: pa.Table, units: int) -> pa.Table:
     return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), kinds_of, strict=True)})
 
 
+def alias(chance: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's tables for draws from each group of places between two edges, whose chances add up to 1: a place that is drawn evenly is
+    kept with a chance, else the other one is taken."""
+    keep, other = np.ones(len(chance)), np.arange(len(chance))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        left = (chance[a:b] * (b - a)).tolist()
+        small, large = [i for i, x in enumerate(left) if x < 1], [i for i, x in enumerate(left) if x >= 1]
+        while small and large:
+            i, j = small.pop(), large[-1]
+            keep[a + i], other[a + i] = left[i], a + j
+            left[j] -= 1 - left[i]
+            if left[j] < 1:
+                small.append(large.pop())
+    return keep.astype(np.float32), other
+
+
 @dataclass
 class Counts:
     """What all batches share of the corpus. Units are numbered: that of rare and unknown tokens, the frequent ones, the other tokens
@@ -144,7 +160,7 @@ class Counts:
         chance = np.concatenate([weight[: self.frequent], groups])
         self.chance = chance / chance.sum()
         self.within = weight[self.order] / groups[self.order % GROUPS]  # of each unit in its group, in their order
-        self.upto = np.concatenate([[0], np.cumsum(self.within)])
+        self.keep, self.other = alias(self.within, self.edges)
         self.log_noise = np.log(NOISE * self.chance).astype(np.float32)
         self.log_near = np.log(NEAR_NOISE * self.within).astype(np.float32)
 
@@ -215,6 +231,15 @@ def sums_by(index: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndar
     return some, sums
 
 
+def logistic(against: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The chance that a choice is none of the noise, by its negative score, whose place it takes."""
+    against += noise
+    np.minimum(against, 30, out=against)
+    np.exp(against, out=against)
+    against += 1
+    return np.reciprocal(against, out=against)
+
+
 class Model:
     """Parameters, the biases as last columns of targets: representations of units as contexts (the last one: before a text), of
     the frequent units and groups as targets, of the other units as targets, and a matrix for each context place. Untrained, it gives
@@ -251,9 +276,13 @@ class Model:
         """Adagrad on the rows of a part that a step has met."""
         some, g = sums_by(index, columns)
         g /= size
-        s = squares[j][some] + g * g
+        s = squares[j][some]
+        s += g * g
         squares[j][some] = s
-        self.parts()[j][some] -= RATE * g / np.sqrt(s + 1e-8)
+        s += 1e-8
+        g /= np.sqrt(s, out=s)
+        g *= RATE
+        self.parts()[j][some] -= g
 
     def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, counts: Counts, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
         """A step on tokens and their two predecessors: tell each choice from shared noise choices, and each unit from noise units of
@@ -266,7 +295,7 @@ class Model:
         chosen = counts.choice_of(units)
         q, z = self.target[chosen], self.target[noise]
         up = -1 / (1 + np.exp(np.clip((wide * q).sum(1) - log_noise[chosen], -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(wide @ z.T - log_noise[noise], -30, 30)))
+        down = logistic(wide @ -z.T, log_noise[noise])
         to_h = up[:, None] * q + down @ z
         by_columns = np.ascontiguousarray(wide.T)
         index, columns = [chosen, noise], [up * by_columns, by_columns @ down]
@@ -274,12 +303,15 @@ class Model:
         if len(far):
             at = counts.place[units[far]]
             group = chosen[far] - counts.frequent
-            low, high = counts.upto[counts.edges[group]], counts.upto[counts.edges[group + 1]]
-            drawn = np.searchsorted(counts.upto, low[:, None] + rng.random((len(far), NEAR_NOISE)) * (high - low)[:, None], "right") - 1
-            drawn = np.clip(drawn, counts.edges[group][:, None], counts.edges[group + 1][:, None] - 1)
+            of = np.diff(counts.edges)[group]
+            drawn = rng.random((len(far), NEAR_NOISE), np.float32) * of[:, None].astype(np.float32)
+            even = np.minimum(drawn.astype(np.int64), of[:, None] - 1)
+            drawn -= even
+            even += counts.edges[group][:, None]
+            drawn = np.where(drawn < counts.keep[even], even, counts.other[even])
             w, q, z = wide[far], self.near[at], self.near[drawn]
             up = -1 / (1 + np.exp(np.clip((w * q).sum(1) - log_near[at], -30, 30)))
-            down = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", w, z) - log_near[drawn], -30, 30)))
+            down = logistic(np.einsum("ij,ikj->ik", -w, z), log_near[drawn])
             to_h[far] += up[:, None] * q + np.einsum("ik,ikj->ij", down, z)
             by_columns, n = by_columns[:, far], len(far)
             near = np.empty((WIDE + 1, (1 + NEAR_NOISE) * n), np.float32)
@@ -302,15 +334,16 @@ class Model:
         h = self.hidden(pairs // size, pairs % size)
         norm = np.empty(len(pairs), np.float32)
         longest = np.sqrt((self.target**2).sum(1).max())
-        room = np.empty((BLOCK, len(self.target)), np.float32)
+        room, ones = np.empty((BLOCK, len(self.target)), np.float32), np.ones(max(len(self.target), np.diff(counts.edges).max()), np.float32)
+        widest = np.sqrt(np.einsum("ij,ij->i", h, h))
         for a in range(0, len(pairs), BLOCK):
             rows = h[a : a + BLOCK]
             scores = np.matmul(rows, self.target.T, out=room[: len(rows)])
             top = np.zeros(len(rows), np.float32)
-            if np.sqrt((rows * rows).sum(1).max()) * longest > 60 and scores.max() > 60:  # exponents stay in range
+            if widest[a : a + BLOCK].max() * longest > 60 and scores.max() > 60:  # exponents stay in range
                 top = scores.max(1)
                 scores -= top[:, None]
-            norm[a : a + BLOCK] = top + np.log(np.exp(scores, out=scores).sum(1))
+            norm[a : a + BLOCK] = top + np.log(np.exp(scores, out=scores) @ ones[: len(self.target)])
         chosen = counts.choice_of(units)
         out = np.empty(len(units), np.float64)
         for a in range(0, len(units), 1 << 16):
@@ -320,12 +353,17 @@ class Model:
         edges = np.searchsorted(chosen[by_group], counts.frequent + np.arange(GROUPS + 1))
         for g in range(GROUPS):
             a, b = counts.edges[g], counts.edges[g + 1]
+            longest = np.sqrt((self.near[a:b] ** 2).sum(1).max(initial=0))
             for c in range(edges[g], edges[g + 1], 4096):
                 some = by_group[c : min(c + 4096, edges[g + 1])]
-                scores = h[which[some]] @ self.near[a:b].T
-                top = scores.max(1)
+                place = which[some]
+                scores = h[place] @ self.near[a:b].T
                 own = scores[np.arange(len(some)), counts.place[units[some]] - a]
-                out[some] += own - top - np.log(np.exp(scores - top[:, None]).sum(1))
+                if widest[place].max() * longest > 60:
+                    top = scores.max(1)
+                    scores -= top[:, None]
+                    own -= top
+                out[some] += own - np.log(np.exp(scores, out=scores) @ ones[: b - a])
         return out
 
 

@@ -126,3 +126,19 @@ def test_empty_and_all_held_out(spark):
     i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = score(docs(spark, [(i, "a b")])).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def test_alias_tables_keep_the_chances():
+    from keyflow.llm.lm import alias
+
+    rng = np.random.default_rng(1)
+    sizes = [1, 0, 2, 7, 300]
+    edges = np.cumsum([0, *sizes])
+    chance = np.concatenate([(w := rng.pareto(1, n) + 0.01) / w.sum() for n in sizes if n])
+    keep, other = alias(chance, edges)
+    got = np.zeros(len(chance))
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    assert (group[other] == group).all()
+    np.add.at(got, np.arange(len(chance)), keep / np.array(sizes)[group])
+    np.add.at(got, other, (1 - keep) / np.array(sizes)[group])
+    assert np.allclose(got, chance, atol=1e-6)
