@@ -390,15 +390,15 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.append_column("digest", digest).sort_by([("doc_id", "ascending"), ("digest", "ascending")])
 
 
-def counted_tokens(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's tokens, the texts' offsets into them, and the tokens' training counts."""
+def counted_tokens(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's distinct tokens and their training counts, which of them the tokens are, and the texts' offsets into these."""
     answers = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
     in_turn = np.frombuffer(b"".join(r["counts"] for r in answers), np.int64)  # buckets ascend as keys do
     tokens, at = token_stream(docs.column("text"))
     keys, which = np.unique(tokens, return_inverse=True)
     if len(keys) != len(in_turn):
         raise ValueError("the counts of a batch are not complete")
-    return tokens, at, in_turn[which]
+    return keys, in_turn, which, at
 
 
 def train_batch(docs: pa.Table, answers: pa.Table, counts: Counts) -> pa.Table:
@@ -407,8 +407,8 @@ def train_batch(docs: pa.Table, answers: pa.Table, counts: Counts) -> pa.Table:
     squares = [np.full_like(p, 1e-4) for p in model.parts()]
     rng = np.random.default_rng(part)
     docs = in_order(docs)
-    tokens, at, c = counted_tokens(docs, answers)
-    units = counts.unit_of(tokens, c)
+    keys, c, which, at = counted_tokens(docs, answers)
+    units = counts.unit_of(keys, c)[which]
     one, two = contexts(units, at, counts.units)
     learnt = np.repeat(~held_out(docs.column("doc_id").to_pylist()), np.diff(at))
     units, one, two = units[learnt], one[learnt], two[learnt]
@@ -449,12 +449,13 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score_batch(docs: pa.Table, answers: pa.Table, counts: Counts, model: Model) -> pa.Table:
-    tokens, at, c = counted_tokens(docs, answers)
-    units = counts.unit_of(tokens, c)
+    keys, c, which, at = counted_tokens(docs, answers)
+    own = counts.unit_of(keys, c)
+    units = own[which]
     one, two = contexts(units, at, counts.units)
     log = model.log_chance(units, one, two, counts)
-    log += np.log(counts.share(units, c))
-    base = np.log10((c + 1) / (counts.tokens + counts.distinct + 1))
+    log += np.log(counts.share(own, c))[which]
+    base = np.log10((c + 1) / (counts.tokens + counts.distinct + 1))[which]
     first = at[:-1]
     sums = lambda x: np.add.reduceat(x, first) if len(first) else x  # noqa: E731  # every text has an end
     n = docs.num_rows
@@ -462,7 +463,7 @@ def score_batch(docs: pa.Table, answers: pa.Table, counts: Counts, model: Model)
         "doc_id": docs.column("doc_id"),
         "held_out": pa.array(held_out(docs.column("doc_id").to_pylist())),
         "n_tokens": pa.array(np.diff(at)),
-        "n_known": pa.array(sums((c > 0).astype(np.int64))),
+        "n_known": pa.array(sums((c > 0)[which].astype(np.int64))),
         "train_tokens": pa.array(np.full(n, counts.tokens)),
         "base_score": pa.array(sums(base)),
         "score": pa.array(sums(log) / np.log(10)),
