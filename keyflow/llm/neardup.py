@@ -132,6 +132,7 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = scratch.save(f"{name}-edges", edges)
     labels = scratch.save(f"{name}-0", edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
     for turn in count(1):
+        release(scratch.spark)
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         far = scratch.save(f"{name}-far-{turn}", labels.join(jump, "label").select("node", "label", "beyond"))
         near = edges.join(far.select(F.col("node").alias("b"), "beyond"), "b").groupBy(F.col("a").alias("node")).agg(F.min("beyond").alias("low"))
@@ -254,6 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 here = scratch.save("open", here.select("band", "m", "n").join(open_.select("band", "first"), "band"))
                 groups = connected(here.filter("first < m").select(F.col("first").alias("a"), F.col("m").alias("b")), scratch, "groups")
                 some = scratch.save("grouped", here.select(F.col("m").alias("node"), "n").distinct().join(groups.withColumnRenamed("label", "grp"), "node"))
+                release(docs.sparkSession)
                 diffs = differences(sets, some, percent, scratch)
             here = diffs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             if turn == "centre":
