@@ -4,8 +4,8 @@ The decoder reads prefix codes by tables, back-references as runs, the colour ca
 predictor (row segments at once), cross-colour, subtract-green and palette transforms. The encoder takes its matches from
 zlib and writes all codes of an image at once.
 
-Both are generators that ask for the tokens of a stream of bits and are sent them; ``together`` runs many of them, so that streams
-of like lengths are read side by side.
+Both are generators that ask for the tokens of a stream of bits and are sent them, or ask for an image in green alone to be written;
+``together`` runs many of them, so that streams of like lengths are read side by side and such images are written together.
 
 Pixels are arrays of shape (height, width, 4): red, green, blue, alpha.
 """
@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Generator, Iterable
 from functools import cached_property, lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,7 @@ import numpy as np
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: Fixed value: the order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+PLACE_OF_LENGTH = {s: i for i, s in enumerate(LENGTH_ORDER)}
 LIMIT = 16384  # pixels of a side
 #: Short distance codes: the 120 nearest pixels before, by distance, then by column.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
@@ -50,6 +52,29 @@ def table_of(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return table[reversal(most)]
 
 
+def size_of(order: Order) -> int:
+    return 1 << order[1][-1] if order[1] else 1
+
+
+def tables_of(orders: list[Order]) -> np.ndarray:
+    """The tables of many codes one after the other, as ``table_of`` makes them; a code without symbols has one zero."""
+    counts = np.array([len(symbols) for symbols, _ in orders])
+    wide = np.array([size_of(o) for o in orders])
+    symbols, lengths = (np.fromiter(chain.from_iterable(o[j] for o in orders), np.int32, counts.sum()) for j in range(2))
+    repeats = np.repeat(wide, counts) >> lengths
+    upto = np.concatenate([[0], np.cumsum(repeats)])
+    ends = np.cumsum(counts)
+    left = wide - (upto[ends] - upto[ends - counts])
+    if (left < 0).any():
+        raise ValueError("too many codes")
+    table = np.repeat(np.insert(symbols << 4 | lengths, ends, 0), np.insert(repeats, ends, left))
+    first = np.cumsum(wide) - wide
+    for n in np.unique(wide).tolist():
+        rows = first[wide == n, None] + np.arange(n)
+        table[rows] = table[rows[:, reversal(n.bit_length() - 1)]]
+    return table
+
+
 class Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
@@ -76,23 +101,39 @@ class Writer:
         self.at += n
 
 
+#: Numbers of 7 bits, read from the other end.
+REVERSED_7 = reversal(7).tolist()
+Order = tuple[list[int], list[int]]
+
+
 class Code:
-    """A canonical prefix code: ``symbols`` in the order of their codes, the codes' ``lengths`` and reversed ``bits``; ``table`` gives for each
-    run of ``most`` bits the symbol times 16 and the length of its code. A code of one symbol takes no bits."""
+    """A canonical prefix code: ``order``, the symbols in the order of their codes, and the codes' lengths; the reversed ``bits`` of codes in that
+    order; ``table`` gives for each run of ``most`` bits the symbol times 16 and the length of its code. A code of one symbol takes no bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        symbols, sizes = np.array([*lengths]), np.array([*lengths.values()])
-        order = np.lexsort((symbols, sizes))
-        self.symbols, self.lengths = symbols[order], sizes[order]
+        symbols = sorted(sorted(lengths), key=lengths.__getitem__)
+        sizes = [lengths[s] for s in symbols]
         self.only = -1
-        if len(order) == 1:
-            self.only, self.lengths = int(self.symbols[0]), np.zeros(1, int)
-        self.most = int(self.lengths[-1])
+        if len(symbols) == 1:
+            self.only, sizes = symbols[0], [0]
+        self.most = most = sizes[-1]
+        self.order: Order = symbols, sizes
+        used = sum([1 << (most - n) for n in sizes])
+        if used != 1 << most:
+            raise ValueError("too many codes" if used > 1 << most else "not all codes are used")
+
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        return np.array(self.order[0])
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.array(self.order[1])
+
+    @cached_property
+    def bits(self) -> np.ndarray:
         wide = 1 << (self.most - self.lengths)
-        upto = np.cumsum(wide)
-        if upto[-1] != 1 << self.most:
-            raise ValueError("too many codes" if upto[-1] > 1 << self.most else "not all codes are used")
-        self.bits = REVERSED[(upto - wide) >> (self.most - self.lengths)] >> (15 - self.lengths)
+        return REVERSED[(np.cumsum(wide) - wide) >> (self.most - self.lengths)] >> (15 - self.lengths)
 
     @cached_property
     def entries(self) -> np.ndarray:
@@ -100,7 +141,20 @@ class Code:
 
     @cached_property
     def table(self) -> list[int]:
-        return self.entries.tolist()
+        if self.most > 7:
+            return self.entries.tolist()
+        table = [0] * (1 << self.most)
+        for (s, n), bits in zip(zip(*self.order, strict=True), self.short_bits(), strict=True):
+            table[bits :: 1 << n] = [s << 4 | n] * (1 << (self.most - n))
+        return table
+
+    def short_bits(self) -> list[int]:
+        """``bits`` of a code whose lengths are 7 at most."""
+        out, code = [], 0
+        for n in self.order[1]:
+            out.append(REVERSED_7[code])
+            code += 128 >> n
+        return out
 
     def read(self, r: Reader) -> int:
         found = self.table[r.peek() & ((1 << self.most) - 1)]
@@ -156,19 +210,32 @@ def read_code(r: Reader, size: int) -> Code:
 
 
 class Stream(NamedTuple):
-    """A stream of bits from bit ``at`` on, the tables of its codes, and the values of their symbols."""
+    """A stream of bits from bit ``at`` on, its codes' symbols and lengths in the order of the codes, and the values of the symbols."""
 
     data: bytes
     at: int
-    green: np.ndarray
-    places: np.ndarray
+    green: Order
+    places: Order
     sizes: tuple[np.ndarray, np.ndarray]
     fars: tuple[np.ndarray, np.ndarray]
     total: int | None
 
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, int]
-Asking = Generator[Stream, Tokens]
+
+
+class Greens(NamedTuple):
+    """An image whose pixels differ in green alone, to be written with zlib's matches: the green values, the width, and the numbers that all
+    pixels have in red, blue and alpha."""
+
+    writer: Writer
+    values: np.ndarray
+    width: int
+    main: bool
+    others: tuple[int, int, int]
+
+
+Asking = Generator["Stream | Greens", "Tokens | None"]
 
 
 #: Of the prefix symbols of lengths and distances: the least value, and the number of extra bits that are added to it.
@@ -278,13 +345,14 @@ SIZES, FARS = by_symbol(256, PREFIXES[:24]), by_symbol(0, PREFIXES)
 SHIFTS = np.arange(8, dtype=np.uint64)
 
 
-def read_tokens(data: bytes, at: int, green: np.ndarray, places: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], fars: tuple[np.ndarray, np.ndarray], total: int | None) -> Tokens:
+def read_tokens(data: bytes, at: int, green: Order, places: Order, sizes: tuple[np.ndarray, np.ndarray], fars: tuple[np.ndarray, np.ndarray], total: int | None) -> Tokens:
     """Literals and back-references from bit ``at`` on: symbols, pixels, distances (0 for literals), and the bit after them.
 
     They end with ``total`` pixels or, without it, before symbol 256. In a segment the token that would begin at each bit is looked up, and
     how many bits it takes; those that do begin are found by going from each to the next.
     """
     one = np.uint64(1)
+    green, places = tables_of([green]), tables_of([places])
     mask, far_mask = np.uint64(len(green) - 1), np.uint64(len(places) - 1)
     is_match = (green >= 4096).astype(np.uint64)
     head = (green & 15).astype(np.uint64) + sizes[1][green >> 4]
@@ -362,14 +430,14 @@ ENTRIES = 1 << 22  # of the tables of streams that are read side by side
 def side_by_side(streams: list[Stream]) -> list[Tokens]:
     """What ``read_tokens`` gives of each stream. All have the same values of symbols; a step goes on by a token in each. The last few
     streams are read to their ends one by one."""
-    one = np.uint64(1)
     sizes, fars, whole = streams[0].sizes, streams[0].fars, streams[0].total is not None
     base = np.cumsum([0] + [len(s.data) for s in streams])
     data = b"".join(s.data for s in streams) + bytes(8 * BLOCK + 16)  # a token takes less than 64 bits
     words = np.ndarray(len(data) - 8, "<i8", data, strides=(1,))
-    green, places = (np.concatenate(t) for t in zip(*((s.green, s.places) for s in streams), strict=True))
-    first_green, first_place = (np.cumsum([0] + [len(t) for t in ts[:-1]]) for ts in zip(*((s.green, s.places) for s in streams), strict=True))
-    mask, far_mask = (np.array([len(t) - 1 for t in ts]) for ts in zip(*((s.green, s.places) for s in streams), strict=True))
+    codes = [s.green for s in streams], [s.places for s in streams]
+    green, places = map(tables_of, codes)
+    mask, far_mask = (np.array([size_of(o) - 1 for o in orders]) for orders in codes)
+    first_green, first_place = np.cumsum(mask + 1) - mask - 1, np.cumsum(far_mask + 1) - far_mask - 1
     symbol = green >> 4
     step = (green & 15) + sizes[1][symbol].astype(np.int32)
     match = symbol > 255
@@ -459,7 +527,7 @@ def read_many(streams: list[Stream]) -> list[Tokens]:
     for kind in (True, False):
         some = [i for i, s in enumerate(streams) if (s.total is None) == kind]
         while some:
-            upto = np.cumsum([len(streams[i].green) + len(streams[i].places) for i in some])
+            upto = np.cumsum([size_of(streams[i].green) + size_of(streams[i].places) for i in some])
             n = max(1, int(np.searchsorted(upto, ENTRIES, "right")))
             part, some = some[:n], some[n:]
             found = side_by_side([streams[i] for i in part]) if n >= SIDE_BY_SIDE else [read_tokens(*streams[i]) for i in part]
@@ -469,18 +537,22 @@ def read_many(streams: list[Stream]) -> list[Tokens]:
 
 
 def together(jobs: Iterable[Asking]) -> list:
-    """What generators that ask for tokens return."""
+    """What generators that ask for tokens, or for images to be written, return."""
     jobs = [*jobs]
     out: list = [None] * len(jobs)
     answers: dict[int, Tokens | None] = dict.fromkeys(range(len(jobs)))
     while answers:
-        asked: dict[int, Stream] = {}
+        asked: dict[int, Stream | Greens] = {}
         for i, tokens in answers.items():
             try:
                 asked[i] = jobs[i].send(tokens)
             except StopIteration as end:
                 out[i] = end.value
-        answers = dict(zip(asked, read_many([*asked.values()]), strict=True))
+        images = {i: x for i, x in asked.items() if isinstance(x, Greens)}
+        streams = {i: x for i, x in asked.items() if i not in images}
+        if images:
+            write_greens([*images.values()])
+        answers = dict.fromkeys(images) | dict(zip(streams, read_many([*streams.values()]), strict=True))
     return out
 
 
@@ -491,13 +563,12 @@ def near_distances(width: int) -> np.ndarray:
 
 
 def read_greens(r: Reader, total: int, width: int, group: list[Code]) -> Asking:
-    """The green values of an image in which no other channel takes bits: one group, no cache. Each pixel of a run names the one it
-    copies; names are followed until all are literals, twice as far in each step."""
+    """The green values of an image in which no other channel takes bits: one group, no cache."""
     if group[0].only >= 256:
         raise ValueError("a back-reference leaves the image")
     if group[0].only >= 0:
         return np.full(total, group[0].only, np.uint8)
-    symbol, size, far, at = yield Stream(r.data, r.at, group[0].entries, group[4].entries, SIZES, FARS, total)
+    symbol, size, far, at = yield Stream(r.data, r.at, group[0].order, group[4].order, SIZES, FARS, total)
     if at > 8 * len(r.data):
         raise ValueError("the image ends too early")
     r.at = at
@@ -505,23 +576,18 @@ def read_greens(r: Reader, total: int, width: int, group: list[Code]) -> Asking:
     pixels = symbol.astype(np.uint8)
     if not len(match):
         return pixels
-    start = np.cumsum(size) - size
+    start = (np.cumsum(size) - size)[match]
     far, n = far[match], size[match]
     far = np.where(far > 120, far - 120, near_distances(width)[np.minimum(far, 120)])
-    if (far > start[match]).any():
+    if (far > start).any():
         raise ValueError("a back-reference leaves the image")
-    copied = np.repeat(start[match] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    source = np.arange(total, dtype=np.int32)
-    source[copied] -= np.repeat(far, n).astype(np.int32)
-    now = source[copied]
-    while True:
-        further = source[now]
-        if (further == now).all():
-            break
-        source[copied] = now = further
-    out = np.repeat(pixels, size)
-    out[copied] = out[now]
-    return out
+    out = bytearray(np.repeat(pixels, size))
+    for p, n, far in zip(start.tolist(), n.tolist(), far.tolist(), strict=True):
+        if far >= n:
+            out[p : p + n] = out[p - far : p - far + n]
+        else:
+            out[p : p + n] = (out[p - far : p] * (n // far + 1))[:n]
+    return np.frombuffer(out, np.uint8)
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -675,39 +741,55 @@ def decode(data: bytes) -> np.ndarray:
 
 # Encoding
 
+NEVER = 1 << 62  # more than all counts
 
-def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
-    """Huffman code lengths; rare symbols count as more where a length would be above ``most``."""
-    if len(counts) == 1:
-        return dict.fromkeys(counts, 1)
-    symbols = sorted(counts, key=counts.get)
-    leaves = len(symbols)
+
+def depths(counts: list[int], most: int) -> list[int]:
+    """Huffman code lengths of ascending counts; rare symbols count as more where a length would be above ``most``."""
+    leaves = len(counts)
+    if leaves == 1:
+        return [1]
     floor = 1
     while True:
         # Sums come in ascending order, so the two least are at the head of the symbols or of the sums.
-        weights = [max(counts[s], floor) for s in symbols]
+        weights = [max(n, floor) for n in counts] if floor > 1 else [*counts]
+        weights.append(NEVER)
+        sums = [NEVER] * leaves
         parent = [0] * (2 * leaves - 1)
-        leaf, inner = 0, leaves
-        for new in range(leaves, len(parent)):
-            total = 0
-            for _ in range(2):
-                if leaf < leaves and (inner == new or weights[leaf] <= weights[inner]):
-                    pick = leaf
-                    leaf += 1
-                else:
-                    pick = inner
-                    inner += 1
-                parent[pick] = new
-                total += weights[pick]
-            weights.append(total)
+        leaf = inner = 0
+        for new in range(leaves - 1):
+            if weights[leaf] <= sums[inner]:
+                total = weights[leaf]
+                parent[leaf] = leaves + new
+                leaf += 1
+            else:
+                total = sums[inner]
+                parent[leaves + inner] = leaves + new
+                inner += 1
+            if weights[leaf] <= sums[inner]:
+                total += weights[leaf]
+                parent[leaf] = leaves + new
+                leaf += 1
+            else:
+                total += sums[inner]
+                parent[leaves + inner] = leaves + new
+                inner += 1
+            sums[new] = total
         depth = [0] * len(parent)
         for i in range(len(parent) - 2, -1, -1):
             depth[i] = depth[parent[i]] + 1
+        del depth[leaves:]
         if max(depth) <= most:
-            return dict(zip(symbols, depth, strict=False))
+            return depth
         floor *= 2
 
 
+def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
+    """Huffman code lengths of symbols."""
+    symbols = sorted(counts, key=counts.__getitem__)
+    return dict(zip(symbols, depths([counts[s] for s in symbols], most), strict=True))
+
+
 def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
     symbols = sorted(lengths)
     code = only(symbols[0]) if len(symbols) == 1 else Code(lengths)
@@ -719,12 +801,23 @@ def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
         if len(symbols) == 2:
             w.bits(symbols[1], 8)
         return code
+    runs: list[list[int]] = []  # a length, and how many symbols in a row have it
+    at, before = 0, -1
+    for s in symbols:
+        if s > at:
+            runs.append([0, s - at])
+            before = 0
+        n = lengths[s]
+        if n == before:
+            runs[-1][1] += 1
+        else:
+            runs.append([n, 1])
+            before = n
+        at = s + 1
+    if at < size:
+        runs.append([0, size - at])
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
-    dense = np.zeros(size + 1, int)
-    dense[[*lengths]] = [*lengths.values()]
-    dense[size] = -1
-    ends = np.flatnonzero(dense[1:] != dense[:-1]) + 1
-    for n, run in zip(dense[ends - 1].tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
+    for n, run in runs:
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -747,13 +840,13 @@ def write_code(w: Writer, lengths: dict[int, int], size: int) -> Code:
         counts[s] = counts.get(s, 0) + 1
     own = code_lengths(counts, 7)
     w.bits(0, 1)
-    n = max(4, 1 + max(LENGTH_ORDER.index(s) for s in own))
+    n = max(4, 1 + max([PLACE_OF_LENGTH[s] for s in own]))
     w.bits(n - 4, 4)
     for s in LENGTH_ORDER[:n]:
         w.bits(own.get(s, 0), 3)
     w.bits(0, 1)
     own_code = Code(own)
-    codes = dict(zip(own_code.symbols.tolist(), zip(own_code.bits.tolist(), own_code.lengths.tolist(), strict=True), strict=True))
+    codes = dict(zip(own_code.order[0], zip(own_code.short_bits(), own_code.order[1], strict=True), strict=True))
     value = at = 0
     for s, extra, bits in tokens:
         own_bits, n = codes[s]
@@ -781,26 +874,36 @@ def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(x[values] for x in FOUND)
 
 
-def short_table(lengths: dict[int, int]) -> np.ndarray:
-    """The table of a deflate code. Unlike here, a code of one symbol takes a bit there."""
-    symbols, sizes = np.array([*lengths]), np.array([*lengths.values()])
-    order = np.lexsort((symbols, sizes))
-    return table_of(symbols[order], sizes[order])
+def short_order(lengths: dict[int, int]) -> Order:
+    """The symbols and lengths of a deflate code, in the order of the codes. Unlike here, a code of one symbol takes a bit there."""
+    symbols = sorted(sorted(lengths), key=lengths.__getitem__)
+    return symbols, [lengths[s] for s in symbols]
+
+
+def short_table(order: Order) -> list[int]:
+    """The table of a deflate code whose lengths are 7 at most."""
+    most = order[1][-1]
+    table, code = [0] * (1 << most), 0
+    for s, n in zip(*order, strict=True):
+        table[REVERSED_7[code] :: 1 << n] = [s << 4 | n] * (1 << (most - n))
+        code += 128 >> n
+    return table
 
 
 #: Fixed values of the deflate format: the order of its code lengths' lengths, and the codes of its fixed blocks.
 DEFLATE_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
-FIXED = {s: 8 if s < 144 else 9 if s < 256 else 7 if s < 280 else 8 for s in range(288)}, dict.fromkeys(range(30), 5)
+FIXED_LENGTHS = {s: 8 if s < 144 else 9 if s < 256 else 7 if s < 280 else 8 for s in range(288)}, dict.fromkeys(range(30), 5)
 #: Least values and extra bits of its lengths (of symbols from 257 on) and distances.
 LENGTHS = [(s + 3, 0) if s < 8 else (((4 + (s & 3)) << ((s - 4) >> 2)) + 3, (s - 4) >> 2) for s in range(28)] + [(258, 0)]
+FIXED = tuple(short_order(lengths) for lengths in FIXED_LENGTHS)
 DEFLATE_SIZES, DEFLATE_FARS = by_symbol(257, LENGTHS + [(0, 0)] * 2), by_symbol(0, PREFIXES)
 
 
-def parsing(raw: bytes) -> Asking:
-    """Rows of start, length and distance: the matches that zlib takes in a sequence of bytes, read from its output."""
+def parsing(raw: bytes) -> Generator[Stream, Tokens]:
+    """The tokens that zlib makes of a sequence of bytes, read from its output: symbols, pixels and distances of its blocks."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15, 9)
     r = Reader(packer.compress(raw) + packer.flush())
-    found = [np.zeros((0, 3), np.int64)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at = last = 0
     while not last:
         last, kind = r.bits(1), r.bits(2)
@@ -809,13 +912,16 @@ def parsing(raw: bytes) -> Asking:
             n = r.bits(16)
             r.bits(16)
             r.at += 8 * n
+            found.append((np.frombuffer(raw[at : at + n], np.uint8).astype(np.int32), np.ones(n, np.int64), np.zeros(n, np.int64)))
             at += n
             continue
-        codes = FIXED
+        orders = FIXED
         if kind == 2:
             n_long, n_far, n_own = r.bits(5) + 257, r.bits(5) + 1, r.bits(4) + 4
-            of_lengths = short_table({DEFLATE_ORDER[i]: n for i in range(n_own) if (n := r.bits(3))})
-            table, mask = of_lengths.tolist(), len(of_lengths) - 1
+            word = r.peek()
+            table = short_table(short_order({DEFLATE_ORDER[i]: n for i in range(n_own) if (n := word >> 3 * i & 7)}))
+            r.at += 3 * n_own
+            mask = len(table) - 1
             both: list[int] = []
             word = have = 0
             while len(both) < n_long + n_far:
@@ -833,32 +939,40 @@ def parsing(raw: bytes) -> Asking:
                 word >>= n
                 have -= n
                 r.at += n
-            codes = {s: n for s, n in enumerate(both[:n_long]) if n}, {s: n for s, n in enumerate(both[n_long:]) if n}
-        places = short_table(codes[1]) if codes[1] else np.zeros(1, np.int32)
-        symbol, size, far, r.at = yield Stream(r.data, r.at, short_table(codes[0]), places, DEFLATE_SIZES, DEFLATE_FARS, None)
-        start = at + np.cumsum(size) - size
-        match = symbol > 256
-        found.append(np.column_stack([start[match], size[match], far[match]]))
-        at += int(size.sum())
-    return np.concatenate(found)
+            orders = tuple(short_order({s: n for s, n in enumerate(part) if n}) for part in (both[:n_long], both[n_long:]))
+        *tokens, r.at = yield Stream(r.data, r.at, *orders, DEFLATE_SIZES, DEFLATE_FARS, None)
+        found.append(tuple(tokens))
+        at += int(tokens[1].sum())
+    return found
+
+
+def matches(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows of start, length and distance: the matches among the tokens of a sequence."""
+    symbol, size, far = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    return np.column_stack([np.cumsum(size) - size, size, far])[symbol > 256]
 
 
 def parse(raw: bytes) -> np.ndarray:
-    return together([parsing(raw)])[0]
+    """The matches that zlib takes."""
+    return matches(together([parsing(raw)])[0])
 
 
-def packed_bits(values: np.ndarray, sizes: np.ndarray) -> int:
-    """Numbers of up to 63 bits one after the other, the first one lowest."""
-    end = np.cumsum(sizes)
-    start = end - sizes
-    word, shift = start >> 6, (start & 63).astype(np.uint64)
-    out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
+def packed_words(values: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Numbers of up to 63 bits at ascending bits, in words of 64, the first bit lowest."""
+    word, shift = start >> 6, start & 63
+    out = np.zeros((int(start[-1] + sizes[-1]) >> 6) + 2, np.uint64)
     first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
-    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
     # What a number has beyond its first word.
-    over = np.flatnonzero((start & 63) + sizes > 64)
+    over = np.flatnonzero(shift + sizes > 64)
+    shift = shift.astype(np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
     out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
-    return int.from_bytes(out.astype("<u8").tobytes(), "little")
+    return out
+
+
+def packed_bits(values: np.ndarray, sizes: np.ndarray) -> int:
+    """Numbers of up to 63 bits one after the other, the first one lowest."""
+    return int.from_bytes(packed_words(values, sizes, np.cumsum(sizes) - sizes).astype("<u8").tobytes(), "little")
 
 
 def cache_slots(values: np.ndarray, cache_bits: int) -> np.ndarray:
@@ -882,17 +996,87 @@ def near_codes(width: int) -> np.ndarray:
     return codes
 
 
+def sorted_codes(owner: np.ndarray, symbols: np.ndarray, owners: int, many: int) -> tuple[list[dict[int, int]], np.ndarray, np.ndarray]:
+    """Of each owner's symbols the Huffman code lengths, and for all ``many`` symbols of each the reversed codes and their lengths, by places
+    owner * many + symbol."""
+    tally = np.bincount(owner * many + symbols, minlength=owners * many).reshape(owners, many)
+    order = np.argsort(tally, axis=1, kind="stable")
+    some = np.count_nonzero(tally, axis=1)
+    ascending = np.take_along_axis(tally, order, 1)
+    found = []
+    for by_count, counts, n in zip(order, ascending, some.tolist(), strict=True):
+        found.append(dict(zip(by_count[many - n :].tolist(), depths(counts[many - n :].tolist(), 15), strict=True)) if n else {0: 1})
+    lengths = np.zeros(owners * many, np.int64)
+    known = np.arange(many) >= many - some[:, None]
+    lengths[(order + np.arange(owners)[:, None] * many)[known]] = np.fromiter(chain.from_iterable(f.values() for f, n in zip(found, some.tolist(), strict=True) if n), np.int64, some.sum())
+    lengths = lengths.reshape(owners, many)
+    lengths[some < 2] = 0
+    order = np.argsort(np.where(lengths, lengths, 16), axis=1, kind="stable")
+    ascending = np.take_along_axis(lengths, order, 1)
+    wide = np.where(ascending, 1 << (15 - ascending), 0)
+    bits = np.empty_like(lengths)
+    np.put_along_axis(bits, order, REVERSED[(np.cumsum(wide, axis=1) - wide) & 0x7FFF], 1)
+    return found, bits.ravel().astype(np.uint64), lengths.ravel()
+
+
+def write_greens(images: list[Greens]) -> None:
+    """Writes images with the tokens that zlib makes of their green values; all at once but for the codes' lengths."""
+    owners = np.arange(len(images))
+    blocks = together(parsing(image.values.tobytes()) for image in images)
+    owner = np.repeat(owners, [sum(len(b[0]) for b in some) for some in blocks])
+    symbol, size, far = (np.concatenate(x) for x in zip(*chain.from_iterable(blocks), strict=True))
+    match = np.flatnonzero(symbol > 255)
+    size, far, matched = size[match], far[match], owner[match]
+    coded = far + 120
+    widths = np.array([image.width for image in images])
+    for width in np.unique(widths).tolist():
+        near = near_codes(width)
+        some = np.flatnonzero((widths[matched] == width) & (far < len(near)))
+        coded[some] = near[far[some]]
+    (size, size_extra, size_bits), (place, place_extra, place_bits) = prefixes_of(size), prefixes_of(coded)
+    symbol[match] = 256 + size
+    greens, green_bits, green_sizes = sorted_codes(owner, symbol, len(images), 280)
+    places, far_bits, far_sizes = sorted_codes(matched, place, len(images), 40)
+    at = owner * 280 + symbol
+    bits, wide = green_bits[at], green_sizes[at]
+    at = matched * 40 + place
+    b, n = bits[match], wide[match]
+    for more, more_n in ((size_extra, size_bits), (far_bits[at], far_sizes[at]), (place_extra, place_bits)):
+        b |= more.astype(np.uint64) << n.astype(np.uint64)
+        n += more_n
+    bits[match], wide[match] = b, n
+    # Each image's tokens begin at a word.
+    upto = np.concatenate([[0], np.cumsum(wide)])
+    edges = np.searchsorted(owner, np.arange(len(images) + 1))
+    total = np.diff(upto[edges])
+    words = np.concatenate([[0], np.cumsum(-(-total // 64))])
+    data = memoryview(packed_words(bits, wide, upto[:-1] + (64 * words[:-1] - upto[edges[:-1]])[owner]).astype("<u8").tobytes())
+    for image, green, far, a, b, n in zip(images, greens, places, (8 * words[:-1]).tolist(), (8 * words[1:]).tolist(), total.tolist(), strict=True):
+        w = image.writer
+        w.bits(0, 2 if image.main else 1)  # no cache, one group
+        write_code(w, green, 280)
+        for s in image.others:
+            write_code(w, {s: 1}, 256)
+        write_code(w, far, 40)
+        w.bits(int.from_bytes(data[a:b], "little"), n)
+
+
 def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> Asking:
     """An image with Huffman codes, zlib's matches as back-references (in images of up to 256 different pixels, or with one channel), and
     cache codes for what else is in the cache."""
     values = argb.ravel()
     plain = not ((values ^ values[0]) & np.uint32(0xFFFF00FF)).any()  # pixels differ in green alone
+    if plain and references and not cache_bits:
+        first = int(values[0])
+        yield Greens(w, (values >> np.uint32(8)).astype(np.uint8), width, main, (first >> 16 & 255, first & 255, first >> 24))
+        return
     values = values.astype(np.uint64)
     starts = lengths = far = np.zeros(0, np.int64)
     if references:
         rank = values >> np.uint64(8) if plain else np.unique(values, return_inverse=True)[1]
         if rank.max() < 256 or plain:
-            starts, lengths, far = (yield from parsing(rank.astype(np.uint8).tobytes())).T
+            blocks = yield from parsing(rank.astype(np.uint8).tobytes())
+            starts, lengths, far = matches(blocks).T
     at = np.arange(len(values))
     if len(starts):
         edge = np.zeros(len(values) + 1, np.int64)

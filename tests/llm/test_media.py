@@ -194,3 +194,14 @@ def test_many_texts_side_by_side():
         assert b"".join(p[..., 0].tobytes() for p in parts) == payload(raw)
     with pytest.raises(ValueError):
         all_images([*medias[:100], medias[100][:20] + medias[100][20:-60] + bytes(60)])
+
+
+def test_texts_are_written_together(monkeypatch):
+    """The tokens, codes and bits of a group's files are found for all of them at once, not text by text."""
+    groups = []
+    was = webp.write_greens
+    monkeypatch.setattr(webp, "write_greens", lambda images: (groups.append(len(images)), was(images))[1])
+    raws = [prose(random.Random(i), 30 + i).encode() for i in range(70)]
+    medias = all_stored(raws)
+    assert groups[0] == len(raws) and len(groups) < 4
+    assert [samples(m) for m in medias] == [payload(r) for r in raws]
