@@ -38,6 +38,9 @@ NOISE = 64  # noise choices among frequent units and groups of a step, and withi
 NEAR_NOISE = 4
 STEP = 4096  # tokens of a step
 BLOCK = 256  # contexts that are normalised at once
+ROWS = 4096  # that are gathered at once
+ROOM = 32 << 20  # bytes of the exponentials of a part of the choices
+LOUD = 1e10  # exponentials up to here have exact enough products
 RATE = 0.08
 END = np.uint64(0x5851F42D4C957F2D)  # the end's place among word hashes
 FOLDS, HELD = 7, 2
@@ -61,11 +64,21 @@ def token_stream(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def distinct_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ascending order, and the place of each number among them; only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[coded.indices.to_numpy()]
+
+
 def ask(table: pa.Table, buckets: int) -> pa.Table:
     """A batch's distinct tokens with their training counts."""
     tokens, at = token_stream(table.column("text"))
     train = np.repeat(~held_out(table.column("doc_id").to_pylist()), np.diff(at))
-    keys, which = np.unique(tokens, return_inverse=True)
+    keys, which = distinct_of(tokens)
     counts = np.bincount(which, train, len(keys)).astype(np.int64)
     return census.ask(table.column("batch")[0].as_py(), keys, np.zeros(0, np.uint64), counts, buckets)
 
@@ -218,6 +231,14 @@ def in_turn(index: np.ndarray) -> np.ndarray:
     return np.argsort(index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index, kind="stable")
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of small numbers in ascending order, and the place of each number among them."""
+    some = np.flatnonzero(np.bincount(values))
+    place = np.zeros(some[-1] + 1 if len(some) else 0, np.int64)
+    place[some] = np.arange(len(some))
+    return some, place[values]
+
+
 def sums_by(index: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers of ``index``, and the sums of their rows, which are given by columns."""
     order = in_turn(index)
@@ -225,10 +246,10 @@ def sums_by(index: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     some, at = ordered[first], np.empty(len(index), np.int64)
     at[order] = np.cumsum(first) - 1
-    sums = np.empty((len(some), len(columns)), np.float32)
+    sums = np.empty((len(columns), len(some)), np.float32)
     for j, column in enumerate(columns):
-        sums[:, j] = np.bincount(at, column, len(some))
-    return some, sums
+        sums[j] = np.bincount(at, column, len(some))
+    return some, np.ascontiguousarray(sums.T)
 
 
 def logistic(against: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -269,9 +290,44 @@ class Model:
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """What contexts make of the next token's representation, and 1 for its bias."""
         h = np.ones((len(one), WIDE + 1), np.float32)
-        np.add((self.context @ self.place[0])[one], (self.context @ self.place[1])[two], out=h[:, :WIDE])
+        by_one, by_two = self.context @ self.place[0], self.context @ self.place[1]
+        for a in range(0, len(one), ROWS):
+            part = slice(a, a + ROWS)
+            np.add(by_one[one[part]], by_two[two[part]], out=h[part, :WIDE])
         return h
 
+    def norms(self, one: np.ndarray, two: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums of all choices' exponentials after contexts, which come in the order of ``one``.
+
+        A choice's score is the sum of what each place of the context gives, so its exponential is the product of theirs, and a context's sum is
+        a product of two vectors. Sums that are out of range, or have factors that are, are found again from the scores.
+        """
+        (ones, of_one), (twos, of_two) = ranked(one), ranked(two)
+        loud = np.zeros(len(ones), bool), np.zeros(len(twos), bool)
+        cuts = np.union1d(np.flatnonzero(np.diff(of_one, prepend=-1)), np.arange(0, len(one), BLOCK)).tolist() + [len(one)]
+        total = np.zeros(len(one), np.float32)
+        by_one, by_two = self.context[ones] @ self.place[0], self.context[twos] @ self.place[1]
+        wide = max(1, ROOM // (4 * (len(ones) + len(twos))))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for j in range(0, len(self.target), wide):
+                target = self.target[j : j + wide]
+                left = by_one @ target[:, :WIDE].T
+                left += target[:, WIDE]
+                right = by_two @ target[:, :WIDE].T
+                for factors, some in zip((left, right), loud, strict=True):
+                    np.exp(factors, out=factors)
+                    some |= factors.max(1) > LOUD
+                room = np.empty((BLOCK, len(target)), np.float32)
+                for a, b, row in zip(cuts[:-1], cuts[1:], of_one[cuts[:-1]].tolist(), strict=True):
+                    total[a:b] += np.take(right, of_two[a:b], 0, room[: b - a], "clip") @ left[row]
+            bad = np.flatnonzero(loud[0][of_one] | loud[1][of_two] | ~(total > 1 / LOUD))
+        out = np.log(np.maximum(total, 1 / LOUD))
+        for a in range(0, len(bad), BLOCK):
+            scores = h[bad[a : a + BLOCK]] @ self.target.T
+            top = scores.max(1)
+            out[bad[a : a + BLOCK]] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        return out
+
     def step(self, j: int, squares: list[np.ndarray], index: np.ndarray, columns: np.ndarray, size: int) -> None:
         """Adagrad on the rows of a part that a step has met."""
         some, g = sums_by(index, columns)
@@ -328,26 +384,24 @@ class Model:
         self.place -= RATE * grad / np.sqrt(squares[3] + 1e-8)
 
     def log_chance(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, counts: Counts) -> np.ndarray:
-        """Normalised log probabilities of units after their contexts."""
-        size = counts.units + 1
-        pairs, which = np.unique(one * size + two, return_inverse=True)
-        h = self.hidden(pairs // size, pairs % size)
-        norm = np.empty(len(pairs), np.float32)
-        longest = np.sqrt((self.target**2).sum(1).max())
-        room, ones = np.empty((BLOCK, len(self.target)), np.float32), np.ones(max(len(self.target), np.diff(counts.edges).max()), np.float32)
+        """Normalised log probabilities of units after their contexts; each distinct unit of a context is taken once, whatever their order."""
+        order = in_turn(units)
+        for key in (two, one):
+            order = order[in_turn(key[order])]
+        units, one, two = units[order], one[order], two[order]
+        starts = (np.diff(one, prepend=-1) != 0) | (np.diff(two, prepend=-1) != 0)  # of contexts
+        first = np.flatnonzero(starts)
+        taken = np.flatnonzero(starts | (np.diff(units, prepend=-1) != 0))
+        times = np.diff(taken, append=len(units))
+        units, which = units[taken], np.cumsum(starts)[taken] - 1
+        h = self.hidden(one[first], two[first])
+        norm = self.norms(one[first], two[first], h)
+        ones = np.ones(np.diff(counts.edges).max(), np.float32)
         widest = np.sqrt(np.einsum("ij,ij->i", h, h))
-        for a in range(0, len(pairs), BLOCK):
-            rows = h[a : a + BLOCK]
-            scores = np.matmul(rows, self.target.T, out=room[: len(rows)])
-            top = np.zeros(len(rows), np.float32)
-            if widest[a : a + BLOCK].max() * longest > 60 and scores.max() > 60:  # exponents stay in range
-                top = scores.max(1)
-                scores -= top[:, None]
-            norm[a : a + BLOCK] = top + np.log(np.exp(scores, out=scores) @ ones[: len(self.target)])
         chosen = counts.choice_of(units)
         out = np.empty(len(units), np.float64)
-        for a in range(0, len(units), 1 << 16):
-            part = slice(a, a + (1 << 16))
+        for a in range(0, len(units), ROWS):
+            part = slice(a, a + ROWS)
             out[part] = np.einsum("ij,ij->i", h[which[part]], self.target[chosen[part]]) - norm[which[part]]
         by_group = in_turn(chosen)
         edges = np.searchsorted(chosen[by_group], counts.frequent + np.arange(GROUPS + 1))
@@ -364,7 +418,9 @@ class Model:
                     scores -= top[:, None]
                     own -= top
                 out[some] += own - np.log(np.exp(scores, out=scores) @ ones[: b - a])
-        return out
+        back = np.empty(len(order))
+        back[order] = np.repeat(out, times)
+        return back
 
 
 def contexts(units: np.ndarray, at: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
@@ -395,7 +451,7 @@ def counted_tokens(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.nd
     answers = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
     in_turn = np.frombuffer(b"".join(r["counts"] for r in answers), np.int64)  # buckets ascend as keys do
     tokens, at = token_stream(docs.column("text"))
-    keys, which = np.unique(tokens, return_inverse=True)
+    keys, which = distinct_of(tokens)
     if len(keys) != len(in_turn):
         raise ValueError("the counts of a batch are not complete")
     return keys, in_turn, which, at

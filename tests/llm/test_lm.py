@@ -142,3 +142,40 @@ def test_alias_tables_keep_the_chances():
     np.add.at(got, np.arange(len(chance)), keep / np.array(sizes)[group])
     np.add.at(got, other, (1 - keep) / np.array(sizes)[group])
     assert np.allclose(got, chance, atol=1e-6)
+
+
+@pytest.mark.parametrize("spread", [0.3, 4.0, 40.0])
+def test_norms_are_products_of_few_exponentials(monkeypatch, spread):
+    """As by each context's scores, also where factors or sums are out of range; otherwise exponentials go by units, not by contexts."""
+    from keyflow.llm import lm
+
+    counts = small_counts()
+    model = Model(counts)
+    rng = np.random.default_rng(4)
+    model.context[:] = rng.normal(0, spread, model.context.shape)
+    model.target += rng.normal(0, 0.3, model.target.shape).astype(np.float32)
+    one, two = (rng.integers(0, 40, 6000) for _ in range(2))
+    units = rng.integers(0, counts.frequent, 6000)
+    taken = []
+    was = np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda x, **more: (taken.append(np.size(x)), was(x, **more))[1])
+    got = model.log_chance(units, one, two, counts)
+    monkeypatch.undo()
+    if spread < 1:
+        assert sum(taken) < 100 * counts.choices
+    monkeypatch.setattr(lm, "ROOM", 8192)  # a few choices at a time
+    assert np.allclose(model.log_chance(units, one, two, counts), got, rtol=1e-5, atol=1e-4)
+    h = np.column_stack([model.context[one].astype(float) @ model.place[0] + model.context[two].astype(float) @ model.place[1], np.ones(6000)])
+    scores = h @ model.target.T.astype(float)
+    top = scores.max(1)
+    want = scores[np.arange(6000), units] - top - np.log(was(scores - top[:, None]).sum(1))
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_distinct_numbers_and_their_places():
+    from keyflow.llm.lm import distinct_of
+
+    rng = np.random.default_rng(5)
+    for values in (np.zeros(0, np.uint64), np.array([7], np.uint64), rng.integers(0, 1 << 64, 500, np.uint64)[rng.integers(0, 500, 3000)]):
+        for a, b in zip(distinct_of(values), np.unique(values, return_inverse=True), strict=True):
+            assert a.dtype == b.dtype and (a == b).all()
