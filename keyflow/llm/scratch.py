@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -80,12 +81,51 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Of the JVM's heap, the share in percent that may be free after a collection that gives memory back; the least one comes first.
+FREE = {"MinHeapFreeRatio": "5", "MaxHeapFreeRatio": "10"}
+
+
 def release(spark: SparkSession) -> None:
-    """Gives back what the driver's Python and JVM hold but don't use, between the steps of a long job."""
+    """Gives back what the driver's Python and JVM hold but don't use, between the steps of a long job.
+
+    A JVM keeps up to 70 % of its heap free after a collection, and what its compiler has freed; the first is lowered for this
+    collection alone, the second handed back. Where a JVM can't do either, it only collects.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
-    spark.sparkContext._jvm.java.lang.System.gc()
+    jvm = spark.sparkContext._jvm
+    beans, find = jvm.java.lang.management.ManagementFactory, jvm.java.lang.Class.forName
+    before: dict[str, str] = {}
+    try:
+        options = beans.getPlatformMXBean(find("com.sun.management.HotSpotDiagnosticMXBean"))
+        before = {name: options.getVMOption(name).getValue() for name in FREE}
+        for name, share in FREE.items():
+            options.setVMOption(name, share)
+    except (Py4JError, AttributeError):  # another JVM
+        pass
+    try:
+        jvm.java.lang.System.gc()
+    finally:
+        for name in reversed(before):
+            options.setVMOption(name, before[name])
+    try:
+        _invoke(spark, "com.sun.management:type=DiagnosticCommand", "systemTrimNativeHeap")
+    except Py4JError:  # another JVM, or an older one
+        pass
+
+
+def _invoke(spark: SparkSession, bean: str, operation: str) -> str:
+    """Calls an operation without arguments of a bean of the driver's JVM, by the interface, as the server's own class is hidden."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named, find = jvm.javax.management.ObjectName(bean), jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = find(name)
+    values = array(jvm.java.lang.Object, 4)
+    for k, value in enumerate((named, operation, array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0))):
+        values[k] = value
+    return find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
