@@ -125,28 +125,39 @@ def few(ids: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the smallest node that can be reached over the links (a, b). A round (FastSV) lowers each label to its own label's
-    label and to those of the neighbours, and hooks the node that is the label to the same minimum, so that whole trees join
-    and a chain takes rounds by the log of its length. Labels only fall, so the rounds end; each is written."""
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct()
-    edges = scratch.save(f"{name}-edges", edges)
-    labels = scratch.save(f"{name}-0", edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
-    for turn in count(1):
+    """node, label: the smallest node that can be reached over the links (a, b).
+
+    In a round each node goes to the first of itself and its neighbours, and what the links become between those is the next
+    round's graph: it has the same components, and a component ends as one node without links. First is the smallest in round 0,
+    which takes groups around a hub, and the least hash later, another one in each round, so that about half of the nodes
+    are left in any order of the ids: a chain takes rounds by the log of its length. A round joins only the links that are left; at
+    the end the moves are followed backwards.
+    """
+    edges = scratch.save(f"{name}-edges-0", links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    moves: list[DataFrame] = []
+    for turn in count():
         release(scratch.spark)
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        far = scratch.save(f"{name}-far-{turn}", labels.join(jump, "label").select("node", "label", "beyond"))
-        near = edges.join(far.select(F.col("node").alias("b"), "beyond"), "b").groupBy(F.col("a").alias("node")).agg(F.min("beyond").alias("low"))
-        step = far.join(near, "node").select("node", F.col("label").alias("before"), F.least("beyond", "low").alias("label"))
-        hook = step.groupBy(F.col("before").alias("node")).agg(F.min("label").alias("hook"))
-        step = step.join(hook, "node", "left").select("node", "before", F.least("label", F.coalesce("hook", "label")).alias("label"))
-        step = scratch.save(f"{name}-{turn}", step)
-        changed = step.filter("label < before").limit(1).count()
-        scratch.drop(f"{name}-{turn - 1}", f"{name}-far-{turn}")
-        labels = step.select("node", "label")
-        if not changed:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        own, other = (F.struct((F.xxhash64(c, F.lit(turn)) if turn else F.col(c)).alias("h"), F.col(c).alias("v")) for c in ("a", "b"))
+        best = both.groupBy("a").agg(F.min(other).alias("best"))
+        move = scratch.save(f"{name}-move-{turn}", best.select(F.col("a").alias("node"), F.least("best", own)["v"].alias("to")))
+        moves.append(move)
+        one = edges.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        two = one.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+        edges = scratch.save(f"{name}-edges-{turn + 1}", two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        scratch.drop(f"{name}-edges-{turn}")
+        if edges.isEmpty():
             break
-    scratch.drop(f"{name}-edges")
-    return labels
+    scratch.drop(f"{name}-edges-{turn + 1}")
+    labels = moves[-1].select("node", F.col("to").alias("label"))
+    for turn in reversed(range(len(moves) - 1)):
+        further = labels.select(F.col("node").alias("to"), "label")
+        labels = scratch.save(f"{name}-{turn}", moves[turn].join(further, "to", "left").select("node", F.coalesce("label", "to").alias("label")))
+        scratch.drop(f"{name}-move-{turn + 1}", f"{name}-{turn + 1}")
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    out = scratch.save(name, labels.join(least, "label").select("node", F.col("least").alias("label")))
+    scratch.drop(f"{name}-move-0", f"{name}-0")
+    return out
 
 
 def same_document(base: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:

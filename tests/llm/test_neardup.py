@@ -75,6 +75,25 @@ def test_a_shuffled_chain_is_one_component(spark):
     assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000}
 
 
+def test_rounds_of_components_read_only_links_that_are_left(spark, monkeypatch):
+    import random
+
+    order = random.Random(4).sample(range(1000), 1000)
+    pairs = [*zip(order, order[1:], strict=False), *((k, k + 1) for k in range(2000, 2500)), *((3000, k) for k in range(3001, 3500))]
+    written, save = [], Scratch.save
+
+    def counted(self, name, df):
+        out = save(self, name, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {r.node: r.label for r in connected(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "rounds"), "rounds").collect()}
+    assert got == {k: 0 for k in range(1000)} | {k: 2000 for k in range(2000, 2501)} | {k: 3000 for k in range(3000, 3500)}
+    assert sum(written) < 10 * len(pairs)
+    assert connected(spark.createDataFrame([], "a long, b long"), Scratch(spark, "none"), "none").count() == 0
+
+
 def test_rows_of_one_id_with_different_texts_lose_no_link(spark):
     from .util import prose
 
