@@ -122,7 +122,7 @@ def training_order(docs: DataFrame, length: int = LENGTH, key: int = 7, vocabula
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "order")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = scratch.save("ids", slim.mapInArrow(lambda it: tokenised(it, vocabulary, length), "part int, first long, doc_id long, n long, ids binary"))
+    table = scratch.save("ids", slim.mapInArrow(lambda it: tokenised(it, vocabulary, length), "part int, first long, doc_id long, n long, ids binary"), compression="zstd")
     before, n = {}, 0
     for part, count in table.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
         before[part] = n

@@ -37,14 +37,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
-        """Small tables become few files: the shuffle's partitions are joined up to the advisory size."""
+    def save(self, name: str, df: DataFrame, compression: str | None = None) -> DataFrame:
+        """Small tables become few files: the shuffle's partitions are joined up to the advisory size. ``compression``: of the files, else the session's."""
         path = f"{self.root}/{name}"
         setting = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
         before = self.spark.conf.get(setting, "true")
         self.spark.conf.set(setting, "false")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path, compression=compression)
         finally:
             self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -90,3 +90,18 @@ def test_the_query_returns_what_its_shards_hold(spark, tmp_path, monkeypatch):
     first.write_bytes(bytes(first.stat().st_size))  # what the query returns is what the files hold
     assert out.first().tokens == bytes(1024)
     assert training_order(docs(spark, [(1, "a")]).limit(0), folder=str(tmp_path / "none")).count() == 0
+
+
+def test_ids_wait_in_zstd(spark, monkeypatch):
+    from keyflow.llm.scratch import Scratch
+
+    found, save = [], Scratch.save
+
+    def noted(self, name, df, *args, **kwargs):
+        out = save(self, name, df, *args, **kwargs)
+        found.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    assert training_order(docs(spark, corpus(10))).count() > 0
+    assert found and all(name.endswith(".zstd.parquet") for name in found)
