@@ -132,6 +132,12 @@ def _moves(ks: DataFrame, request: DataFrame, now_ns: int) -> DataFrame:
     return held.join(there, "target", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
+def _last(frame: DataFrame) -> DataFrame:
+    """Each key's row with the greatest ord (null: before all). Nothing is summed up before the shuffle, and the sort is that of a join on the key."""
+    later = F.lead(F.lit(True)).over(Window.partitionBy("key").orderBy("ord"))
+    return frame.withColumn("later", later).filter("later is null").drop("later")
+
+
 def rename(ks: DataFrame, request: DataFrame, now_ns: int, nx: bool = False) -> Result:
     """RENAME ``key`` to ``target``: OK, or an error without the key. The target's row goes, the deadline moves along.
 
@@ -161,10 +167,16 @@ def copy(ks: DataFrame, request: DataFrame, now_ns: int, replace: bool = False)
     over a target with one, a source without leaves it."""
     held = _moves(ks, request, now_ns).withColumn("acts", F.col("found") & (F.lit(replace) | ~F.col("taken")))
     out = replies(held, "int", F.col("acts").cast("long"))
-    copied = held.filter("acts and key <> target").groupBy("target").agg(F.max_by(F.struct("vtype", "val", "is_int", "deadline_ns"), "ord").alias("r")).select(F.col("target").alias("key"), "r.*")
-    old = live(ks, now_ns).select("key", F.col("deadline_ns").alias("before"))
-    new = copied.join(old, "key", "left").withColumn("deadline_ns", F.coalesce("deadline_ns", "before")).select(*STATE)
-    return Result(out, without(ks, copied, now_ns).unionByName(new))
+    # Sources meet their own rows, and then, under the targets' keys, the rows that are there: each task sorts two tables once.
+    named = request.select("ord", "key", "target").filter("key <> target")
+    found = named.join(live(ks, now_ns).select(*STATE), "key").withColumn("key", F.col("target"))
+    copied = _last(found).select("key", F.struct(*STATE[1:]).alias("new"))
+    old = live(ks, now_ns).select(*STATE, F.lit(True).alias("taken"))
+    both = old.join(copied, "key", "full")
+    writes = F.col("new").isNotNull() & (F.lit(replace) | F.col("taken").isNull())
+    values = {c: F.when(writes, F.col(f"new.{c}")).otherwise(F.col(c)) for c in STATE[1:]}
+    values["deadline_ns"] = F.when(writes, F.coalesce("new.deadline_ns", "deadline_ns")).otherwise(F.col("deadline_ns"))
+    return Result(out, both.select("key", *[v.alias(c) for c, v in values.items()]))
 
 
 def keys(ks: DataFrame, pattern: bytes | str, now_ns: int) -> DataFrame:

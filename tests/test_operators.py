@@ -129,6 +129,26 @@ def test_names(spark, ks):
     assert rows(out) == [1] and "foo" not in held(state)
 
 
+def plan_of(spark, frame):
+    """A plan without broadcasts, as for large tables, before it runs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return frame.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_meet_their_targets_in_one_join(spark, ks):
+    to = lambda *pairs: request(spark, pairs, "target binary")
+    state = K.copy(ks, to(("foo", "y"), ("none", "y"), ("num", "y"), ("text", "text"), ("gone", "z"), ("y", "q"), ("soon", "num")), NOW).state
+    assert held(state) == held(ks) | {"y": b"42"} and state.count() == 6
+    state = K.copy(ks, to(("foo", "num"), ("num", "soon"), ("text", "text"), ("soon", "gone"), ("text", "num")), NOW, replace=True).state
+    assert held(state) == held(ks) | {"num": b"Hello, World!", "soon": b"42", "gone": b"s"} and not {"soon", "gone"} & set(held(state, NOW + 5 * NS))
+    for replace in (False, True):
+        plan = plan_of(spark, K.copy(ks, to(("foo", "y")), NOW, replace).state)
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") <= 4 and "Aggregate" not in plan and "Union" not in plan
+
+
 def test_search(spark):
     ks = keyspace(spark, {f"k{i}": i for i in range(57)} | {"hello": 1, "hallo": 2, "hxllo": 3})
     names = lambda p: sorted(bytes(r.key).decode() for r in K.keys(ks, p, NOW).collect())
