@@ -151,10 +151,15 @@ def rename(ks: DataFrame, request: DataFrame, now_ns: int, nx: bool = False) ->
         out = replies(held, F.when(F.col("found"), "int").otherwise("error"), F.when(F.col("found"), F.col("acts").cast("long")), F.when(~F.col("found"), F.lit(NO_SUCH_KEY.encode())))
     else:
         out = replies(held, F.when(F.col("found"), "status").otherwise("error"), None, F.when(F.col("found"), F.lit(OK.encode())).otherwise(F.lit(NO_SUCH_KEY.encode())))
-    moved = held.filter("acts")
-    gone = moved.select("key").union(moved.select(F.col("target").alias("key")))
-    new = moved.groupBy("target").agg(F.max_by(F.struct("vtype", "val", "is_int", "deadline_ns"), "ord").alias("r")).select(F.col("target").alias("key"), "r.*")
-    return Result(out, without(ks, gone, now_ns).unionByName(new))
+    if nx:
+        moved = held.filter("acts")
+        state = without(ks, moved, now_ns).unionByName(_last(moved.withColumn("key", F.col("target"))).select(*STATE))
+    else:
+        # A source's row goes on under its target's key, where the last row to come is the one that stays; old rows have no ord.
+        named = request.select("ord", "key", "target").filter("key <> target")
+        placed = live(ks, now_ns).select(*STATE).join(named, "key", "left")
+        state = _last(placed.withColumn("key", F.coalesce("target", "key"))).select(*STATE)
+    return Result(out, state)
 
 
 def renamenx(ks: DataFrame, request: DataFrame, now_ns: int) -> Result:

@@ -149,6 +149,18 @@ def test_copies_meet_their_targets_in_one_join(spark, ks):
         assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") <= 4 and "Aggregate" not in plan and "Union" not in plan
 
 
+def test_renames_move_rows_to_their_targets_in_one_shuffle(spark, ks):
+    to = lambda *pairs: request(spark, pairs, "target binary")
+    state = K.rename(ks, to(("foo", "num"), ("num", "foo"), ("none", "text"), ("gone", "text"), ("soon", "x"), ("max", "x"), ("text", "text")), NOW).state
+    assert held(state) == {"num": b"old", "foo": b"42", "x": str(2**63 - 1).encode(), "text": b"Hello, World!"} and state.count() == 4
+    state = K.rename(ks, to(("foo", "foo"), ("foo", "a"), ("foo", "b"), ("soon", "c")), NOW).state
+    assert held(state) == {"a": b"old", "b": b"old", "num": b"42", "text": b"Hello, World!", "c": b"s", "max": str(2**63 - 1).encode()} and "c" not in held(state, NOW + 5 * NS)
+    state = K.renamenx(ks, to(("foo", "num"), ("text", "y"), ("soon", "y"), ("max", "max"), ("num", "gone")), NOW).state
+    assert held(state) == {"foo": b"old", "y": b"s", "max": str(2**63 - 1).encode(), "gone": b"42"}
+    plan = plan_of(spark, K.rename(ks, to(("foo", "y")), NOW).state)
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [") <= 3 and "Aggregate" not in plan and "Union" not in plan
+
+
 def test_search(spark):
     ks = keyspace(spark, {f"k{i}": i for i in range(57)} | {"hello": 1, "hallo": 2, "hxllo": 3})
     names = lambda p: sorted(bytes(r.key).decode() for r in K.keys(ks, p, NOW).collect())
