@@ -19,6 +19,7 @@ The parameters and a few totals reach the driver; their size grows with the squa
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,7 @@ NEAR_NOISE = 4
 STEP = 4096  # tokens of a step
 BLOCK = 256  # contexts that are normalised at once
 ROWS = 4096  # that are gathered at once
+NARROW = 1024  # and those of a step that stay near in memory while they are worked on
 ROOM = 32 << 20  # bytes of the exponentials of a part of the choices
 LOUD = 1e10  # exponentials up to here have exact enough products
 RATE = 0.08
@@ -165,6 +167,7 @@ class Counts:
         near = np.arange(self.frequent, self.units)
         self.order = near[np.argsort(near % GROUPS, kind="stable")]  # units by group
         self.edges = np.searchsorted(self.order % GROUPS, np.arange(GROUPS + 1))
+        self.sizes = np.diff(self.edges)
         place = np.zeros(self.units, np.int64)
         place[self.order] = np.arange(len(self.order))
         self.place = place
@@ -239,26 +242,20 @@ def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some, place[values]
 
 
-def sums_by(index: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers of ``index``, and the sums of their rows, which are given by columns."""
-    order = in_turn(index)
-    ordered = index[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    some, at = ordered[first], np.empty(len(index), np.int64)
-    at[order] = np.cumsum(first) - 1
-    sums = np.empty((len(columns), len(some)), np.float32)
-    for j, column in enumerate(columns):
-        sums[j] = np.bincount(at, column, len(some))
-    return some, np.ascontiguousarray(sums.T)
+def sums_by(place: np.ndarray, columns: Iterable[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sums of the rows at each place; rows and sums are given by columns."""
+    sums = np.zeros(shape, np.float32)
+    for into, column in zip(sums, columns, strict=True):
+        np.add.at(into, place, column)
+    return sums
 
 
-def logistic(against: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The chance that a choice is none of the noise, by its negative score, whose place it takes."""
-    against += noise
-    np.minimum(against, 30, out=against)
-    np.exp(against, out=against)
-    against += 1
-    return np.reciprocal(against, out=against)
+def logistic(half: np.ndarray) -> np.ndarray:
+    """The chance that a choice is none of the noise, by half its negative score, whose place it takes."""
+    np.tanh(half, out=half)
+    half *= np.float32(-0.5)
+    half += np.float32(0.5)
+    return half
 
 
 class Model:
@@ -293,7 +290,7 @@ class Model:
         by_one, by_two = self.context @ self.place[0], self.context @ self.place[1]
         for a in range(0, len(one), ROWS):
             part = slice(a, a + ROWS)
-            np.add(by_one[one[part]], by_two[two[part]], out=h[part, :WIDE])
+            np.add(by_one.take(one[part], 0), by_two.take(two[part], 0), out=h[part, :WIDE])
         return h
 
     def norms(self, one: np.ndarray, two: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -307,19 +304,24 @@ class Model:
         cuts = np.union1d(np.flatnonzero(np.diff(of_one, prepend=-1)), np.arange(0, len(one), BLOCK)).tolist() + [len(one)]
         total = np.zeros(len(one), np.float32)
         by_one, by_two = self.context[ones] @ self.place[0], self.context[twos] @ self.place[1]
-        wide = max(1, ROOM // (4 * (len(ones) + len(twos))))
+        rows = of_one[cuts[:-1]]
+        edges = np.searchsorted(rows, np.arange(0, len(ones) + BLOCK, BLOCK)).tolist()
+        rows = (rows % BLOCK).tolist()
+        wide = max(1, ROOM // (4 * (BLOCK + len(twos))))
         with np.errstate(over="ignore", invalid="ignore"):
             for j in range(0, len(self.target), wide):
                 target = self.target[j : j + wide]
-                left = by_one @ target[:, :WIDE].T
-                left += target[:, WIDE]
                 right = by_two @ target[:, :WIDE].T
-                for factors, some in zip((left, right), loud, strict=True):
-                    np.exp(factors, out=factors)
-                    some |= factors.max(1) > LOUD
+                np.exp(right, out=right)
+                loud[1][:] |= right.max(1) > LOUD
                 room = np.empty((BLOCK, len(target)), np.float32)
-                for a, b, row in zip(cuts[:-1], cuts[1:], of_one[cuts[:-1]].tolist(), strict=True):
-                    total[a:b] += np.take(right, of_two[a:b], 0, room[: b - a], "clip") @ left[row]
+                for k, c, d in zip(range(0, len(ones), BLOCK), edges[:-1], edges[1:]):
+                    left = by_one[k : k + BLOCK] @ target[:, :WIDE].T
+                    left += target[:, WIDE]
+                    np.exp(left, out=left)
+                    loud[0][k : k + BLOCK] |= left.max(1) > LOUD
+                    for a, b, row in zip(cuts[c:d], cuts[c + 1 : d + 1], rows[c:d], strict=True):
+                        total[a:b] += np.take(right, of_two[a:b], 0, room[: b - a], "clip") @ left[row]
             bad = np.flatnonzero(loud[0][of_one] | loud[1][of_two] | ~(total > 1 / LOUD))
         out = np.log(np.maximum(total, 1 / LOUD))
         for a in range(0, len(bad), BLOCK):
@@ -328,58 +330,75 @@ class Model:
             out[bad[a : a + BLOCK]] = top + np.log(np.exp(scores - top[:, None]).sum(1))
         return out
 
-    def step(self, j: int, squares: list[np.ndarray], index: np.ndarray, columns: np.ndarray, size: int) -> None:
-        """Adagrad on the rows of a part that a step has met."""
-        some, g = sums_by(index, columns)
-        g /= size
-        s = squares[j][some]
-        s += g * g
-        squares[j][some] = s
-        s += 1e-8
-        g /= np.sqrt(s, out=s)
-        g *= RATE
-        self.parts()[j][some] -= g
+    def step(self, j: int, squares: list[np.ndarray], some: np.ndarray, sums: np.ndarray, size: int) -> None:
+        """Adagrad on the rows of a part that a step has met; squares are never near 0."""
+        part = self.parts()[j]
+        for a in range(0, len(some), NARROW):
+            rows = some[a : a + NARROW]
+            g = np.divide(sums[a : a + NARROW], np.float32(size), order="C")
+            s = squares[j].take(rows, 0)
+            root = g * g
+            s += root
+            squares[j][rows] = s
+            g /= np.sqrt(s, out=root)
+            g *= np.float32(RATE)
+            part[rows] = np.subtract(part.take(rows, 0, out=s, mode="clip"), g, out=s)
 
     def train(self, units: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, counts: Counts, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
         """A step on tokens and their two predecessors: tell each choice from shared noise choices, and each unit from noise units of
         its group, as if scores were normalised."""
         size = len(units)
-        x, y = self.context[one], self.context[two]
-        h = x @ self.place[0] + y @ self.place[1]
-        wide = np.column_stack([h, np.ones(size, np.float32)])
+        # Products with the places' matrices are taken once for each distinct unit of the contexts.
+        met, at = ranked(np.concatenate([one, two]))
+        one, two = at[:size], at[size:]
+        x = self.context.take(met, 0)
+        wide = np.ones((size, WIDE + 1), np.float32)
+        np.add((x @ self.place[0]).take(one, 0), (x @ self.place[1]).take(two, 0), out=wide[:, :WIDE])
         log_noise, log_near = counts.log_noise, counts.log_near
         chosen = counts.choice_of(units)
-        q, z = self.target[chosen], self.target[noise]
-        up = -1 / (1 + np.exp(np.clip((wide * q).sum(1) - log_noise[chosen], -30, 30)))
-        down = logistic(wide @ -z.T, log_noise[noise])
-        to_h = up[:, None] * q + down @ z
+        q, z = self.target.take(chosen, 0), self.target.take(noise, 0)
+        up = -logistic(0.5 * (np.einsum("ij,ij->i", wide, q) - log_noise[chosen]))
+        against = -0.5 * z
+        against[:, WIDE] += 0.5 * log_noise[noise]
         by_columns = np.ascontiguousarray(wide.T)
-        index, columns = [chosen, noise], [up * by_columns, by_columns @ down]
+        q *= up[:, None]
+        to_h, noisy = q, np.zeros((WIDE + 1, len(noise)), np.float32)
+        for a in range(0, size, NARROW):
+            part = slice(a, a + NARROW)
+            down = logistic(wide[part] @ against.T)
+            to_h[part] += down @ z
+            noisy += by_columns[:, part] @ down
         far = np.flatnonzero(chosen >= counts.frequent)
         if len(far):
             at = counts.place[units[far]]
             group = chosen[far] - counts.frequent
-            of = np.diff(counts.edges)[group]
+            of = counts.sizes[group]
             drawn = rng.random((len(far), NEAR_NOISE), np.float32) * of[:, None].astype(np.float32)
             even = np.minimum(drawn.astype(np.int64), of[:, None] - 1)
             drawn -= even
             even += counts.edges[group][:, None]
             drawn = np.where(drawn < counts.keep[even], even, counts.other[even])
-            w, q, z = wide[far], self.near[at], self.near[drawn]
-            up = -1 / (1 + np.exp(np.clip((w * q).sum(1) - log_near[at], -30, 30)))
-            down = logistic(np.einsum("ij,ikj->ik", -w, z), log_near[drawn])
-            to_h[far] += up[:, None] * q + np.einsum("ik,ikj->ij", down, z)
-            by_columns, n = by_columns[:, far], len(far)
-            near = np.empty((WIDE + 1, (1 + NEAR_NOISE) * n), np.float32)
-            np.multiply(up, by_columns, out=near[:, :n])
-            for k in range(NEAR_NOISE):
-                np.multiply(down[:, k], by_columns, out=near[:, (1 + k) * n : (2 + k) * n])
-            self.step(2, squares, np.concatenate([at, drawn.T.ravel()]), near, size)
-        to_h = to_h[:, :WIDE]
-        self.step(1, squares, np.concatenate(index), np.concatenate(columns, axis=1), size)
-        grad = np.stack([x.T @ to_h, y.T @ to_h]) / size
-        back = np.concatenate([self.place[0] @ to_h.T, self.place[1] @ to_h.T], axis=1)
-        self.step(0, squares, np.concatenate([one, two]), back, size)
+            near = np.concatenate([at[:, None], drawn], axis=1)  # each unit and its noise
+            w, z = wide.take(far, 0), self.near.take(near, 0)
+            pull = np.einsum("ij,ikj->ik", w, z)
+            pull -= log_near[near]
+            pull[:, 0] *= 0.5
+            pull[:, 1:] *= -0.5
+            pull = logistic(pull)
+            pull[:, 0] *= -1
+            to_h[far] += np.einsum("ik,ikj->ij", pull, z)
+            # The sums of a place of the representation are taken while its numbers are at hand.
+            pull = np.ascontiguousarray(pull.T)
+            some, at = ranked(near.T.ravel())
+            sums = sums_by(at, ((pull * column).ravel() for column in by_columns.take(far, 1)), (WIDE + 1, len(some)))
+            self.step(2, squares, some, sums.T, size)
+        some, at = ranked(np.concatenate([chosen, noise]))
+        sums = sums_by(at, (np.concatenate([up * column, more]) for column, more in zip(by_columns, noisy, strict=True)), (WIDE + 1, len(some)))
+        self.step(1, squares, some, sums.T, size)
+        by_columns = np.ascontiguousarray(to_h[:, :WIDE].T)
+        first, second = (sums_by(at, by_columns, (WIDE, len(met))) for at in (one, two))
+        grad = np.stack([first @ x, second @ x]).transpose(0, 2, 1) / size
+        self.step(0, squares, met, first.T @ self.place[0].T + second.T @ self.place[1].T, size)
         squares[3] += grad * grad
         self.place -= RATE * grad / np.sqrt(squares[3] + 1e-8)
 
@@ -402,7 +421,7 @@ class Model:
         out = np.empty(len(units), np.float64)
         for a in range(0, len(units), ROWS):
             part = slice(a, a + ROWS)
-            out[part] = np.einsum("ij,ij->i", h[which[part]], self.target[chosen[part]]) - norm[which[part]]
+            out[part] = np.einsum("ij,ij->i", h.take(which[part], 0), self.target.take(chosen[part], 0)) - norm[which[part]]
         by_group = in_turn(chosen)
         edges = np.searchsorted(chosen[by_group], counts.frequent + np.arange(GROUPS + 1))
         for g in range(GROUPS):
@@ -411,7 +430,7 @@ class Model:
             for c in range(edges[g], edges[g + 1], 4096):
                 some = by_group[c : min(c + 4096, edges[g + 1])]
                 place = which[some]
-                scores = h[place] @ self.near[a:b].T
+                scores = h.take(place, 0) @ self.near[a:b].T
                 own = scores[np.arange(len(some)), counts.place[units[some]] - a]
                 if widest[place].max() * longest > 60:
                     top = scores.max(1)

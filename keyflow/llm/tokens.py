@@ -82,7 +82,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    out = separators[data]
+    out = separators.take(data)
     before = np.empty(len(data), bool)
     before[0] = True
     before[1:] = out[:-1]
@@ -124,7 +124,7 @@ def hashed_words(column, separators: np.ndarray = WHITE, lower: bool = True) ->
     data, offsets = text_bytes(column)
     for a, b in blocks(offsets):
         part = data[offsets[a] : offsets[b]]
-        part = LOWER[part] if lower else part
+        part = LOWER.take(part) if lower else part
         starts, ends, at = word_spans(part, offsets[a : b + 1] - offsets[a], separators)
         yield a, b, span_hashes(part, starts, ends), at
 

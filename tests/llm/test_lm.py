@@ -179,3 +179,51 @@ def test_distinct_numbers_and_their_places():
     for values in (np.zeros(0, np.uint64), np.array([7], np.uint64), rng.integers(0, 1 << 64, 500, np.uint64)[rng.integers(0, 500, 3000)]):
         for a, b in zip(distinct_of(values), np.unique(values, return_inverse=True), strict=True):
             assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_norms_read_the_choices_once_however_many_units_come_first(monkeypatch):
+    """Only the exponentials of the second place need room for all units; those of the first are made by blocks."""
+    from keyflow.llm import lm
+
+    counts = small_counts()
+    model = Model(counts)
+    rng = np.random.default_rng(6)
+    model.context[:] = rng.normal(0, 0.5, model.context.shape)
+    one, two = np.repeat(np.arange(900), 3), np.tile([1, 5, 30], 900)
+    h = model.hidden(one, two)
+    taken = []
+    was = np.take
+    monkeypatch.setattr(lm, "ROOM", 4 * (lm.BLOCK + 3) * counts.choices)
+    monkeypatch.setattr(lm.np, "take", lambda *more: (taken.append(1), was(*more))[1])
+    got = model.norms(one, two, h)
+    monkeypatch.undo()
+    assert len(taken) < 1.1 * 900
+    assert np.allclose(got, np.log(np.exp(h.astype(float) @ model.target.T).sum(1)), rtol=1e-5, atol=1e-4)
+
+
+def test_a_step_against_single_tokens():
+    """Of frequent units, with repeated contexts and noise."""
+    counts = small_counts()
+    model, plain = Model(counts), Model(counts)
+    squares = [np.full_like(p, 1e-4) for p in model.parts()]
+    rng = np.random.default_rng(7)
+    for part, same in zip(model.parts(), plain.parts(), strict=True):
+        part += rng.normal(0, 0.3, part.shape).astype(np.float32)
+        same[...] = part
+    units, one, two = rng.integers(0, 257, 3000), rng.integers(0, 40, 3000), rng.integers(20, 60, 3000)
+    noise = rng.choice(counts.choices, 64, p=counts.chance)
+    model.train(units, one, two, noise, counts, rng, squares)
+    grads = [np.zeros(p.shape) for p in plain.parts()]
+    for u, a, b in zip(units.tolist(), one.tolist(), two.tolist(), strict=True):
+        h = np.append(plain.context[a] @ plain.place[0] + plain.context[b] @ plain.place[1], 1).astype(float)
+        off = 1 / (1 + np.exp(counts.log_noise[noise] - plain.target[noise] @ h))
+        up = -1 / (1 + np.exp(plain.target[u] @ h - counts.log_noise[u]))
+        grads[1][u] += up * h
+        np.add.at(grads[1], noise, off[:, None] * h)
+        back = (up * plain.target[u] + off @ plain.target[noise])[:-1]
+        grads[0][a] += plain.place[0] @ back
+        grads[0][b] += plain.place[1] @ back
+        grads[3] += np.stack([np.outer(plain.context[a], back), np.outer(plain.context[b], back)])
+    for got, was, g in zip(model.parts(), plain.parts(), grads, strict=True):
+        g = g / 3000
+        assert np.allclose(got, was - 0.08 * g / np.sqrt(1e-4 + g * g), atol=2e-4)
